@@ -193,5 +193,252 @@ FROM (
 ) c""")
 
 
+# ---------------------------------------------------------------------------
+# text sniffing
+# ---------------------------------------------------------------------------
+
+DATE_RE = r"^(?:(\d{4}[-/]\d{1,2}[-/]\d{1,2})|(\d{1,2}[-/]\d{1,2}[-/]\d{2,4}))"
+NUMTXT_RE = r"^-?\d+(\.\d+)?$"
+CASTABLE_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+SLOTS_RE = r"^(\d{1,2})[-/](\d{1,2})[-/]\d{2,4}"
+
+
+def strip(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def num_core(x):
+    return f"regexp_replace(regexp_replace({strip(x)}, '^\\((.*)\\)$', '-\\1'), '[₹$€£,%\\s]', '', 'g')"
+
+
+def text_to_number(x):
+    core = num_core(x)
+    val = f"(CASE WHEN regexp_matches({core}, '{CASTABLE_RE}') THEN CAST({core} AS DOUBLE) END)"
+    return f"(CASE WHEN contains({strip(x)}, '%') THEN {val} / 100 ELSE {val} END)"
+
+
+def _sniff(cols=DO_TEXT, n=120):
+    parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY row_id) AS rn "
+             f"FROM dirty_orders WHERE {c} IS NOT NULL" for c in cols]
+    return f"""(SELECT "column",
+  count_if(rn <= 60) AS n_date_sampled,
+  count_if(rn <= 60 AND regexp_matches(v, '{DATE_RE}')) AS n_date,
+  count_if(rn <= 120) AS n_num_sampled,
+  count_if(rn <= 120 AND regexp_matches({num_core('v')}, '{NUMTXT_RE}')) AS n_num,
+  count_if(rn <= 120 AND contains({strip('v')}, '%')) AS n_pct
+FROM ({union(parts)}) u WHERE rn <= {n} GROUP BY "column")"""
+
+
+SQL["date_pattern_rate"] = with_do(
+    f"SELECT \"column\", n_date_sampled AS n_sampled, n_date AS n_match, "
+    f"round(CAST(n_date AS DOUBLE) / n_date_sampled, 6) AS rate FROM {_sniff()} s")
+
+SQL["numeric_text_rate"] = with_do(
+    f"SELECT \"column\", n_num_sampled AS n_sampled, n_num AS n_match, "
+    f"round(CAST(n_num AS DOUBLE) / n_num_sampled, 6) AS rate, n_pct, "
+    f"round(CAST(n_pct AS DOUBLE) / n_num_sampled, 6) AS pct_share FROM {_sniff()} s")
+
+
+def _slots(c):
+    v = strip(f"CAST({c} AS VARCHAR)")
+    a = f"TRY_CAST(NULLIF(regexp_extract({v}, '{SLOTS_RE}', 1), '') AS INTEGER)"
+    b = f"TRY_CAST(NULLIF(regexp_extract({v}, '{SLOTS_RE}', 2), '') AS INTEGER)"
+    return (f"SELECT '{c}' AS \"column\", coalesce(max(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {a} END) > 12, FALSE) AS f, "
+            f"coalesce(max(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {b} END) > 12, FALSE) AS s FROM dirty_orders")
+
+
+SQL["date_order"] = with_do(
+    "SELECT \"column\", f AS first_gt12, s AS second_gt12, CASE WHEN f AND s THEN NULL WHEN f THEN 'dmy' "
+    f"WHEN s THEN 'mdy' END AS convention FROM ({union([_slots(c) for c in DO_TEXT])}) x")
+
+# ---------------------------------------------------------------------------
+# rules R1-R8 on dirty_orders
+# ---------------------------------------------------------------------------
+
+# name hints of the dirty_orders columns (integer-like names for R8)
+DO_INT_LIKE = {"customer_age", "unit_count"}
+
+
+def _rules_sql():
+    pos = {c: i for i, c in enumerate(DO_COLS)}
+    sn = _sniff()
+    null_rows = _null_long(DO_COLS, "dirty_orders")
+    card = union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS u, count(*) AS n_rows FROM dirty_orders" for c in DO_TEXT])
+    dist_null = union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) + CASE WHEN count_if({c} IS NULL) > 0 THEN 1 ELSE 0 END AS d FROM dirty_orders" for c in DO_COLS])
+    posmap = "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN {i}" for c, i in pos.items()) + " END"
+    numeric_types = "(" + ", ".join(f"'{c}'" for c in DO_NUMERIC) + ")"
+    dom_parts = []
+    for c, (lo, hi, to_int) in DO_DOMAINS.items():
+        hi_sql = "CAST(NULL AS DOUBLE)" if hi is None else f"CAST({hi} AS DOUBLE)"
+        n_oor = f"count_if({c} < {lo})" + ("" if hi is None else f" + count_if({c} > {hi})")
+        sents = f"(SELECT string_agg(CAST(sentinel AS VARCHAR), ',' ORDER BY sentinel) FROM {_sentinel_rows([c], 'dirty_orders')} s)"
+        nsent = f"(SELECT coalesce(sum(n_hits), 0) FROM {_sentinel_rows([c], 'dirty_orders')} s)"
+        dom_parts.append(f"SELECT '{c}' AS \"column\", CAST({lo} AS DOUBLE) AS lo, {hi_sql} AS hi, {str(to_int).upper()} AS to_int, "
+                         f"{n_oor} AS n_oor, {nsent} AS n_sent, {sents} AS sentinels, count({c}) AS n FROM dirty_orders")
+    whole = union([f"SELECT '{c}' AS \"column\", bool_and({c} % 1 = 0) AS w, count({c}) AS n FROM dirty_orders" for c in DO_FLOATS])
+    return f"""sn AS {sn},
+r1 AS (SELECT "column" FROM sn WHERE CAST(n_date AS DOUBLE) / n_date_sampled > 0.6),
+r2 AS (SELECT "column", CAST(n_pct AS DOUBLE) / n_num_sampled > 0.5 AS is_pct FROM sn
+       WHERE "column" NOT IN (SELECT "column" FROM r1) AND CAST(n_num AS DOUBLE) / n_num_sampled > 0.8),
+nl AS (SELECT "column", n_null, n_rows, {pct('n_null', 'n_rows', 2)} AS p FROM ({null_rows}) x),
+r6 AS (SELECT "column" FROM ({dist_null}) d WHERE d <= 1
+       AND "column" NOT IN (SELECT "column" FROM r1) AND "column" NOT IN (SELECT "column" FROM r2)),
+dom AS ({union(dom_parts)}),
+r7 AS (SELECT * FROM dom WHERE n > 0 AND (n_oor > 0 OR n_sent > 0) AND "column" NOT IN (SELECT "column" FROM r6)),
+wh AS ({whole}),
+rules AS (
+  SELECT 1 AS rule, {posmap} AS pos, 'to_datetime' AS type, "column" AS col, 'Validity' AS dim, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi,
+         NULL::VARCHAR AS sentinels, NULL::BOOLEAN AS to_int, NULL::BOOLEAN AS is_percent FROM r1
+  UNION ALL SELECT 2, {posmap}, 'to_numeric', "column", 'Validity', NULL, NULL, NULL, NULL, is_pct FROM r2
+  UNION ALL SELECT 3, {posmap}, 'to_category', "column", 'Validity', NULL, NULL, NULL, NULL, NULL FROM ({card}) c
+       WHERE u <= 25 AND n_rows >= 50 AND "column" NOT IN (SELECT "column" FROM r1) AND "column" NOT IN (SELECT "column" FROM r2)
+  UNION ALL SELECT 4, 0, 'drop_duplicates', '_all_', 'Accuracy', NULL, NULL, NULL, NULL, NULL
+       FROM (SELECT sum(n - 1) AS dups FROM (SELECT {', '.join(DO_COLS)}, count(*) AS n FROM dirty_orders GROUP BY ALL) g) x WHERE dups > 0
+  UNION ALL SELECT 5, {posmap}, CASE WHEN p > 50 THEN 'drop_col' WHEN "column" IN {numeric_types} THEN 'fill_median' ELSE 'fill_mode' END,
+       "column", 'Completeness', NULL, NULL, NULL, NULL, NULL FROM nl WHERE p > 0
+  UNION ALL SELECT 6, {posmap}, 'drop_col', "column", 'Tidiness', NULL, NULL, NULL, NULL, NULL FROM r6
+  UNION ALL SELECT 7, {posmap}, 'fix_range', "column", 'Accuracy', lo, hi, sentinels, to_int, NULL FROM r7
+  UNION ALL SELECT 8, {posmap}, 'to_integer', "column", 'Validity', NULL, NULL, NULL, NULL, NULL FROM wh
+       WHERE n > 0 AND w AND "column" IN ({', '.join(f"'{c}'" for c in sorted(DO_INT_LIKE))})
+       AND "column" NOT IN (SELECT "column" FROM r6) AND "column" NOT IN (SELECT "column" FROM r7)
+),
+steps AS (SELECT row_number() OVER (ORDER BY rule, pos) AS step, * FROM rules)"""
+
+
+
+# ---------------------------------------------------------------------------
+# cleaning C1-C13 on dirty_orders
+# ---------------------------------------------------------------------------
+
+DMY = ["%d/%m/%Y", "%d-%m-%Y", "%d/%m/%y", "%d-%m-%y"]
+MDY = ["%m/%d/%Y", "%m-%d-%Y", "%m/%d/%y", "%m-%d-%y"]
+UNAMB = ["%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y"]
+FALLBACK = ["%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%d-%m-%y", "%d.%m.%y",
+            "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M",
+            "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d %b %Y %H:%M:%S"]
+# convention of each date column, as the A24 query finds it
+DO_DATE_CONV = {"order_date_txt": DMY, "us_date_txt": MDY, "ambiguous_date_txt": []}
+
+
+def parse_date(c, primary):
+    v = strip(c)
+    return "coalesce(" + ", ".join(f"try_strptime({v}, '{f}')" for f in primary + UNAMB + FALLBACK) + ")"
+
+
+def _conv_cols():
+    return {
+        "order_date_txt": parse_date("order_date_txt", DO_DATE_CONV["order_date_txt"]),
+        "us_date_txt": parse_date("us_date_txt", DO_DATE_CONV["us_date_txt"]),
+        "ambiguous_date_txt": parse_date("ambiguous_date_txt", DO_DATE_CONV["ambiguous_date_txt"]),
+        "amount_txt": text_to_number("amount_txt"),
+        "rate_txt": text_to_number("rate_txt"),
+    }
+
+
+def _select(over: dict, cols=DO_COLS):
+    return ", ".join(f"{over[c]} AS {c}" if c in over else c for c in cols)
+
+
+def _mode(col, table):
+    return f"(SELECT {col} FROM {table} WHERE {col} IS NOT NULL GROUP BY {col} ORDER BY count(*) DESC, {col} LIMIT 1)"
+
+
+AGE_BAD = "(customer_age < 0 OR customer_age > 60 OR customer_age IN (999))"
+DISC_BAD = "(discount_rate < 0 OR discount_rate > 1)"
+KEPT = [c for c in DO_COLS if c not in ("sparse_note", "const_src")]
+
+PIPELINE_CTES = f"""conv AS (SELECT {_select(_conv_cols())} FROM dirty_orders),
+dd AS (SELECT DISTINCT * FROM conv),
+fit1 AS (SELECT {_mode('order_date_txt', 'dd')} AS m_od, (SELECT quantile_cont(customer_age, 0.5) FROM dd) AS med_age,
+                {_mode('status', 'dd')} AS m_status),
+filled AS (SELECT {_select({'order_date_txt': 'coalesce(order_date_txt, m_od)', 'customer_age': 'coalesce(customer_age, med_age)',
+                            'status': 'coalesce(status, m_status)'}, KEPT)} FROM dd, fit1),
+fit2 AS (SELECT quantile_cont(CASE WHEN NOT {AGE_BAD} THEN customer_age END, 0.5) AS med_age2,
+                quantile_cont(CASE WHEN NOT {DISC_BAD} THEN discount_rate END, 0.5) AS med_disc,
+                count_if({AGE_BAD}) AS bad_age, count_if({DISC_BAD}) AS bad_disc FROM filled),
+final AS (SELECT {_select({
+    'customer_age': f'CAST(round_even(coalesce(CASE WHEN NOT {AGE_BAD} THEN customer_age END, med_age2), 0) AS BIGINT)',
+    'discount_rate': f'coalesce(CASE WHEN NOT {DISC_BAD} THEN discount_rate END, med_disc)',
+    'unit_count': 'CAST(round_even(unit_count, 0) AS BIGINT)'}, KEPT)} FROM filled, fit2)"""
+
+
+def with_do_ctes(ctes: str, body: str) -> str:
+    return f"WITH dirty_orders AS {dirty_orders_sql()},\n{ctes}\n{body}"
+
+
+SQL["clean_pipeline"] = with_do_ctes(PIPELINE_CTES, "SELECT * FROM final")
+SQL["suggestions"] = with_do_ctes(_rules_sql(), "SELECT step, type, col, dim, lo, hi, sentinels, to_int, is_percent FROM steps")
+
+SQL["clean_to_datetime"] = with_do(
+    f"SELECT row_id, {_select(_conv_cols(), ['order_date_txt', 'us_date_txt', 'ambiguous_date_txt'])} FROM dirty_orders")
+SQL["clean_to_numeric"] = with_do(f"SELECT row_id, {_select(_conv_cols(), ['amount_txt', 'rate_txt'])} FROM dirty_orders")
+SQL["clean_dedup"] = with_do("SELECT DISTINCT * FROM dirty_orders")
+
+
+def _codes(c):
+    return (f"(SELECT pos FROM (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS pos FROM "
+            f"(SELECT DISTINCT {c} AS v FROM dirty_orders WHERE {c} IS NOT NULL) a) m WHERE m.v = d.{c})")
+
+
+SQL["clean_category_codes"] = with_do(
+    "SELECT row_id, status, " + _codes("status") + " AS status_code, sparse_note, " + _codes("sparse_note")
+    + " AS sparse_note_code, const_src, " + _codes("const_src") + " AS const_src_code FROM dirty_orders d")
+SQL["clean_drop_col"] = with_do(f"SELECT {', '.join(KEPT)} FROM dirty_orders")
+SQL["clean_fill_median"] = with_do(
+    "SELECT row_id, coalesce(customer_age, (SELECT quantile_cont(customer_age, 0.5) FROM dirty_orders)) AS customer_age FROM dirty_orders")
+SQL["clean_fill_mode"] = with_do(
+    f"SELECT row_id, coalesce(order_date_txt, {_mode('order_date_txt', 'dirty_orders')}) AS order_date_txt, "
+    f"coalesce(status, {_mode('status', 'dirty_orders')}) AS status FROM dirty_orders")
+SQL["clean_fix_range"] = with_do(
+    f"SELECT row_id, CAST(round_even(coalesce(CASE WHEN NOT {AGE_BAD} THEN customer_age END, "
+    f"(SELECT quantile_cont(CASE WHEN NOT {AGE_BAD} THEN customer_age END, 0.5) FROM dirty_orders)), 0) AS BIGINT) AS customer_age, "
+    f"coalesce(CASE WHEN NOT {DISC_BAD} THEN discount_rate END, "
+    f"(SELECT quantile_cont(CASE WHEN NOT {DISC_BAD} THEN discount_rate END, 0.5) FROM dirty_orders)) AS discount_rate FROM dirty_orders")
+SQL["clean_to_integer"] = with_do("SELECT row_id, CAST(round_even(unit_count, 0) AS BIGINT) AS unit_count FROM dirty_orders")
+
+SQL["before_after"] = with_do_ctes(PIPELINE_CTES, f"""
+SELECT 'original' AS stage, count(*) AS n_rows, CAST(12 AS BIGINT) AS n_cols,
+  CAST({' + '.join(f'count_if({c} IS NULL)' for c in DO_COLS)} AS BIGINT) AS n_nulls FROM dirty_orders
+UNION ALL
+SELECT 'cleaned', count(*), CAST({len(KEPT)} AS BIGINT), CAST({' + '.join(f'count_if({c} IS NULL)' for c in KEPT)} AS BIGINT) FROM final""")
+
+
+def _cat_list(c):
+    return f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM conv WHERE {c} IS NOT NULL) a)"
+
+
+def _cat_n(c):
+    return f"(SELECT count(DISTINCT {c}) FROM conv)"
+
+
+SQL["cleaning_log"] = with_do_ctes(PIPELINE_CTES, f"""
+SELECT CAST(step AS BIGINT) AS step, type, col, dim, CAST(n_affected AS BIGINT) AS n_affected,
+       round(CAST(fitted_num AS DOUBLE), 6) AS fitted_num, fitted_text FROM (
+  SELECT 1 AS step, 'to_datetime' AS type, 'order_date_txt' AS col, 'Validity' AS dim,
+         (SELECT count_if(order_date_txt IS NOT NULL AND {_conv_cols()['order_date_txt']} IS NULL) FROM dirty_orders) AS n_affected,
+         NULL AS fitted_num, 'dmy' AS fitted_text
+  UNION ALL SELECT 2, 'to_datetime', 'us_date_txt', 'Validity',
+         (SELECT count_if(us_date_txt IS NOT NULL AND {_conv_cols()['us_date_txt']} IS NULL) FROM dirty_orders), NULL, 'mdy'
+  UNION ALL SELECT 3, 'to_datetime', 'ambiguous_date_txt', 'Validity',
+         (SELECT count_if(ambiguous_date_txt IS NOT NULL AND {_conv_cols()['ambiguous_date_txt']} IS NULL) FROM dirty_orders), NULL, NULL
+  UNION ALL SELECT 4, 'to_numeric', 'amount_txt', 'Validity', (SELECT count_if(contains(amount_txt, '%')) FROM dirty_orders), NULL, NULL
+  UNION ALL SELECT 5, 'to_numeric', 'rate_txt', 'Validity', (SELECT count_if(contains(rate_txt, '%')) FROM dirty_orders), NULL, NULL
+  UNION ALL SELECT 6, 'to_category', 'status', 'Validity', {_cat_n('status')}, NULL, {_cat_list('status')}
+  UNION ALL SELECT 7, 'to_category', 'sparse_note', 'Validity', {_cat_n('sparse_note')}, NULL, {_cat_list('sparse_note')}
+  UNION ALL SELECT 8, 'to_category', 'const_src', 'Validity', {_cat_n('const_src')}, NULL, {_cat_list('const_src')}
+  UNION ALL SELECT 9, 'drop_duplicates', '_all_', 'Accuracy', (SELECT count(*) FROM conv) - (SELECT count(*) FROM dd), NULL, NULL
+  UNION ALL SELECT 10, 'fill_mode', 'order_date_txt', 'Completeness', (SELECT count_if(order_date_txt IS NULL) FROM dd), NULL,
+         (SELECT CAST(m_od AS VARCHAR) FROM fit1)
+  UNION ALL SELECT 11, 'fill_median', 'customer_age', 'Completeness', (SELECT count_if(customer_age IS NULL) FROM dd),
+         (SELECT med_age FROM fit1), NULL
+  UNION ALL SELECT 12, 'fill_mode', 'status', 'Completeness', (SELECT count_if(status IS NULL) FROM dd), NULL, (SELECT m_status FROM fit1)
+  UNION ALL SELECT 13, 'drop_col', 'sparse_note', 'Completeness', (SELECT count(sparse_note) FROM dd), NULL, NULL
+  UNION ALL SELECT 14, 'drop_col', 'const_src', 'Tidiness', (SELECT count(const_src) FROM dd), NULL, NULL
+  UNION ALL SELECT 15, 'fix_range', 'customer_age', 'Accuracy', (SELECT bad_age FROM fit2), (SELECT med_age2 FROM fit2), NULL
+  UNION ALL SELECT 16, 'fix_range', 'discount_rate', 'Accuracy', (SELECT bad_disc FROM fit2), (SELECT med_disc FROM fit2), NULL
+  UNION ALL SELECT 17, 'to_integer', 'unit_count', 'Validity', (SELECT count(unit_count) FROM filled), NULL, NULL
+) l""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -10,7 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .operators import profile as P
+from .operators import textsniff as TS
+from .plans.cleaning import CleaningPlan, before_after, category_codes
+from .plans.rules import assess, suggestions_frame
 from .sources.tables import dirty_orders, read_table
 
 D6 = 6
@@ -48,5 +53,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _audited(spark, sf):
+    do = _do(spark, sf)
+    return do, assess(do, ["row_id"])
+
+
+def _suggestions(s, d):
+    _, a = _audited(s, d)
+    sent = F.array_join(F.transform("sentinels", lambda x: x.cast("string")), ",")
+    return suggestions_frame(s, a.suggestions).select(
+        F.col("step").cast("bigint").alias("step"), "type", "col", "dim", "lo", "hi",
+        F.when(F.size("sentinels") > 0, sent).alias("sentinels"), "to_int", "is_percent")
+
+
+def _clean_only(types, cols=None, codes=False):
+    """Fit and apply only the suggested steps of the given types (on the raw table)."""
+    def run(s, d):
+        do, a = _audited(s, d)
+        plan = CleaningPlan([x for x in a.suggestions if types is None or x.type in types]).fit(do)
+        out = plan.transform(do)
+        if codes:
+            out = category_codes(out, plan.categories)
+        return out if cols is None else out.select(*cols)
+    return run
+
+
+def _cleaning_log(s, d):
+    do, a = _audited(s, d)
+    plan = CleaningPlan(a.suggestions).fit(do)
+    return plan.log_df(s).select(
+        F.col("step").cast("bigint").alias("step"), "type", "col", "dim", "n_affected",
+        F.round("fitted_num", D6).alias("fitted_num"), "fitted_text")
+
+
+def _before_after(s, d):
+    do, a = _audited(s, d)
+    plan = CleaningPlan(a.suggestions).fit(do)
+    return before_after(do, plan.transform(do))
+
+
+QUERIES.update({
+    "date_pattern_rate": lambda s, d: TS.date_pattern_rate(_do(s, d), ["row_id"]),
+    "numeric_text_rate": lambda s, d: TS.numeric_text_rate(_do(s, d), ["row_id"]),
+    "date_order": lambda s, d: TS.date_order(_do(s, d)),
+    "suggestions": _suggestions,
+    "clean_to_datetime": _clean_only({"to_datetime"}, ["row_id", "order_date_txt", "us_date_txt", "ambiguous_date_txt"]),
+    "clean_to_numeric": _clean_only({"to_numeric"}, ["row_id", "amount_txt", "rate_txt"]),
+    "clean_dedup": _clean_only({"drop_duplicates"}),
+    "clean_category_codes": _clean_only({"to_category"}, ["row_id", "status", "status_code", "sparse_note",
+                                                          "sparse_note_code", "const_src", "const_src_code"], codes=True),
+    "clean_drop_col": _clean_only({"drop_col"}),
+    "clean_fill_median": _clean_only({"fill_median"}, ["row_id", "customer_age"]),
+    "clean_fill_mode": _clean_only({"fill_mode"}, ["row_id", "order_date_txt", "status"]),
+    "clean_fix_range": _clean_only({"fix_range"}, ["row_id", "customer_age", "discount_rate"]),
+    "clean_to_integer": _clean_only({"to_integer"}, ["row_id", "unit_count"]),
+    "clean_pipeline": _clean_only(None),
+    "cleaning_log": _cleaning_log,
+    "before_after": _before_after,
+})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
