@@ -440,5 +440,172 @@ SELECT CAST(step AS BIGINT) AS step, type, col, dim, CAST(n_affected AS BIGINT)
 ) l""")
 
 
+# ---------------------------------------------------------------------------
+# EDA (V1-V16)
+# ---------------------------------------------------------------------------
+
+Q = '"column"'
+
+
+def _vals(cols, table, extra=""):
+    return union([f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v{extra} FROM {table} WHERE {c} IS NOT NULL" for c in cols])
+
+
+SQL["histogram"] = f"""WITH st AS ({union([f"SELECT '{c}' AS col, {i} AS pos, CAST(min({c}) AS DOUBLE) AS mn, CAST(max({c}) AS DOUBLE) AS mx, count({c}) AS n FROM events" for i, c in enumerate(EVENTS_NUMERIC)])}),
+spec AS (SELECT col, mn, mx, least(40, greatest(10, CAST(floor(sqrt(n)) AS INTEGER))) AS b FROM st WHERE n >= 5),
+grid AS (SELECT col, CAST(r.range AS BIGINT) AS bin, mn, mx, b FROM spec JOIN range(0, 40) r ON r.range < spec.b),
+vals AS ({_vals(EVENTS_NUMERIC, 'events')}),
+binned AS (SELECT vals.col, CASE WHEN mx > mn THEN least(floor(b * (v - mn) / (mx - mn)), b - 1) ELSE 0 END AS bin
+           FROM vals JOIN spec ON vals.col = spec.col),
+cnt AS (SELECT col, bin, count(*) AS n FROM binned GROUP BY col, bin)
+SELECT g.col AS {Q}, g.bin, round(mn + (mx - mn) * g.bin / b, 6) AS lo, round(mn + (mx - mn) * (g.bin + 1) / b, 6) AS hi,
+       coalesce(cnt.n, 0) AS count
+FROM grid g LEFT JOIN cnt ON g.col = cnt.col AND g.bin = cnt.bin"""
+
+SQL["distribution_stats"] = (
+    f"SELECT {Q}, n, round(mean, 6) AS mean, round(median, 6) AS median, round(g, 2) AS skew, "
+    "CASE WHEN round(g, 2) > 1 THEN 'right-skewed' WHEN round(g, 2) < -1 THEN 'left-skewed' ELSE 'symmetric' END AS shape FROM ("
+    + union([f"SELECT '{c}' AS {Q}, count({c}) AS n, avg({c}) AS mean, quantile_cont({c}, 0.5) AS median, {g1(c)} AS g FROM events"
+             for c in EVENTS_NUMERIC]) + ") x WHERE n >= 5")
+
+
+def _z(c, table):
+    return (f"(CASE WHEN (SELECT stddev_samp({c}) FROM {table}) > 0 THEN (CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM {table})) "
+            f"/ (SELECT stddev_samp({c}) FROM {table}) ELSE CAST({c} AS DOUBLE) END)")
+
+
+def _box(cols, table, key):
+    zs = union([f"SELECT '{c}' AS col, {key} AS k, CAST({c} AS DOUBLE) AS v, {_z(c, table)} AS z FROM {table} WHERE {c} IS NOT NULL"
+                for c in cols])
+    return f"""zs AS ({zs}),
+q AS (SELECT col, quantile_cont(z, 0.25) AS q1, quantile_cont(z, 0.5) AS med, quantile_cont(z, 0.75) AS q3 FROM zs GROUP BY col),
+f AS (SELECT col, q1, med, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)"""
+
+
+SQL["zscore_box_stats"] = f"""WITH {_box(EVENTS_NUMERIC, 'events', 'event_id')}
+SELECT f.col AS {Q}, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+  round(lo, 6) AS lower_fence, round(hi, 6) AS upper_fence,
+  round(min(CASE WHEN z >= lo AND z <= hi THEN z END), 6) AS whisker_lo, round(max(CASE WHEN z >= lo AND z <= hi THEN z END), 6) AS whisker_hi,
+  count_if(z < lo OR z > hi) AS n_outliers
+FROM f JOIN zs ON f.col = zs.col GROUP BY f.col, q1, med, q3, iqr, lo, hi"""
+
+SQL["outlier_points"] = f"""WITH {_box(EVENTS_NUMERIC, 'events', 'event_id')}
+SELECT zs.k AS event_id, zs.col AS {Q}, round(v, 6) AS value, round(z, 6) AS z FROM zs JOIN f ON zs.col = f.col
+WHERE z < lo OR z > hi"""
+
+
+def _pairs(cols, table):
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i >= j:
+                continue
+            am = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END"
+            bm = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
+            r = (f"CASE WHEN stddev_pop({am}) * stddev_pop({bm}) > 0 THEN covar_pop({am}, {bm}) / "
+                 f"(stddev_pop({am}) * stddev_pop({bm})) END")
+            parts.append(f"SELECT {i} AS i, {j} AS j, '{a}' AS col_a, '{b}' AS col_b, {r} AS r, regr_slope({bm}, {am}) AS slope, "
+                         f"regr_intercept({bm}, {am}) AS intercept, regr_count({bm}, {am}) AS n, min({am}) AS xmin, max({am}) AS xmax "
+                         f"FROM {table}")
+    return f"(SELECT * FROM ({union(parts)}) u WHERE r IS NOT NULL)"
+
+
+LI_PAIRS = _pairs(LINEITEM_NUMERIC, "lineitem")
+STRONGEST = f"(SELECT * FROM {LI_PAIRS} p ORDER BY abs(r) DESC, i, j LIMIT 1)"
+
+SQL["correlation_matrix"] = f"""WITH p AS {LI_PAIRS},
+d AS ({union([f"SELECT '{c}' AS col_a, '{c}' AS col_b, CASE WHEN stddev_pop({c}) > 0 THEN CAST(1 AS DOUBLE) END AS r FROM lineitem" for c in LINEITEM_NUMERIC])})
+SELECT col_a, col_b, round(r, 6) AS r FROM p UNION ALL SELECT col_b, col_a, round(r, 6) FROM p
+UNION ALL SELECT col_a, col_b, r FROM d"""
+
+SQL["strongest_pair"] = f"SELECT col_a, col_b, round(r, 6) AS r FROM {STRONGEST} s"
+SQL["top_correlations"] = (f"SELECT CAST(row_number() OVER (ORDER BY abs(r) DESC, i, j) AS BIGINT) AS rank, col_a, col_b, round(r, 3) AS r "
+                           f"FROM {LI_PAIRS} p ORDER BY abs(r) DESC, i, j LIMIT 5")
+SQL["ols_fit"] = (f"SELECT col_a AS x_col, col_b AS y_col, round(slope, 6) AS slope, round(intercept, 6) AS intercept, n, "
+                  f"round(r, 6) AS r FROM {STRONGEST} s WHERE n >= 2 AND xmin < xmax")
+SQL["ols_line"] = (f"SELECT CAST(g.range AS BIGINT) AS i, round(xmin + (xmax - xmin) * g.range / 99, 6) AS x, "
+                   f"round(slope * (xmin + (xmax - xmin) * g.range / 99) + intercept, 6) AS y "
+                   f"FROM {STRONGEST} s JOIN range(0, 100) g ON TRUE WHERE n >= 2 AND xmin < xmax")
+
+
+def _pick(col_expr):
+    return "CASE " + col_expr + " " + " ".join(f"WHEN '{c}' THEN CAST({c} AS DOUBLE)" for c in LINEITEM_NUMERIC) + " END"
+
+
+LI_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+SQL["scatter_sample"] = f"""WITH s AS {STRONGEST},
+pts AS (SELECT l.*, {_pick('s.col_a')} AS x, {_pick('s.col_b')} AS y FROM lineitem l JOIN s ON TRUE)
+SELECT l_orderkey, l_linenumber, x, y, l_returnflag AS color FROM pts WHERE x IS NOT NULL AND y IS NOT NULL
+ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || ':42'), {LI_ORDER} LIMIT 50000"""
+
+SQL["random_sample"] = "SELECT * FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 10"
+SQL["head_preview"] = f"SELECT * FROM lineitem ORDER BY {LI_ORDER} LIMIT 10"
+
+PART_TEXT = ["p_name", "p_brand", "p_type"]
+
+
+def _freq(cols, table, k):
+    parts = [f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}"
+             for c in cols]
+    return (f"(SELECT col, value, n, CAST(row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS BIGINT) AS rank "
+            f"FROM ({union(parts)}) u QUALIFY rank <= {k})")
+
+
+SQL["category_frequency"] = (f"SELECT col AS {Q}, rank, value, n AS count, {pct('n', '(SELECT count(*) FROM part)', 1)} AS pct "
+                             f"FROM {_freq(PART_TEXT, 'part', 20)} f")
+SQL["dominant_share"] = (f"SELECT col AS {Q}, value AS dominant, {pct('n', '(SELECT count(*) FROM part)', 1)} AS dominant_pct, "
+                         f"{pct('n', '(SELECT count(*) FROM part)', 1)} > 70 AS imbalanced FROM {_freq(PART_TEXT, 'part', 1)} f")
+SQL["top_categories"] = f"SELECT col AS {Q}, rank, value, n AS count FROM {_freq(PART_TEXT, 'part', 5)} f"
+
+TS_DOWN = f"""(SELECT idx, l_shipdate AS ts, CAST(l_extendedprice AS DOUBLE) AS value FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY {LI_ORDER}) - 1 AS BIGINT) AS idx FROM lineitem
+  WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL) x,
+  (SELECT CASE WHEN count(*) > 50000 THEN count(*) // 50000 + 1 ELSE 1 END AS k FROM lineitem
+   WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL) kk WHERE idx % k = 0)"""
+
+SQL["ts_downsample"] = f"SELECT * FROM {TS_DOWN} d"
+SQL["ts_rolling_mean"] = f"""WITH d AS (SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS pos, ts, value FROM {TS_DOWN} x),
+p AS (SELECT count(*) AS m, greatest(5, count(*) // 20) AS w FROM d)
+SELECT pos, ts, round(value, 6) AS value,
+  CASE WHEN (SELECT m FROM p) >= 20 THEN round(avg(value) OVER (ORDER BY pos ROWS BETWEEN (SELECT w FROM p) - 1 PRECEDING AND CURRENT ROW), 6) END
+  AS rolling_mean
+FROM d WHERE (SELECT m FROM p) >= 5"""
+
+SQL["null_map"] = with_do_ctes(f"""h AS (SELECT *, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS row_idx FROM dirty_orders
+        ORDER BY row_id LIMIT 250),
+nc AS (SELECT col FROM ({union([f"SELECT '{c}' AS col, count_if({c} IS NULL) AS n FROM dirty_orders" for c in DO_COLS])}) u WHERE n > 0),
+m AS ({union([f"SELECT row_idx, '{c}' AS col, CAST({c} IS NULL AS INTEGER) AS is_null FROM h" for c in DO_COLS])})""",
+    f"SELECT row_idx, m.col AS {Q}, is_null FROM m JOIN nc ON m.col = nc.col")
+
+# ---------------------------------------------------------------------------
+# evidence (E1, E6, E7) and CSV round trips
+# ---------------------------------------------------------------------------
+
+SQL["numeric_evidence"] = union([
+    f"SELECT '{c}' AS {Q}, {r(f'avg({c})')} AS mean, {r(f'quantile_cont({c}, 0.5)')} AS median, {r(f'stddev_samp({c})')} AS std, "
+    f"{r(f'min({c})')} AS min, {r(f'max({c})')} AS max FROM lineitem" for c in LINEITEM_NUMERIC])
+
+SQL["dialogue_context"] = """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
+SELECT u.conv_id, u.turn, CAST(u.rn - p.rn AS BIGINT) AS ctx_offset, p.turn AS ctx_turn, p.role AS ctx_role, p.text AS ctx_text
+FROM c u JOIN c p ON p.conv_id = u.conv_id AND p.rn BETWEEN u.rn - 6 AND u.rn - 1 WHERE u.role = 'user'"""
+
+_DO_OUTLIERS = (f"(SELECT coalesce(string_agg(\"column\", ', ' ORDER BY pos), 'none') FROM "
+                f"(SELECT u.*, CASE \"column\" " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(DO_COLS))
+                + f" END AS pos FROM {_iqr_block(DO_NUMERIC, 'dirty_orders')} u WHERE n_out > 0) o)")
+
+SQL["report_facts"] = with_do_ctes(_rules_sql(), f"""
+SELECT 'n_rows' AS fact, CAST(count(*) AS VARCHAR) AS value FROM dirty_orders
+UNION ALL SELECT 'n_cols', '12'
+UNION ALL SELECT 'duplicates', CAST(sum(n - 1) AS VARCHAR) FROM (SELECT {', '.join(DO_COLS)}, count(*) AS n FROM dirty_orders GROUP BY ALL) g
+UNION ALL SELECT 'cols_with_nulls', CAST(count_if(n_null > 0) AS VARCHAR) FROM ({_null_long(DO_COLS, 'dirty_orders')}) x
+UNION ALL SELECT 'outlier_cols', {_DO_OUTLIERS}
+UNION ALL SELECT 'cleaning_steps', CAST(count(*) AS VARCHAR) FROM steps""")
+
+SQL["csv_roundtrip"] = ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
+                        "FROM customer")
+SQL["csv_latin1"] = "SELECT doc_id, lang, source, text FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

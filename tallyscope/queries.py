@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .operators import eda as V
+from .operators import evidence as EV
 from .operators import profile as P
 from .operators import textsniff as TS
 from .plans.cleaning import CleaningPlan, before_after, category_codes
 from .plans.rules import assess, suggestions_frame
-from .sources.tables import dirty_orders, read_table
+from .session import new_scratch_path
+from .sources import csv as CSV
+from .sources.preview import head, seeded_sample
+from .sources.tables import LINEITEM_ORDER, dirty_orders, read_table
 
 D6 = 6
 
@@ -113,5 +118,67 @@ QUERIES.update({
 })
 
 
+def _report_facts(s, d):
+    do, a = _audited(s, d)
+    plan = CleaningPlan(a.suggestions).fit(do)
+    return EV.report_facts(do, a, plan)
+
+
+def _evidence_pack(s, d):
+    li = read_table(s, d, "lineitem")
+    a = assess(li, LINEITEM_ORDER)
+    plan = CleaningPlan(a.suggestions).fit(li)
+    return EV.evidence_pack(li, a, plan)
+
+
+def _csv_roundtrip(s, d):
+    src = read_table(s, d, "customer")
+    path = new_scratch_path(s, "csv-roundtrip")
+    CSV.write_csv(src, path)
+    return CSV.read_csv(s, path)
+
+
+def _csv_latin1(s, d):
+    src = read_table(s, d, "documents").select("doc_id", "lang", "source", "text")
+    path = new_scratch_path(s, "csv-latin1")
+    CSV.write_csv(src, path, encoding="ISO-8859-1")
+    return CSV.read_csv(s, path)
+
+
+EV_KEY = ["event_id"]
+
+QUERIES.update({
+    # ---- EDA ----
+    "histogram": lambda s, d: V.histogram(_t("events")(s, d)),
+    "distribution_stats": lambda s, d: V.distribution_stats(_t("events")(s, d)),
+    "zscore_box_stats": lambda s, d: V.zscore_box_stats(_t("events")(s, d)),
+    "outlier_points": lambda s, d: V.outlier_points(_t("events")(s, d), EV_KEY),
+    "correlation_matrix": lambda s, d: V.correlation_matrix(_t("lineitem")(s, d)),
+    "strongest_pair": lambda s, d: V.strongest_pair(_t("lineitem")(s, d)),
+    "ols_fit": lambda s, d: V.ols_fit(_t("lineitem")(s, d)),
+    "ols_line": lambda s, d: V.ols_line(_t("lineitem")(s, d)),
+    "top_correlations": lambda s, d: V.top_correlations(_t("lineitem")(s, d)),
+    "scatter_sample": lambda s, d: V.scatter_sample(_t("lineitem")(s, d), ["l_orderkey", "l_linenumber"], LINEITEM_ORDER),
+    "random_sample": lambda s, d: seeded_sample(_t("events")(s, d), 10, EV_KEY),
+    "head_preview": lambda s, d: head(_t("lineitem")(s, d), 10, LINEITEM_ORDER),
+    "category_frequency": lambda s, d: V.category_frequency(_t("part")(s, d)),
+    "dominant_share": lambda s, d: V.dominant_share(_t("part")(s, d)),
+    "top_categories": lambda s, d: V.top_categories(_t("part")(s, d)),
+    "ts_downsample": lambda s, d: V.ts_downsample(_t("lineitem")(s, d), "l_shipdate", "l_extendedprice", LINEITEM_ORDER),
+    "ts_rolling_mean": lambda s, d: V.ts_rolling_mean(_t("lineitem")(s, d), "l_shipdate", "l_extendedprice", LINEITEM_ORDER),
+    "null_map": lambda s, d: V.null_map(_do(s, d), ["row_id"]),
+    "chart_catalog": lambda s, d: V.chart_catalog(_t("lineitem")(s, d)),
+    # ---- evidence / report ----
+    "numeric_evidence": lambda s, d: EV.numeric_evidence(_t("lineitem")(s, d), decimals=D6),
+    "report_facts": _report_facts,
+    "dialogue_context": lambda s, d: EV.dialogue_context(_t("conversations")(s, d)),
+    "data_context": lambda s, d: EV.data_context(_t("lineitem")(s, d)),
+    "evidence_pack": _evidence_pack,
+    # ---- CSV source and sinks ----
+    "csv_roundtrip": _csv_roundtrip,
+    "csv_latin1": _csv_latin1,
+})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
