@@ -96,6 +96,19 @@ def pct(k: Column, n: Column, decimals: int = 1) -> Column:
     return (q.cast("double") / F.lit(float(scale)))
 
 
+def exact_mean_sql(sum_col: str, cnt_col: str, decimals: int = 6, scale: int = 10) -> str:
+    """SQL text: sum/cnt rounded half-up (away from zero) to ``decimals``, exactly.
+
+    ``sum_col`` is a DECIMAL(38, scale) sum (exact), ``cnt_col`` a row count;
+    only integer arithmetic follows, so every engine gets the same double. Used
+    where averages of few decimal values land exactly on rounding ties.
+    """
+    t = f"CAST({sum_col} * {10 ** scale} AS DECIMAL(38,0))"
+    den = f"(CAST({cnt_col} AS DECIMAL(38,0)) * {10 ** (scale - decimals)})"
+    mag = f"((abs({t}) * 2 + {den}) div ({den} * 2))"
+    return f"(CAST(sign({t}) * {mag} AS DOUBLE) / {10 ** decimals})"
+
+
 def rnd(c: Column, decimals: int | None) -> Column:
     return c if decimals is None else F.round(c, decimals)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
-from ..functions.scalar import pct, rnd, safe_corr
+from ..functions.scalar import exact_mean_sql, pct, rnd, safe_corr
 from ..sources.preview import seeded_sample
 from . import freq as freqmod
 from .kinds import categorical_cols, datetime_cols, numeric_cols, q
@@ -329,12 +329,22 @@ def ts_rolling_mean(df: DataFrame, ts: str, value: str, tiebreak: list[str] | No
         return spark.createDataFrame([], "pos bigint, ts timestamp_ntz, value double, rolling_mean double")
     w_order = Window.orderBy("idx")
     pos = down.withColumn("pos", (F.row_number().over(w_order) - 1).cast("bigint"))
-    if m >= 20:
-        wsize = max(5, m // 20)
-        roll = F.avg("value").over(Window.orderBy("pos").rowsBetween(-(wsize - 1), 0))
-    else:
-        roll = F.lit(None).cast("double")
-    return pos.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"), rnd(roll, decimals).alias("rolling_mean"))
+    if m < 20:
+        return pos.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"),
+                          F.lit(None).cast("double").alias("rolling_mean"))
+    wsize = max(5, m // 20)
+    # trailing sums as differences of exact DECIMAL prefix sums: O(n) instead of
+    # re-aggregating every w-row frame, and exact, because means of a few
+    # decimal values often sit exactly on a rounding tie
+    order = Window.orderBy("pos")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    cum = pos.select("pos", "ts", "value", F.sum(F.col("value").cast("decimal(38,10)")).over(running).alias("__c"))
+    prev = F.coalesce(F.lag("__c", wsize).over(order), F.lit(0).cast("decimal(38,10)"))
+    rolled = cum.select("pos", "ts", "value", (F.col("__c") - prev).cast("decimal(38,10)").alias("__s"),
+                        F.least(F.col("pos") + 1, F.lit(wsize)).alias("__n"))
+    mean = (F.expr(exact_mean_sql("__s", "__n", decimals)) if decimals is not None
+            else F.col("__s").cast("double") / F.col("__n"))
+    return rolled.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"), mean.alias("rolling_mean"))
 
 
 # ---------------------------------------------------------------------------

@@ -565,12 +565,20 @@ TS_DOWN = f"""(SELECT idx, l_shipdate AS ts, CAST(l_extendedprice AS DOUBLE) AS
    WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL) kk WHERE idx % k = 0)"""
 
 SQL["ts_downsample"] = f"SELECT * FROM {TS_DOWN} d"
+def exact_mean_duck(sum_col, cnt_col, d=6, scale=10):
+    """DuckDB twin of functions.scalar.exact_mean_sql (HUGEINT arithmetic)."""
+    t = f"CAST({sum_col} * {10 ** scale} AS HUGEINT)"
+    den = f"(CAST({cnt_col} AS HUGEINT) * {10 ** (scale - d)})"
+    return f"(CAST(sign({t}) * ((abs({t}) * 2 + {den}) // ({den} * 2)) AS DOUBLE) / {10 ** d})"
+
+
 SQL["ts_rolling_mean"] = f"""WITH d AS (SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS pos, ts, value FROM {TS_DOWN} x),
 p AS (SELECT count(*) AS m, greatest(5, count(*) // 20) AS w FROM d)
 SELECT pos, ts, round(value, 6) AS value,
-  CASE WHEN (SELECT m FROM p) >= 20 THEN round(avg(value) OVER (ORDER BY pos ROWS BETWEEN (SELECT w FROM p) - 1 PRECEDING AND CURRENT ROW), 6) END
-  AS rolling_mean
-FROM d WHERE (SELECT m FROM p) >= 5"""
+  CASE WHEN (SELECT m FROM p) >= 20 THEN {exact_mean_duck('s', 'n')} END AS rolling_mean
+FROM (SELECT *, sum(CAST(value AS DECIMAL(38,10))) OVER (ORDER BY pos ROWS BETWEEN (SELECT w FROM p) - 1 PRECEDING AND CURRENT ROW) AS s,
+      count(value) OVER (ORDER BY pos ROWS BETWEEN (SELECT w FROM p) - 1 PRECEDING AND CURRENT ROW) AS n FROM d) d2
+WHERE (SELECT m FROM p) >= 5"""
 
 SQL["null_map"] = with_do_ctes(f"""h AS (SELECT *, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS row_idx FROM dirty_orders
         ORDER BY row_id LIMIT 250),
