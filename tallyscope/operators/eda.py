@@ -166,15 +166,58 @@ def outlier_points(df: DataFrame, key: list[str], cols: list[str] | None = None,
 # ---------------------------------------------------------------------------
 
 def correlations(df: DataFrame, cols: list[str] | None = None) -> dict:
-    """Pairwise-complete Pearson r for every pair i<j, plus each column's std, in one aggregate."""
+    """Pairwise-complete Pearson r for every pair i<j, plus each column's std.
+
+    Centred sums only (the first pass of column_stats gives the shifts), so every
+    aggregate is a plain sum inside whole-stage codegen. Pairs of columns without
+    nulls need one product sum each; pairs with nulls carry their own masked sums.
+    """
     cols = numeric_cols(df) if cols is None else cols
-    exprs = [F.stddev_pop(_c(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    st = column_stats(df, cols, higher=False)
+    n_rows = st["_rows"]
+    d = {c: _c(c).cast("double") - F.lit(st[c]["mean"] if st[c]["mean"] is not None else 0.0) for c in cols}
+    exprs, fields, masked = [], [], {}
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
-            exprs.append(safe_corr(_c(cols[i]), _c(cols[j])).alias(f"r{i}_{j}"))
-    row = agg_row(df, exprs)
-    return {"cols": cols, "std": {c: row[f"s{i}"] for i, c in enumerate(cols)},
-            "r": {(i, j): row[f"r{i}_{j}"] for i in range(len(cols)) for j in range(i + 1, len(cols))}}
+            a, b = cols[i], cols[j]
+            if st[a]["nulls"] == 0 and st[b]["nulls"] == 0:
+                exprs.append(F.sum(d[a] * d[b]).alias(f"xy{i}_{j}"))
+                fields.append(1)
+            else:
+                both = _c(a).isNotNull() & _c(b).isNotNull()
+                x, y = F.when(both, d[a]), F.when(both, d[b])
+                masked[(i, j)] = True
+                exprs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(x).alias(f"sx{i}_{j}"), F.sum(y).alias(f"sy{i}_{j}"),
+                          F.sum(x * x).alias(f"xx{i}_{j}"), F.sum(y * y).alias(f"yy{i}_{j}"),
+                          F.sum(x * y).alias(f"xy{i}_{j}")]
+                fields += [1] * 6
+    row = agg_row(df, exprs, fields) if exprs else {}
+    var_n = {c: (st[c]["varp"] * st[c]["n"]) if st[c]["varp"] is not None else None for c in cols}
+    res = {}
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            a, b = cols[i], cols[j]
+            if (i, j) in masked:
+                n = row[f"n{i}_{j}"]
+                if not n:
+                    res[(i, j)] = None
+                    continue
+                sx, sy = row[f"sx{i}_{j}"], row[f"sy{i}_{j}"]
+                sxx = row[f"xx{i}_{j}"] - sx * sx / n
+                syy = row[f"yy{i}_{j}"] - sy * sy / n
+                sxy = row[f"xy{i}_{j}"] - sx * sy / n
+            else:
+                sxx, syy = var_n[a], var_n[b]
+                c1a = st[a]["sum"] - st[a]["mean"] * st[a]["n"] if st[a]["n"] else 0.0
+                c1b = st[b]["sum"] - st[b]["mean"] * st[b]["n"] if st[b]["n"] else 0.0
+                sxy = row[f"xy{i}_{j}"] - c1a * c1b / n_rows if n_rows else None
+            const = st[a]["min"] == st[a]["max"] or st[b]["min"] == st[b]["max"]
+            if const or sxx is None or syy is None or sxx <= 0 or syy <= 0 or sxy is None:
+                res[(i, j)] = None
+            else:
+                res[(i, j)] = max(-1.0, min(1.0, sxy / (sxx * syy) ** 0.5))
+    return {"cols": cols, "std": {c: st[c]["std"] for c in cols}, "const": {c: st[c]["min"] == st[c]["max"] for c in cols},
+            "r": res}
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, decimals: int | None = 6) -> DataFrame:
@@ -185,8 +228,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, decimals: i
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             if i == j:
-                s = res["std"][a]
-                r = 1.0 if s is not None and s > 0 else None
+                r = None if res["const"][a] or res["std"][a] is None else 1.0
             else:
                 r = res["r"][(min(i, j), max(i, j))]
             rows.append((a, b, r))
