@@ -30,9 +30,13 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+_WS = " \t\n\r\f\x0b"
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (Spark's trim only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (space, tab, CR, LF, FF, VT), as the
+    regex class \\s does; Spark's one-argument trim removes spaces only."""
+    return F.trim(c, F.lit(_WS))
 
 
 def numeric_text_core(c: Column) -> Column:

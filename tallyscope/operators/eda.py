@@ -76,10 +76,9 @@ def distribution_stats(df: DataFrame, cols: list[str] | None = None, first: int
                        decimals: int | None = 6, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """V2: mean, median, skew (2 dp) and a shape label per histogram column."""
     cols = numeric_cols(df, first) if cols is None else cols
-    st = column_stats(df, cols)
+    st = column_stats(df, cols, probs=[0.5], cfg=cfg)
     cols = [c for c in cols if st[c]["n"] >= min_n]
-    med = exact_quantiles(df, {c: _c(c) for c in cols}, [0.5], {c: st[c]["n"] for c in cols}, cfg)
-    rows = [(c, st[c]["n"], st[c]["mean"], med[c][0], st[c]["g1"]) for c in cols]
+    rows = [(c, st[c]["n"], st[c]["mean"], st[c]["q"][0], st[c]["g1"]) for c in cols]
     t = df.sparkSession.createDataFrame(rows, "column string, n bigint, mean double, median double, g1 double")
     sk = F.round("g1", 2)
     return t.select("column", "n", rnd(F.col("mean"), decimals).alias("mean"), rnd(F.col("median"), decimals).alias("median"),
@@ -104,16 +103,19 @@ def zscore_exprs(df: DataFrame, cols: list[str], stats: dict) -> dict:
 
 
 def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, cfg: AuditConfig = DEFAULT) -> dict:
+    """Quartiles of z = (x - mean) / std (a monotone linear map, so they are the
+    z of x's exact quartiles), fences, whiskers inside the fences and outlier counts."""
     cols = numeric_cols(df) if cols is None else cols
-    st = column_stats(df, cols)
+    st = column_stats(df, cols, higher=False, probs=[0.25, 0.5, 0.75], cfg=cfg)
     z = zscore_exprs(df, cols, st)
-    qs = exact_quantiles(df, z, [0.25, 0.5, 0.75], {c: st[c]["n"] for c in cols}, cfg)
     boxes = {}
     exprs = []
     for i, c in enumerate(cols):
-        q1, med, q3 = qs[c]
-        if q1 is None:
+        if st[c]["n"] == 0:
             continue
+        s = st[c]
+        scale = s["std"] is not None and s["std"] > 0
+        q1, med, q3 = [((v - s["mean"]) / s["std"]) if scale else v for v in s["q"]]
         iqr = q3 - q1
         lo, hi = q1 - k * iqr, q3 + k * iqr
         boxes[c] = {"q1": q1, "median": med, "q3": q3, "iqr": iqr, "lo": lo, "hi": hi, "z": z[c]}

@@ -19,10 +19,9 @@ from .rowindex import with_row_index
 def numeric_evidence(df: DataFrame, first: int = 8, decimals: int | None = 3, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Mean, median, std, min, max of the first eight numeric columns (empty ones skipped)."""
     cols = numeric_cols(df, first)
-    st = column_stats(df, cols)
+    st = column_stats(df, cols, higher=False, probs=[0.5], cfg=cfg)
     cols = [c for c in cols if st[c]["n"] > 0]
-    med = exact_quantiles(df, {c: F.col(q(c)) for c in cols}, [0.5], {c: st[c]["n"] for c in cols}, cfg)
-    rows = [(c, st[c]["mean"], med[c][0], st[c]["std"], st[c]["min"], st[c]["max"]) for c in cols]
+    rows = [(c, st[c]["mean"], st[c]["q"][0], st[c]["std"], st[c]["min"], st[c]["max"]) for c in cols]
     t = df.sparkSession.createDataFrame(rows, "column string, mean double, median double, std double, min double, max double")
     return t.select("column", *[rnd(F.col(x), decimals).alias(x) for x in ("mean", "median", "std", "min", "max")])
 

@@ -66,13 +66,17 @@ def modes(freq: DataFrame) -> DataFrame:
     )
 
 
-def top_k(freq: DataFrame, k: int) -> DataFrame:
-    """(column, rank, value, n): the k most frequent values per column.
+def top_k(freq: DataFrame, k: int, by: str = "count") -> DataFrame:
+    """(column, rank, value, n): the k most frequent values per column
+    (``by="value"``: the k smallest values instead).
 
     Planned as a partial WindowGroupLimit before the shuffle, so at most k rows
     per column leave each map task.
     """
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("sort_num").asc_nulls_last(), F.col("value"))
+    if by == "value":
+        w = Window.partitionBy("column").orderBy(F.col("value"))
+    else:
+        w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("sort_num").asc_nulls_last(), F.col("value"))
     return (
         freq.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)

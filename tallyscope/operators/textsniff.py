@@ -75,16 +75,19 @@ def date_order(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = categorical_cols(df) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, first_gt12 boolean, second_gt12 boolean, convention string")
+    # slots are projected once per row, then aggregated
+    slots = df.select(*[x for i, c in enumerate(cols)
+                        for x in (date_slot(F.col(q(c)), 1).alias(f"a{i}"), date_slot(F.col(q(c)), 2).alias(f"b{i}"))])
     pairs = []
-    for c in cols:
-        a, b = date_slot(F.col(q(c)), 1), date_slot(F.col(q(c)), 2)
+    for i, c in enumerate(cols):
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
         both = a.isNotNull() & b.isNotNull()
         pairs.append(F.struct(
             F.lit(c).alias("column"),
             F.coalesce(F.max(F.when(both, a)) > 12, F.lit(False)).alias("first_gt12"),
             F.coalesce(F.max(F.when(both, b)) > 12, F.lit(False)).alias("second_gt12"),
         ))
-    long = df.agg(F.array(*pairs).alias("a")).select(F.inline("a"))
+    long = slots.agg(F.array(*pairs).alias("a")).select(F.inline("a"))
     conv = (F.when(F.col("first_gt12") & F.col("second_gt12"), F.lit(None))
             .when(F.col("first_gt12"), F.lit("dmy"))
             .when(F.col("second_gt12"), F.lit("mdy")))

@@ -210,13 +210,23 @@ class CleaningPlan:
                     log.append(LogRow(n, t, col, s.dim, note="'%' values divided by 100; symbols stripped",
                                       counter=f"pct{n}"))
                 elif t == "to_category":
-                    # categories are fitted from the data; at most category_max_distinct by rule R3
-                    vals = freqmod.frequency_table(base.select(env[col].alias(col)), [col]).select("value") \
-                        .orderBy("value").limit(cfg.category_max_distinct + 1).collect()
-                    cats = [r["value"] for r in vals]
-                    categories[col] = cats
-                    log.append(LogRow(n, t, col, s.dim, n_affected=len(cats), fitted_text="|".join(cats),
-                                      note="stored as text; category list recorded"))
+                    # consecutive category steps share one frequency-table job; each list is
+                    # capped at category_max_distinct + 1 values (R3 allows at most 25)
+                    batch = [(n, s)]
+                    while i < len(steps) and steps[i][1].type == "to_category" and steps[i][1].col in env:
+                        batch.append(steps[i])
+                        i += 1
+                    proj = base.select(*[env[s2.col].alias(f"c{n2}") for n2, s2 in batch])
+                    top = freqmod.top_k(freqmod.frequency_table(proj, [f"c{n2}" for n2, _ in batch]),
+                                        cfg.category_max_distinct + 1, by="value").collect()
+                    found: dict = {}
+                    for r in top:
+                        found.setdefault(r["column"], []).append((r["rank"], r["value"]))
+                    for n2, s2 in batch:
+                        cats = [v for _, v in sorted(found.get(f"c{n2}", []))]
+                        categories[s2.col] = cats
+                        log.append(LogRow(n2, "to_category", s2.col, s2.dim, n_affected=len(cats),
+                                          fitted_text="|".join(cats), note="stored as text; category list recorded"))
                 elif t == "drop_col":
                     pending[f"lost{n}"] = F.count(env[col])
                     env.pop(col)
@@ -267,10 +277,16 @@ class CleaningPlan:
                 elif r.counter in counters:
                     r.n_affected = int(counters[r.counter])
         log.sort(key=lambda r: r.step)
-        if self.materialize and base is not (canonicalize(df) if self.canonical else df):
-            pass
+        self._last_frame = base.select(*[e.alias(c) for c, e in env.items()])
         return FittedPlan(ops=ops, log=log, canonical=self.canonical, formats=formats, categories=categories)
 
+    def fit_transform(self, df: DataFrame) -> tuple[DataFrame, "FittedPlan"]:
+        """Fit on ``df`` and return (cleaned df, plan). The cleaned frame continues
+        from the deduplicated frame materialised during fitting instead of
+        recomputing conversions and the dedup shuffle."""
+        plan = self.fit(df)
+        return self._last_frame, plan
+
     def _fit_batch(self, batch, base, env, ops, log, pending, counters, flush):
         """Fit fills / range fixes of distinct columns together: one count aggregate,
         one exact-quantile pass, one frequency-table shuffle for the modes."""
@@ -362,8 +378,7 @@ class CleaningPlan:
 
 def clean(df: DataFrame, suggestions: list[Suggestion], cfg: AuditConfig = DEFAULT) -> tuple[DataFrame, FittedPlan]:
     """Fit on ``df`` and apply: (cleaned DataFrame, fitted plan with its log)."""
-    plan = CleaningPlan(suggestions, cfg).fit(df)
-    return plan.transform(df), plan
+    return CleaningPlan(suggestions, cfg).fit_transform(df)
 
 
 def category_codes(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:

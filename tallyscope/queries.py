@@ -75,8 +75,7 @@ def _clean_only(types, cols=None, codes=False):
     """Fit and apply only the suggested steps of the given types (on the raw table)."""
     def run(s, d):
         do, a = _audited(s, d)
-        plan = CleaningPlan([x for x in a.suggestions if types is None or x.type in types]).fit(do)
-        out = plan.transform(do)
+        out, plan = CleaningPlan([x for x in a.suggestions if types is None or x.type in types]).fit_transform(do)
         if codes:
             out = category_codes(out, plan.categories)
         return out if cols is None else out.select(*cols)
@@ -93,8 +92,8 @@ def _cleaning_log(s, d):
 
 def _before_after(s, d):
     do, a = _audited(s, d)
-    plan = CleaningPlan(a.suggestions).fit(do)
-    return before_after(do, plan.transform(do))
+    out, plan = CleaningPlan(a.suggestions).fit_transform(do)
+    return before_after(do, out)
 
 
 QUERIES.update({
