@@ -72,9 +72,46 @@ def date_slot(c: Column, i: int) -> Column:
     return F.when(s != "", s.cast("int"))
 
 
+def format_shape(fmt: str) -> str:
+    """A permissive regex for text a Spark datetime pattern could parse.
+
+    Numeric fields become digit runs (fixed widths where the pattern fixes them:
+    yyyy four or more, yy/MM/dd two), month names [A-Za-z]+, quoted and other
+    characters stay literal. It only has to be a superset of what the parser
+    accepts: it lets values of the wrong shape skip the parser, whose failures
+    cost an exception each.
+    """
+    import re
+
+    out, i = [], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+            continue
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        run = fmt[i:j]
+        if ch == "M" and len(run) >= 3:
+            out.append("[A-Za-z]+")
+        elif ch == "y":
+            out.append(r"\d{4,}" if len(run) >= 4 else r"\d{2}" if len(run) == 2 else r"\d+")
+        elif ch in "MdHhms":
+            out.append(r"\d{2}" if len(run) == 2 else r"\d+")
+        else:
+            out.append(re.escape(run))
+        i = j
+    return "^" + "".join(out) + "$"
+
+
 def parse_with_format(c: Column, fmt: str, pivot: int = 69) -> Column:
-    """try_to_timestamp as a naive timestamp; two-digit years follow strptime (%y)."""
-    ts = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    """try_to_timestamp as a naive timestamp; two-digit years follow strptime (%y).
+
+    Values whose shape cannot match the pattern are skipped before parsing."""
+    ts = F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
     if "yy" in fmt and "yyyy" not in fmt:
         # Spark maps yy to 2000-2099; strptime maps 69-99 to 1969-1999
         ts = F.when(F.year(ts) >= 2000 + pivot, F.add_months(ts, -1200).cast("timestamp_ntz")).otherwise(ts)
