@@ -24,7 +24,12 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     Money text is built from integer cents so both engines print the same
     characters. Pure projection + union: its cost grows with ``orders``.
     """
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    return dirty_orders_from(read_table(spark, sf_dir, "orders"))
+
+
+def dirty_orders_from(orders: DataFrame, duplicate_every: int | None = 50) -> DataFrame:
+    """The dirty_orders projection of any orders frame (batch or streaming)."""
+    o = orders.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     k = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     o = o.withColumn("__cents", cents)
@@ -51,7 +56,9 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit("n"), (k % 7).cast("string"))).alias("sparse_note"),
         F.lit("web").alias("const_src"),
     )
-    return base.unionByName(base.where(F.col("row_id") % 50 == 0))
+    if not duplicate_every:
+        return base
+    return base.unionByName(base.where(F.col("row_id") % duplicate_every == 0))
 
 
 def dirty_orders_sql(orders: str = "orders") -> str:
