@@ -39,7 +39,7 @@ from ..functions.scalar import canonicalize, date_slot, parse_dates, text_to_num
 from ..operators import freq as freqmod
 from ..operators.kinds import q
 from ..operators.quantiles import exact_quantiles
-from ..session import scratch_dir
+from ..session import new_scratch_path
 from .rules import Suggestion
 
 LOG_SCHEMA = ("step int, type string, col string, dim string, n_affected bigint, fitted_num double, "
@@ -115,13 +115,22 @@ def _date_formats(convention: str | None) -> list[str]:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder; without one (a cluster that names
-    none) keep the frame persisted instead."""
+    """Write ``df`` as Parquet into the shared folder (spark.checkpoint.dir) and
+    read it back: the lineage is cut, later passes are columnar scans, and a lost
+    executor costs nothing. Without a shared folder (a cluster that names none)
+    the frame is persisted instead."""
+    spark = df.sparkSession
     try:
-        scratch_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        path = new_scratch_path(spark, "cleaning-fit")
     except RuntimeError:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _flag(cond: Column) -> Column:
+    """A per-row 0/1 term; the log's counts are sums of these."""
+    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 
 class CleaningPlan:
@@ -141,14 +150,16 @@ class CleaningPlan:
         env: dict[str, Column] = {c: F.col(q(c)) for c in base.columns}
         ops: list[Op] = []
         log: list[LogRow] = []
-        pending: dict[str, Column] = {}       # label -> count expression over `base`
+        pending: dict[str, Column] = {}       # label -> per-row 0/1 term over `base` (summed later)
         counters: dict[str, int] = {}
         formats: dict = {}
         categories: dict = {}
+        deferred_cats: list = []              # (step, suggestion, expression over `base`)
+        dirty = False                         # costly conversions since the base was last materialised
         steps = list(enumerate(self.suggestions, start=1))
 
         def flush(extra: dict[str, Column] | None = None) -> dict:
-            exprs = dict(pending)
+            exprs = {k: F.sum(v) for k, v in pending.items()}
             if extra:
                 exprs.update(extra)
             pending.clear()
@@ -159,6 +170,48 @@ class CleaningPlan:
             counters.update({k: v for k, v in vals.items()})
             return vals
 
+        def fit_categories(frame: DataFrame, items: list) -> None:
+            """One frequency-table job for several category lists (each capped at
+            category_max_distinct + 1 values; rule R3 allows at most 25)."""
+            if not items:
+                return
+            top = freqmod.top_k(freqmod.frequency_table(frame, [c for _, _, c in items]),
+                                cfg.category_max_distinct + 1, by="value").collect()
+            found: dict = {}
+            for r in top:
+                found.setdefault(r["column"], []).append((r["rank"], r["value"]))
+            for n2, s2, c in items:
+                cats = [v for _, v in sorted(found.get(c, []))]
+                categories[s2.col] = cats
+                log.append(LogRow(n2, "to_category", s2.col, s2.dim, n_affected=len(cats),
+                                  fitted_text="|".join(cats), note="stored as text; category list recorded"))
+
+        def barrier(dedup: bool) -> None:
+            """Materialise the projected frame once (with the log's per-row terms and
+            pending category columns), take counts and categories from cheap scans
+            of it, then optionally deduplicate and materialise again."""
+            nonlocal base, env, dirty
+            flags = dict(pending)
+            pending.clear()
+            flags["__rows"] = F.lit(1)
+            cat_cols = [(n2, s2, f"__cat{n2}") for n2, s2, _ in deferred_cats]
+            pre = base.select(*[e.alias(c) for c, e in env.items()],
+                              *[v.alias(f"__f{j}") for j, v in enumerate(flags.values())],
+                              *[e.alias(f"__cat{n2}") for n2, _, e in deferred_cats])
+            if self.materialize:
+                pre = _materialize(pre)
+            row = pre.agg(*[F.sum(f"__f{j}").alias(f"__f{j}") for j in range(len(flags))]).first()
+            counters.update({k: int(row[f"__f{j}"] or 0) for j, k in enumerate(flags)})
+            fit_categories(pre, cat_cols)
+            deferred_cats.clear()
+            base = pre.select(*[F.col(q(c)) for c in env])
+            if dedup:
+                base = base.dropDuplicates()
+                if self.materialize:
+                    base = _materialize(base)
+            env = {c: F.col(q(c)) for c in base.columns}
+            dirty = False
+
         i = 0
         while i < len(steps):
             n, s = steps[i]
@@ -187,8 +240,9 @@ class CleaningPlan:
                     pivot = cfg.two_digit_year_pivot
                     primary = parse_dates(raw, fmts, pivot)
                     parsed = F.coalesce(primary, parse_dates(raw, FALLBACK_FORMATS, pivot))
-                    pending[f"new_nulls{n2}"] = F.count_if(raw.isNotNull() & parsed.isNull())
-                    pending[f"fallback{n2}"] = F.count_if(primary.isNull() & parsed.isNotNull())
+                    pending[f"new_nulls{n2}"] = _flag(raw.isNotNull() & parsed.isNull())
+                    pending[f"fallback{n2}"] = _flag(primary.isNull() & parsed.isNotNull())
+                    dirty = True
                     note = ("day-first order detected" if conv == "dmy" else "month-first order detected"
                             if conv == "mdy" else "order could not be determined; leftovers parsed day-first")
                     ops.append(Op("set", s2.col, (lambda c, f, p: (lambda e: F.coalesce(
@@ -204,39 +258,25 @@ class CleaningPlan:
                 if t == "to_numeric":
                     raw = env[col]
                     val = text_to_number(raw)
-                    pending[f"pct{n}"] = F.count_if(raw.cast("string").contains("%"))
+                    pending[f"pct{n}"] = _flag(raw.cast("string").contains("%"))
+                    dirty = True
                     ops.append(Op("set", col, (lambda c: lambda e: text_to_number(e[c]))(col)))
                     env[col] = val
                     log.append(LogRow(n, t, col, s.dim, note="'%' values divided by 100; symbols stripped",
                                       counter=f"pct{n}"))
                 elif t == "to_category":
-                    # consecutive category steps share one frequency-table job; each list is
-                    # capped at category_max_distinct + 1 values (R3 allows at most 25)
-                    batch = [(n, s)]
-                    while i < len(steps) and steps[i][1].type == "to_category" and steps[i][1].col in env:
-                        batch.append(steps[i])
-                        i += 1
-                    proj = base.select(*[env[s2.col].alias(f"c{n2}") for n2, s2 in batch])
-                    top = freqmod.top_k(freqmod.frequency_table(proj, [f"c{n2}" for n2, _ in batch]),
-                                        cfg.category_max_distinct + 1, by="value").collect()
-                    found: dict = {}
-                    for r in top:
-                        found.setdefault(r["column"], []).append((r["rank"], r["value"]))
-                    for n2, s2 in batch:
-                        cats = [v for _, v in sorted(found.get(f"c{n2}", []))]
-                        categories[s2.col] = cats
-                        log.append(LogRow(n2, "to_category", s2.col, s2.dim, n_affected=len(cats),
-                                          fitted_text="|".join(cats), note="stored as text; category list recorded"))
+                    # fitted with the next pass over the data (the list is the column's
+                    # distinct values at this step)
+                    deferred_cats.append((n, s, env[col]))
                 elif t == "drop_col":
-                    pending[f"lost{n}"] = F.count(env[col])
+                    pending[f"lost{n}"] = _flag(env[col].isNotNull())
                     env.pop(col)
                     ops.append(Op("drop", col))
                     note = "constant column" if s.dim == "Tidiness" else "mostly null column"
                     log.append(LogRow(n, t, col, s.dim, note=note, counter=f"lost{n}"))
                 elif t == "to_integer":
                     v = env[col].cast("double")
-                    pending[f"int{n}"] = F.count(v)
-                    pending[f"intnull{n}"] = F.count_if(v.isNull())
+                    pending[f"int{n}"] = _flag(v.isNotNull())
                     ops.append(Op("set", col, (lambda c: lambda e: F.bround(e[c].cast("double"), 0).cast("bigint"))(col)))
                     env[col] = F.bround(v, 0).cast("bigint")
                     log.append(LogRow(n, t, col, s.dim, note="rounded to whole numbers, nulls kept",
@@ -244,16 +284,10 @@ class CleaningPlan:
                 elif t == "range_flag":
                     log.append(LogRow(n, t, col, s.dim, n_affected=0, note="flagged for manual review"))
                 elif t == "drop_duplicates":
-                    pending["__before"] = F.count(F.lit(1))
-                    flush()
-                    before = int(counters.pop("__before"))
-                    base = base.select(*[e.alias(c) for c, e in env.items()]).dropDuplicates()
-                    if self.materialize:
-                        base = _materialize(base)
-                    env = {c: F.col(q(c)) for c in base.columns}
+                    barrier(dedup=True)
                     ops.append(Op("dedup"))
-                    pending[f"after{n}"] = F.count(F.lit(1))
-                    counters[f"before{n}"] = before
+                    pending[f"after{n}"] = F.lit(1)
+                    counters[f"before{n}"] = counters.pop("__rows")
                     log.append(LogRow(n, t, col, s.dim, note="exact duplicate rows removed", counter=f"dedup{n}"))
                 continue
             if t in _FITS:
@@ -265,9 +299,15 @@ class CleaningPlan:
                     batch.append(steps[i])
                     i += 1
                 batch = [(n2, s2) for n2, s2 in batch if s2.col in env]
+                if (dirty or deferred_cats) and self.materialize:
+                    barrier(dedup=False)   # later fit passes then scan the converted columns
                 self._fit_batch(batch, base, env, ops, log, pending, counters, flush)
                 continue
             log.append(LogRow(n, t, col, s.dim, note=f"skipped: unknown step type '{t}'"))
+        if deferred_cats:
+            fit_categories(base.select(*[e.alias(f"__cat{n2}") for n2, _, e in deferred_cats]),
+                           [(n2, s2, f"__cat{n2}") for n2, s2, _ in deferred_cats])
+            deferred_cats.clear()
         flush()
         for r in log:
             if r.counter and r.n_affected is None:
