@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +38,7 @@ from ..functions.scalar import canonicalize, date_slot, parse_dates, text_to_num
 from ..operators import freq as freqmod
 from ..operators.kinds import q
 from ..operators.quantiles import exact_quantiles
-from ..session import new_scratch_path
+from ..session import materialize
 from .rules import Suggestion
 
 LOG_SCHEMA = ("step int, type string, col string, dim string, n_affected bigint, fitted_num double, "
@@ -115,17 +114,7 @@ def _date_formats(convention: str | None) -> list[str]:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder (spark.checkpoint.dir) and
-    read it back: the lineage is cut, later passes are columnar scans, and a lost
-    executor costs nothing. Without a shared folder (a cluster that names none)
-    the frame is persisted instead."""
-    spark = df.sparkSession
-    try:
-        path = new_scratch_path(spark, "cleaning-fit")
-    except RuntimeError:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return materialize(df, "cleaning-fit")
 
 
 def _flag(cond: Column) -> Column:
@@ -150,7 +139,10 @@ class CleaningPlan:
         env: dict[str, Column] = {c: F.col(q(c)) for c in base.columns}
         ops: list[Op] = []
         log: list[LogRow] = []
-        pending: dict[str, Column] = {}       # label -> per-row 0/1 term over `base` (summed later)
+        # label -> (fn, exprs): the per-row 0/1 term fn(*exprs) over `base`, summed later.
+        # Keeping the operands apart lets a barrier evaluate each costly operand
+        # (a parsed date, say) once and build the term from column references.
+        pending: dict[str, tuple] = {}
         counters: dict[str, int] = {}
         formats: dict = {}
         categories: dict = {}
@@ -159,7 +151,7 @@ class CleaningPlan:
         steps = list(enumerate(self.suggestions, start=1))
 
         def flush(extra: dict[str, Column] | None = None) -> dict:
-            exprs = {k: F.sum(v) for k, v in pending.items()}
+            exprs = {k: F.sum(fn(*ops_)) for k, (fn, ops_) in pending.items()}
             if extra:
                 exprs.update(extra)
             pending.clear()
@@ -191,18 +183,30 @@ class CleaningPlan:
             pending category columns), take counts and categories from cheap scans
             of it, then optionally deduplicate and materialise again."""
             nonlocal base, env, dirty
-            flags = dict(pending)
+            extra: dict[int, tuple] = {}
+
+            def ref(e: Column) -> Column:
+                for c, v in env.items():
+                    if v is e:
+                        return F.col(q(c))
+                if id(e) not in extra:
+                    extra[id(e)] = (f"__x{len(extra)}", e)
+                return F.col(extra[id(e)][0])
+
+            flags = {k: fn(*[ref(e) for e in ops_]) for k, (fn, ops_) in pending.items()}
             pending.clear()
             flags["__rows"] = F.lit(1)
-            cat_cols = [(n2, s2, f"__cat{n2}") for n2, s2, _ in deferred_cats]
-            pre = base.select(*[e.alias(c) for c, e in env.items()],
-                              *[v.alias(f"__f{j}") for j, v in enumerate(flags.values())],
-                              *[e.alias(f"__cat{n2}") for n2, _, e in deferred_cats])
+            cats = [(n2, s2, ref(e)) for n2, s2, e in deferred_cats]
+            # stage 1 evaluates every costly expression once; stage 2 only refers to it
+            stage1 = base.select(*[e.alias(c) for c, e in env.items()], *[e.alias(nm) for nm, e in extra.values()])
+            pre = stage1.select(*[F.col(q(c)) for c in env],
+                                *[v.alias(f"__f{j}") for j, v in enumerate(flags.values())],
+                                *[r.alias(f"__cat{n2}") for n2, _, r in cats])
             if self.materialize:
                 pre = _materialize(pre)
             row = pre.agg(*[F.sum(f"__f{j}").alias(f"__f{j}") for j in range(len(flags))]).first()
             counters.update({k: int(row[f"__f{j}"] or 0) for j, k in enumerate(flags)})
-            fit_categories(pre, cat_cols)
+            fit_categories(pre, [(n2, s2, f"__cat{n2}") for n2, s2, _ in cats])
             deferred_cats.clear()
             base = pre.select(*[F.col(q(c)) for c in env])
             if dedup:
@@ -240,8 +244,7 @@ class CleaningPlan:
                     pivot = cfg.two_digit_year_pivot
                     primary = parse_dates(raw, fmts, pivot)
                     parsed = F.coalesce(primary, parse_dates(raw, FALLBACK_FORMATS, pivot))
-                    pending[f"new_nulls{n2}"] = _flag(raw.isNotNull() & parsed.isNull())
-                    pending[f"fallback{n2}"] = _flag(primary.isNull() & parsed.isNotNull())
+                    pending[f"new_nulls{n2}"] = (lambda r, p: _flag(r.isNotNull() & p.isNull()), [raw, parsed])
                     dirty = True
                     note = ("day-first order detected" if conv == "dmy" else "month-first order detected"
                             if conv == "mdy" else "order could not be determined; leftovers parsed day-first")
@@ -258,7 +261,7 @@ class CleaningPlan:
                 if t == "to_numeric":
                     raw = env[col]
                     val = text_to_number(raw)
-                    pending[f"pct{n}"] = _flag(raw.cast("string").contains("%"))
+                    pending[f"pct{n}"] = (lambda r: _flag(r.cast("string").contains("%")), [raw])
                     dirty = True
                     ops.append(Op("set", col, (lambda c: lambda e: text_to_number(e[c]))(col)))
                     env[col] = val
@@ -269,14 +272,14 @@ class CleaningPlan:
                     # distinct values at this step)
                     deferred_cats.append((n, s, env[col]))
                 elif t == "drop_col":
-                    pending[f"lost{n}"] = _flag(env[col].isNotNull())
+                    pending[f"lost{n}"] = (lambda v: _flag(v.isNotNull()), [env[col]])
                     env.pop(col)
                     ops.append(Op("drop", col))
                     note = "constant column" if s.dim == "Tidiness" else "mostly null column"
                     log.append(LogRow(n, t, col, s.dim, note=note, counter=f"lost{n}"))
                 elif t == "to_integer":
                     v = env[col].cast("double")
-                    pending[f"int{n}"] = _flag(v.isNotNull())
+                    pending[f"int{n}"] = (lambda x: _flag(x.isNotNull()), [v])
                     ops.append(Op("set", col, (lambda c: lambda e: F.bround(e[c].cast("double"), 0).cast("bigint"))(col)))
                     env[col] = F.bround(v, 0).cast("bigint")
                     log.append(LogRow(n, t, col, s.dim, note="rounded to whole numbers, nulls kept",
@@ -286,7 +289,7 @@ class CleaningPlan:
                 elif t == "drop_duplicates":
                     barrier(dedup=True)
                     ops.append(Op("dedup"))
-                    pending[f"after{n}"] = F.lit(1)
+                    pending[f"after{n}"] = (lambda: F.lit(1), [])
                     counters[f"before{n}"] = counters.pop("__rows")
                     log.append(LogRow(n, t, col, s.dim, note="exact duplicate rows removed", counter=f"dedup{n}"))
                 continue

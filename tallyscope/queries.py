@@ -18,7 +18,7 @@ from .operators import profile as P
 from .operators import textsniff as TS
 from .plans.cleaning import CleaningPlan, before_after, category_codes
 from .plans.rules import assess, suggestions_frame
-from .session import new_scratch_path
+from .session import materialize, new_scratch_path
 from .sources import csv as CSV
 from .sources.preview import head, seeded_sample
 from .sources.tables import LINEITEM_ORDER, dirty_orders, read_table
@@ -59,7 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _audited(spark, sf):
-    do = _do(spark, sf)
+    # the audit and the fit scan this derived table ~15 times: materialise it once
+    do = materialize(_do(spark, sf), "dirty-orders")
     return do, assess(do, ["row_id"])
 
 

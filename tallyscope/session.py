@@ -75,3 +75,22 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
 
     base = scratch_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    For a derived frame that later work scans several times: the lineage is
+    cut, later passes are columnar scans with pruning, and a lost executor
+    costs nothing. Without a shared folder (a cluster that names none) the
+    frame is persisted instead.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    try:
+        path = new_scratch_path(spark, name)
+    except RuntimeError:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
