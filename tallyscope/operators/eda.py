@@ -20,6 +20,8 @@ from .quantiles import exact_quantiles
 from .rowindex import with_row_index
 
 PLOT_SAMPLE_ROWS = 50_000
+# pair sums that still fit one wide aggregate; beyond, correlations use the exploded form
+_PAIR_FIELDS_ONE_SCAN = 90
 
 
 def _c(name):
@@ -178,22 +180,44 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> dict:
     st = column_stats(df, cols, higher=False)
     n_rows = st["_rows"]
     d = {c: _c(c).cast("double") - F.lit(st[c]["mean"] if st[c]["mean"] is not None else 0.0) for c in cols}
-    exprs, fields, masked = [], [], {}
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    masked = {(i, j): True for i, j in pairs if st[cols[i]]["nulls"] or st[cols[j]]["nulls"]}
+    n_fields = sum(6 if p in masked else 1 for p in pairs)
+    if n_fields <= _PAIR_FIELDS_ONE_SCAN:
+        # few pairs: one wide aggregate of plain sums (inside whole-stage codegen)
+        exprs, fields = [], []
+        for i, j in pairs:
             a, b = cols[i], cols[j]
-            if st[a]["nulls"] == 0 and st[b]["nulls"] == 0:
+            if (i, j) not in masked:
                 exprs.append(F.sum(d[a] * d[b]).alias(f"xy{i}_{j}"))
                 fields.append(1)
             else:
                 both = _c(a).isNotNull() & _c(b).isNotNull()
                 x, y = F.when(both, d[a]), F.when(both, d[b])
-                masked[(i, j)] = True
                 exprs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(x).alias(f"sx{i}_{j}"), F.sum(y).alias(f"sy{i}_{j}"),
                           F.sum(x * x).alias(f"xx{i}_{j}"), F.sum(y * y).alias(f"yy{i}_{j}"),
                           F.sum(x * y).alias(f"xy{i}_{j}")]
                 fields += [1] * 6
-    row = agg_row(df, exprs, fields) if exprs else {}
+        row = agg_row(df, exprs, fields) if exprs else {}
+    else:
+        # many columns: one scan emitting one row per pair, then groupBy(pair) with
+        # map-side combine - the k(k-1)/2 sums never need repeated scans
+        items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), d[cols[i]].alias("x"), d[cols[j]].alias("y"))
+                 for i, j in pairs]
+        long = df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        agg = long.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+                                         F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"),
+                                         F.sum(F.col("x") * F.col("y")).alias("xy"))
+        row = {}
+        for r in agg.collect():   # one row per pair
+            i, j = r["i"], r["j"]
+            masked[(i, j)] = True
+            row.update({f"n{i}_{j}": r["n"], f"sx{i}_{j}": r["sx"], f"sy{i}_{j}": r["sy"],
+                        f"xx{i}_{j}": r["xx"], f"yy{i}_{j}": r["yy"], f"xy{i}_{j}": r["xy"]})
+        for p in pairs:
+            masked[p] = True
+            for k in ("n", "sx", "sy", "xx", "yy", "xy"):
+                row.setdefault(f"{k}{p[0]}_{p[1]}", 0 if k == "n" else None)
     var_n = {c: (st[c]["varp"] * st[c]["n"]) if st[c]["varp"] is not None else None for c in cols}
     res = {}
     for i in range(len(cols)):

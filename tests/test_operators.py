@@ -94,3 +94,17 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 11 and "n_unique" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_wide_correlations_use_one_scan_and_match_numpy(spark):
+    from tallyscope.operators.eda import correlations
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 1))
+    data = base + rng.normal(scale=0.5, size=(400, 15))   # 105 pairs: exploded form
+    cols = [f"c{i}" for i in range(15)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], ", ".join(f"{c} double" for c in cols))
+    res = correlations(df)
+    want = np.corrcoef(data, rowvar=False)
+    for (i, j), r in res["r"].items():
+        assert abs(r - want[i, j]) < 1e-12
