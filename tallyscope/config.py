@@ -73,6 +73,9 @@ NA_TOKENS = (
     "nan", "null",
 )
 
+# quantiles every audit computes (quartiles and p99 for the rules, the median for the evidence pack)
+AUDIT_PROBS = (0.25, 0.5, 0.75, 0.99)
+
 QUALITY_DIMENSIONS = ("Completeness", "Validity", "Accuracy", "Consistency", "Tidiness")
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, AuditConfig
+from ..config import AUDIT_PROBS, DEFAULT, AuditConfig
 from ..functions.scalar import rnd
 from . import eda
 from .kinds import numeric_cols, q
@@ -16,12 +16,18 @@ from .quantiles import exact_quantiles
 from .rowindex import with_row_index
 
 
-def numeric_evidence(df: DataFrame, first: int = 8, decimals: int | None = 3, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """Mean, median, std, min, max of the first eight numeric columns (empty ones skipped)."""
+def numeric_evidence(df: DataFrame, first: int = 8, decimals: int | None = 3, cfg: AuditConfig = DEFAULT,
+                     stats: dict | None = None, probs: tuple | None = None) -> DataFrame:
+    """Mean, median, std, min, max of the first eight numeric columns (empty ones skipped).
+
+    ``stats``/``probs`` reuse an audit's column statistics (same frame) instead of rescanning."""
     cols = numeric_cols(df, first)
-    st = column_stats(df, cols, higher=False, probs=[0.5], cfg=cfg)
+    if stats is not None and probs is not None and 0.5 in probs and all(c in stats for c in cols):
+        st, k = stats, list(probs).index(0.5)
+    else:
+        st, k = column_stats(df, cols, higher=False, probs=[0.5], cfg=cfg), 0
     cols = [c for c in cols if st[c]["n"] > 0]
-    rows = [(c, st[c]["mean"], st[c]["q"][0], st[c]["std"], st[c]["min"], st[c]["max"]) for c in cols]
+    rows = [(c, st[c]["mean"], st[c]["q"][k], st[c]["std"], st[c]["min"], st[c]["max"]) for c in cols]
     t = df.sparkSession.createDataFrame(rows, "column string, mean double, median double, std double, min double, max double")
     return t.select("column", *[rnd(F.col(x), decimals).alias(x) for x in ("mean", "median", "std", "min", "max")])
 
@@ -84,7 +90,7 @@ def evidence_pack(df: DataFrame, assessment, plan=None, cfg: AuditConfig = DEFAU
         "cleaning_steps": plan.log_lines() if plan is not None else [],
         "outliers": {k: int(v) for k, v in a.outliers.items()},
         "skewness": {k: round(float(v), 3) for k, v in a.skewness.items()},
-        "numeric": _rows(numeric_evidence(df, cfg=cfg)),
+        "numeric": _rows(numeric_evidence(df, cfg=cfg, stats=a.stats, probs=AUDIT_PROBS)),
         "top_categories": _rows(eda.top_categories(df)),
         "correlations": _rows(eda.top_correlations(df)),
     }
