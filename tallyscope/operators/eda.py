@@ -401,10 +401,15 @@ def ts_rolling_mean(df: DataFrame, ts: str, value: str, tiebreak: list[str] | No
         return pos.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"),
                           F.lit(None).cast("double").alias("rolling_mean"))
     wsize = max(5, m // 20)
+    order = Window.orderBy("pos")
+    total = pos.agg(F.sum(F.abs("value")).alias("t")).first()["t"] or 0.0
+    if total >= 1e26:
+        # beyond DECIMAL(38,10): plain double means over the (bounded) frame
+        roll = F.avg("value").over(order.rowsBetween(-(wsize - 1), 0))
+        return pos.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"), rnd(roll, decimals).alias("rolling_mean"))
     # trailing sums as differences of exact DECIMAL prefix sums: O(n) instead of
     # re-aggregating every w-row frame, and exact, because means of a few
     # decimal values often sit exactly on a rounding tie
-    order = Window.orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     cum = pos.select("pos", "ts", "value", F.sum(F.col("value").cast("decimal(38,10)")).over(running).alias("__c"))
     prev = F.coalesce(F.lag("__c", wsize).over(order), F.lit(0).cast("decimal(38,10)"))
