@@ -34,7 +34,7 @@ from ..config import (
     UNAMBIGUOUS_FORMATS,
     AuditConfig,
 )
-from ..functions.scalar import canonicalize, date_slot, parse_dates, text_to_number
+from ..functions.scalar import canonicalize, coerce_number, date_slot, parse_dates, strip_ws, text_to_number
 from ..operators import freq as freqmod
 from ..operators.kinds import q
 from ..operators.quantiles import exact_quantiles
@@ -117,6 +117,15 @@ def _materialize(df: DataFrame) -> DataFrame:
     return materialize(df, "cleaning-fit")
 
 
+def _as_double(e: Column, dt: T.DataType) -> Column:
+    """Numeric view of a column for fills and range fixes: text is coerced
+    (unparseable -> NULL, as the audited tool's coercion does) instead of a
+    cast that would fail under ANSI mode."""
+    if isinstance(dt, T.StringType):
+        return coerce_number(strip_ws(e))
+    return e.cast("double")
+
+
 def _flag(cond: Column) -> Column:
     """A per-row 0/1 term; the log's counts are sums of these."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
@@ -278,9 +287,10 @@ class CleaningPlan:
                     note = "constant column" if s.dim == "Tidiness" else "mostly null column"
                     log.append(LogRow(n, t, col, s.dim, note=note, counter=f"lost{n}"))
                 elif t == "to_integer":
-                    v = env[col].cast("double")
+                    dt = self._dtype(base, env, col)
+                    v = _as_double(env[col], dt)
                     pending[f"int{n}"] = (lambda x: _flag(x.isNotNull()), [v])
-                    ops.append(Op("set", col, (lambda c: lambda e: F.bround(e[c].cast("double"), 0).cast("bigint"))(col)))
+                    ops.append(Op("set", col, (lambda c, d: lambda e: F.bround(_as_double(e[c], d), 0).cast("bigint"))(col, dt)))
                     env[col] = F.bround(v, 0).cast("bigint")
                     log.append(LogRow(n, t, col, s.dim, note="rounded to whole numbers, nulls kept",
                                       counter=f"int{n}"))
@@ -340,10 +350,11 @@ class CleaningPlan:
             if s.type in ("fill_median", "fill_mode"):
                 extra[f"nulls{n}"] = F.count_if(v.isNull())
                 if s.type == "fill_median":
-                    med_exprs[f"m{n}"] = v.cast("double")
-                    extra[f"m{n}"] = F.count(v.cast("double"))
+                    vd = _as_double(v, self._dtype(base, env, s.col))
+                    med_exprs[f"m{n}"] = vd
+                    extra[f"m{n}"] = F.count(vd)
             else:
-                x = v.cast("double")
+                x = _as_double(v, self._dtype(base, env, s.col))
                 bad = self._bad(x, s)
                 extra[f"bad{n}"] = F.count_if(bad)
                 med_exprs[f"m{n}"] = F.when(~bad, x)
@@ -385,15 +396,19 @@ class CleaningPlan:
                 med = meds[f"m{n}"][0]
                 n_bad = int(got[f"bad{n}"])
                 if med is None:
-                    ops.append(Op("set", col, (lambda c, st: lambda e: F.when(~self._bad(e[c].cast("double"), st), e[c].cast("double")))(col, s)))
-                    x = env[col].cast("double")
+                    dt = self._dtype(base, env, col)
+                    ops.append(Op("set", col, (lambda c, st, d: lambda e: F.when(~self._bad(_as_double(e[c], d), st),
+                                                                                 _as_double(e[c], d)))(col, s, dt)))
+                    x = _as_double(env[col], dt)
                     env[col] = F.when(~self._bad(x, s), x)
                     log.append(LogRow(n, s.type, col, s.dim, n_affected=n_bad,
                                       note="all values out of range: left null, nothing to impute"))
                     continue
 
-                def make(e, c=col, st=s, m=med):
-                    x = e[c].cast("double")
+                dt = self._dtype(base, env, col)
+
+                def make(e, c=col, st=s, m=med, d=dt):
+                    x = _as_double(e[c], d)
                     out = F.coalesce(F.when(~self._bad(x, st), x), F.lit(m))
                     return F.bround(out, 0).cast("bigint") if st.to_int else out
 

@@ -97,3 +97,13 @@ def test_date_order_detection(spark):
                                "dmy string, mdy string, both string, neither string")
     got = {r.column: r.convention for r in date_order(df).collect()}
     assert got == {"dmy": "dmy", "mdy": "mdy", "both": None, "neither": None}
+
+
+def test_range_fix_on_text_column_coerces_instead_of_failing(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    df = spark.createDataFrame([(0, "5"), (1, "x"), (2, "200"), (3, "7")], "k bigint, rating string")
+    sugs = [Suggestion("fix_range", "rating", "Accuracy", lo=0.0, hi=5.0)]
+    out, plan = CleaningPlan(sugs).fit_transform(df)
+    # "x" is not a number (missing), 200 and 7 are out of range: all take the median of valid values (5)
+    assert dict(out.collect()) == {0: 5.0, 1: 5.0, 2: 5.0, 3: 5.0}
+    assert plan.log[0].n_affected == 2
