@@ -33,7 +33,8 @@ def numeric_evidence(df: DataFrame, first: int = 8, decimals: int | None = 3, cf
 
 
 def dialogue_context(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
-                     text: str = "text", window: int = 6, current_role: str = "user") -> DataFrame:
+                     text: str = "text", window: int = 6, current_role: str = "user",
+                     rows_per_bucket: int | None = None) -> DataFrame:
     """For every ``current_role`` turn, the ``window`` turns before it in its conversation.
 
     Positions come from the bucketed global index over (conv, turn); each row is
@@ -41,7 +42,8 @@ def dialogue_context(conv: DataFrame, key: str = "conv_id", turn: str = "turn",
     on a unique key, so one huge conversation is spread like any other rows and
     never lands in a single task.
     """
-    idx = with_row_index(conv, [key, turn], "__g")
+    idx = (with_row_index(conv, [key, turn], "__g") if rows_per_bucket is None
+           else with_row_index(conv, [key, turn], "__g", rows_per_bucket=rows_per_bucket))
     src = idx.select(F.col(key).alias("__k"), F.col(turn).alias("ctx_turn"), F.col(role).alias("ctx_role"),
                      F.col(text).alias("ctx_text"), "__g",
                      F.explode(F.sequence(F.lit(1), F.lit(window))).alias("ctx_offset"))

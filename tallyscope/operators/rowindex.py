@@ -45,15 +45,15 @@ def _bucket_expr(key: Column, cuts: list[Column], lo: int = 0, hi: int | None =
     return F.when(key < cuts[mid], _bucket_expr(key, cuts, lo, mid)).otherwise(_bucket_expr(key, cuts, mid + 1, hi))
 
 
-def with_row_index(df: DataFrame, order_by: list[str], name: str = "idx", n_rows: int | None = None,
-                   rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> DataFrame:
-    """``df`` plus a 0-based BIGINT ``name`` giving each row's position in ``order_by`` order."""
+def bucketed(df: DataFrame, order_by: list[str], n_rows: int | None = None,
+             rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> tuple[DataFrame, list[int]]:
+    """``df`` tagged with ``__b`` (its key's bucket among sampled cut keys) and the
+    row count of every bucket (one small aggregate; B numbers to the driver)."""
     n = df.count() if n_rows is None else n_rows
     buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
-    key = _key_struct(df, order_by)
     if buckets == 1:
-        w = Window.partitionBy(F.lit(0)).orderBy(*[F.col(q(k)) for k in order_by])
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+        return df.withColumn("__b", F.lit(0)), [n]
+    key = _key_struct(df, order_by)
     frac = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, n))
     sample = df.select(*[F.col(q(k)) for k in order_by]).sample(False, frac, seed).orderBy(*order_by).collect()
     step = len(sample) / buckets
@@ -65,11 +65,21 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "idx", n_rows
             uniq.append(c)
     cuts = [_cut_struct(df, order_by, c) for c in uniq]
     tagged = df.withColumn("__b", _bucket_expr(key, cuts))
-    counts = {r["__b"]: r["n"] for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r["__b"]: r["n"] for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return tagged, [int(got.get(b, 0)) for b in range(len(cuts) + 1)]
+
+
+def with_row_index(df: DataFrame, order_by: list[str], name: str = "idx", n_rows: int | None = None,
+                   rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> DataFrame:
+    """``df`` plus a 0-based BIGINT ``name`` giving each row's position in ``order_by`` order."""
+    tagged, counts = bucketed(df, order_by, n_rows, rows_per_bucket, seed)
     offsets, acc = [], 0
-    for b in range(len(cuts) + 1):
+    for c in counts:
         offsets.append(acc)
-        acc += int(counts.get(b, 0))
+        acc += c
     w = Window.partitionBy("__b").orderBy(*[F.col(q(k)) for k in order_by])
-    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("__b") + 1)
+    if len(offsets) == 1:
+        off = F.lit(0).cast("bigint")
+    else:
+        off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("__b") + 1)
     return tagged.withColumn(name, (F.row_number().over(w) - 1 + off).cast("bigint")).drop("__b")

@@ -108,3 +108,26 @@ def test_wide_correlations_use_one_scan_and_match_numpy(spark):
     want = np.corrcoef(data, rowvar=False)
     for (i, j), r in res["r"].items():
         assert abs(r - want[i, j]) < 1e-12
+
+
+def test_hot_key_prefix_spreads_over_buckets(spark):
+    from tallyscope.operators.rowindex import bucketed
+
+    # one conversation holds a third of all rows
+    rows = [(0, t) for t in range(3000)] + [(1 + i // 10, i % 10) for i in range(6000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint").repartition(6)
+    _, sizes = bucketed(df, ["conv_id", "turn"], rows_per_bucket=500)
+    assert sum(sizes) == 9000 and len(sizes) >= 15
+    assert max(sizes) <= 3 * 9000 / len(sizes)        # no bucket carries the hot conversation
+
+
+def test_dialogue_context_with_hot_conversation(spark):
+    from tallyscope.operators.evidence import dialogue_context
+
+    rows = [(0, t, "user" if t % 3 == 0 else "assistant", f"t{t}") for t in range(600)]
+    rows += [(1 + i // 5, i % 5, "user", f"s{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = dialogue_context(df, rows_per_bucket=100)
+    hot = got.where("conv_id = 0")
+    assert hot.count() == sum(min(6, t) for t in range(0, 600, 3))
+    assert got.where("conv_id = 0 and turn = 300 and ctx_offset = 1").first().ctx_turn == 299
