@@ -131,3 +131,20 @@ def test_dialogue_context_with_hot_conversation(spark):
     hot = got.where("conv_id = 0")
     assert hot.count() == sum(min(6, t) for t in range(0, 600, 3))
     assert got.where("conv_id = 0 and turn = 300 and ctx_offset = 1").first().ctx_turn == 299
+
+
+def test_melt_and_null_indicators(spark):
+    from tallyscope.operators.reshape import melt, null_indicators
+
+    df = spark.createDataFrame([(1, 2.0, None), (2, None, 5)], "k bigint, a double, b int")
+    assert sorted(tuple(r) for r in melt(df, ["k"]).collect()) == [(1, "a", 2.0), (2, "b", 5.0)]
+    assert [tuple(r) for r in null_indicators(df, ["a", "b"], keep=["k"]).orderBy("k").collect()] == [(1, 0, 1), (2, 1, 0)]
+
+
+def test_approximate_cardinality_is_close(spark):
+    from tallyscope.operators.profile import cardinality
+
+    df = spark.range(20000).selectExpr("cast(id % 5000 as string) as v")
+    exact = cardinality(df).first().n_unique
+    approx = cardinality(df, exact=False).first().n_unique
+    assert exact == 5000 and abs(approx - 5000) / 5000 < 0.05
