@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from ..config import (
     ACCOUNTING_NEGATIVE_PATTERN,
-    DATE_LIKE_PATTERN,
     DATE_SLOTS_PATTERN,
     NUMERIC_STRIP_PATTERN,
     NUMERIC_TEXT_PATTERN,
@@ -75,10 +74,6 @@ def text_to_number(c: Column) -> Column:
     return F.when(raw.contains("%"), value / F.lit(100.0)).otherwise(value)
 
 
-def looks_like_date(c: Column) -> Column:
-    return c.cast("string").rlike("^(?:" + DATE_LIKE_PATTERN + ")")
-
-
 def date_slot(c: Column, i: int) -> Column:
     """Numeric value of the i-th leading slot of a d/m or m/d date, NULL if absent."""
     s = F.regexp_extract(strip_ws(c.cast("string")), DATE_SLOTS_PATTERN, i)
@@ -167,36 +162,6 @@ def rnd(c: Column, decimals: int | None) -> Column:
     return c if decimals is None else F.round(c, decimals)
 
 
-def g1_from(pop_skew: Column, n: Column, var_pop: Column) -> Column:
-    """Bias-adjusted sample skewness G1 from Spark's population g1.
-
-    0.0 for a constant column with n >= 3, NULL when n < 3.
-    """
-    n_d = n.cast("double")
-    adj = F.sqrt(n_d * (n_d - 1)) / (n_d - 2) * pop_skew
-    return F.when(n < 3, F.lit(None).cast("double")).when(var_pop == 0, F.lit(0.0)).otherwise(adj)
-
-
-def g2_from(pop_kurt: Column, n: Column, var_pop: Column) -> Column:
-    """Bias-adjusted excess kurtosis G2 from Spark's population excess kurtosis."""
-    n_d = n.cast("double")
-    adj = (n_d - 1) / ((n_d - 2) * (n_d - 3)) * ((n_d + 1) * pop_kurt + 6)
-    return F.when(n < 4, F.lit(None).cast("double")).when(var_pop == 0, F.lit(0.0)).otherwise(adj)
-
-
-def pair_masked(x: Column, y: Column) -> tuple[Column, Column]:
-    """x and y restricted to the rows where both are present (pairwise-complete)."""
-    both = x.isNotNull() & y.isNotNull()
-    return F.when(both, x), F.when(both, y)
-
-
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson r that is NULL (not an error) for a constant side; ANSI-safe."""
-    xm, ym = pair_masked(x.cast("double"), y.cast("double"))
-    den = F.stddev_pop(xm) * F.stddev_pop(ym)
-    return F.when(den > 0, F.try_divide(F.covar_pop(xm, ym), den))
-
-
 def sample_order(key_cols, seed: int = 42) -> Column:
     """Deterministic pseudo-random order: md5 of the key text and the seed."""
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols])

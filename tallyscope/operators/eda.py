@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
-from ..functions.scalar import exact_mean_sql, pct, rnd, safe_corr
+from ..functions.scalar import exact_mean_sql, pct, rnd
 from ..sources.preview import seeded_sample
 from . import freq as freqmod
 from .kinds import categorical_cols, datetime_cols, numeric_cols, q

@@ -42,3 +42,19 @@ def test_name_matching_modes():
     assert tok.name_has("customer_age", "age")
     assert not sub.name_has("discount_rate", "count") and strict.name_has("discount_rate", "count")
     assert sub.name_has("unit_count", "count")
+
+
+def test_plain_string_coercion_equals_the_fixed_patterns():
+    """translate()/startswith() replace two regexes; they must delete and rewrite
+    exactly what the fixed patterns do."""
+    import re
+
+    from tallyscope.config import ACCOUNTING_NEGATIVE_PATTERN, NUMERIC_STRIP_PATTERN
+    from tallyscope.functions.scalar import _STRIP_CHARS
+
+    cls = {c for c in map(chr, range(0x110000)) if re.fullmatch(NUMERIC_STRIP_PATTERN, c)}
+    assert cls == set(_STRIP_CHARS)
+    for v in ["(5)", "()", "(1,2)", "((3))", "(4", "5)"]:
+        want = re.sub(ACCOUNTING_NEGATIVE_PATTERN, r"-\1", v)
+        got = "-" + v[1:-1] if len(v) >= 2 and v[0] == "(" and v[-1] == ")" else v
+        assert got == want
