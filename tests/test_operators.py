@@ -148,3 +148,12 @@ def test_approximate_cardinality_is_close(spark):
     exact = cardinality(df).first().n_unique
     approx = cardinality(df, exact=False).first().n_unique
     assert exact == 5000 and abs(approx - 5000) / 5000 < 0.05
+
+
+def test_describe_approximate_quartiles_are_close(spark):
+    from tallyscope.operators.profile import describe_numeric
+
+    df = spark.range(10000).selectExpr("cast(id as double) as x")
+    ex = describe_numeric(df).first()
+    ap = describe_numeric(df, exact=False).first()
+    assert ex.q25 == 2499.75 and abs(ap.q25 - ex.q25) <= 2 and ap.count == ex.count == 10000
