@@ -1,13 +1,15 @@
 """Type sniffing of text columns (A22 date-like rate, A23 numeric-like rate, A24 date order).
 
 The sampled rates look at the first n non-null values of each column in an
-explicit key order. One explode + ``row_number() <= n`` serves all columns;
-Spark plans it as a partial WindowGroupLimit before the shuffle, so each map
-task forwards at most n rows per column whatever the table size.
+explicit key order: per column an ordered limit (a bounded heap per task, so
+each map task forwards at most n rows whatever the table size), unioned into
+one job.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,18 @@ from .kinds import categorical_cols, q
 
 
 def first_values(df: DataFrame, cols: list[str], order_by: list[str], n: int) -> DataFrame:
-    """(column, rn, value): the first n non-null values of each column in key order."""
-    key = F.struct(*[F.col(q(k)) for k in order_by])
-    items = [F.struct(F.lit(c).alias("column"), F.col(q(c)).cast("string").alias("value")) for c in cols]
-    long = df.select(key.alias("__key"), F.inline(F.array(*items))).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy("__key")
-    return long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("__key")
+    """(column, rn, value): the first n non-null values of each column in key order.
+
+    One ordered limit per column (TakeOrderedAndProject: a bounded heap per task,
+    no sort of the table; only the key and that column are read), unioned into
+    one job; the final numbering runs over at most n rows per column."""
+    keys = [F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(order_by)]
+    korder = [f"__k{i}" for i in range(len(order_by))]
+    parts = [df.select(*keys, F.lit(c).alias("column"), F.col(q(c)).cast("string").alias("value"))
+             .where(F.col("value").isNotNull()).orderBy(*korder).limit(n) for c in cols]
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    w = Window.partitionBy("column").orderBy(*korder)
+    return u.withColumn("rn", F.row_number().over(w)).drop(*korder)
 
 
 def sniff_rates(df: DataFrame, order_by: list[str], cols: list[str] | None = None,

@@ -22,7 +22,7 @@ def test_sniffing_reads_only_needed_columns_and_limits_early(spark):
 
     li = read_table(spark, SF, "lineitem")
     plan = _plan(sniff_rates(li, ["l_orderkey", "l_linenumber"], ["l_returnflag"]))
-    assert "WindowGroupLimit" in plan
+    assert "TakeOrderedAndProject" in plan
     assert "l_comment" not in plan and "l_extendedprice" not in plan   # pruned scan
 
 
