@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm.fingerprints import op6_fingerprints
 from tallyscope.llm.langid import op8_langid
+from tallyscope.llm.ngram_join import op2_ngram_join
 from tallyscope.llm.packing import op10_packing
 from tallyscope.llm.sentencepiece_codec import op3_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op3_sentencepiece": op3_sentencepiece,
         "op6_fingerprints": op6_fingerprints,
         "op8_langid": op8_langid,
