@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.session import new_scratch_path, scratch_dir
@@ -98,3 +99,34 @@ def order_buckets(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame,
         splits=[float("-inf"), *cuts, float("inf")], inputCol="__order_value", outputCol="__order_bucket"
     ).transform(keyed)
     return out.withColumn(name, F.col("__order_bucket").cast("int")).drop("__order_value", "__order_bucket"), name
+
+
+#: Bits of a ``bit_table``, as a power of two: 512 KB, whatever the input.
+TABLE_BITS = 22
+
+
+def spot(column: str | Column) -> Column:
+    """Where a value stands in a bit table."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - TABLE_BITS)
+
+
+def bit_table(values: DataFrame, where: Column) -> np.ndarray:
+    """A bit for the spot ``where`` of every row, as words.
+
+    Of fixed size, so it can be broadcast: it tells most values that are not
+    among these, and the more there are the fewer. What passes it is joined.
+    """
+    words = (
+        values.select(where.alias("spot"))
+        .groupBy(F.shiftright("spot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def in_table(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which spots have their bit."""
+    return ((bits[spots >> 6] >> (spots & 63)) & 1).astype(bool)

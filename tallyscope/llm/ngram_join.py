@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import partitions, reliable, table, written
+from tallyscope.llm.common import bit_table, in_table, partitions, reliable, spot, table, written
 from tallyscope.llm.components import connected_components
 
 WORDS = 5
@@ -56,7 +56,6 @@ FREQUENT = 1 << 16
 #: Members of one chain, and rows of one block of a tile.
 CHAIN, BLOCK = 4096, 2048
 SIGNATURE_WORDS = 8
-TABLE_BITS = 22
 #: Over 4/3, so that linked sizes are at most one band apart.
 BAND = 1.34
 #: Elements counted together inside a task, and the count from which one is reported.
@@ -242,23 +241,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     near = reliable(
         pairs.join(left, "a").join(right, "b").filter(_sizes_agree("na", "nb") & (7 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "ra", "rb")
     )
-    spot = F.shiftrightunsigned(F.xxhash64("key"), 64 - TABLE_BITS)
-    words = (
-        near.select(F.explode(F.array("ra", "rb")).alias("key"))
-        .select(spot.alias("spot"))
-        .groupBy(F.shiftright("spot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
-        .toArrow()
-    )  # 2^16 rows at most, whatever the input
-    bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(bit_table(near.select(F.explode(F.array("ra", "rb")).alias("key")), spot("key")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            place = batch.column("spot").to_numpy(zero_copy_only=False)
-            wanted = np.flatnonzero((shared.value[place >> 6] >> (place & 63)) & 1)
+            wanted = np.flatnonzero(in_table(shared.value, batch.column("spot").to_numpy(zero_copy_only=False)))
             text = batch.column("text")
             for a in range(0, len(wanted), 500):
                 ids, data = [], []
@@ -271,7 +259,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                         data.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sig", "elements"])
 
-    found = docs.select(spot.alias("spot"), "text").mapInArrow(sets, "sig long, elements binary")
+    found = docs.select(spot("key").alias("spot"), "text").mapInArrow(sets, "sig long, elements binary")
     both = (
         near.select("a", "b")
         .join(found.select(F.col("sig").alias("a"), F.col("elements").alias("ea")), "a")

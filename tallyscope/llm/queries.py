@@ -11,6 +11,7 @@ from tallyscope.llm.langid import op8_langid
 from tallyscope.llm.ngram_join import op2_ngram_join
 from tallyscope.llm.packing import op10_packing
 from tallyscope.llm.sentencepiece_codec import op3_sentencepiece
+from tallyscope.llm.suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op6_fingerprints": op6_fingerprints,
         "op8_langid": op8_langid,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import partitions, table, written
+from tallyscope.llm.common import TABLE_BITS, bit_table, in_table, partitions, spot, table, written
 
 MATCH, GRAM = 200, 32
 #: Bytes of text hashed at once, and windows of a long text cut at once.
@@ -284,19 +284,38 @@ def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments of each document."""
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-            data = texts[i].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array([w[k] for w in wanted], pa.int64()) for k in ("anchor", "seg", "copies")],
-                    pa.array([data[w["start"] : w["start"] + w["strings"] + MATCH - 1] for w in wanted], pa.binary()),
-                ],
-                names=["anchor", "seg", "copies", "bytes"],
-            )
+def _segment_bytes(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(anchor, seg, copies, bytes) of one copy of each distinct segment, with few doubles.
+
+    Segments are cut again in the documents that hold the copies; bit tables of
+    fixed size tell documents and anchors, the join tells segments exactly.
+    """
+    context, low = keyed.sparkSession.sparkContext, (1 << TABLE_BITS) - 1  # anchors are hashes already
+    shared = context.broadcast((bit_table(distinct, spot("at.key")), bit_table(distinct, F.col("anchor").bitwiseAND(low))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, of_anchors = shared.value
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            wanted = np.flatnonzero(in_table(documents, batch.column("spot").to_numpy(zero_copy_only=False)))
+            column = batch.column("text").cast(pa.binary())
+            for at in range(0, len(wanted), 200):
+                for _, parts, _ in cut([column[i].as_py() or b"" for i in wanted[at : at + 200].tolist()]):
+                    text, start, strings, anchor, place = segments(parts)
+                    rows = []
+                    for i in np.flatnonzero(in_table(of_anchors, anchor & low)).tolist():
+                        data = parts[text[i]][start[i] : start[i] + strings[i] + MATCH - 1]
+                        name = int(anchor[i]), xxhash.xxh3_64_intdigest(data, int(place[i])) - (1 << 63)
+                        if name not in seen:
+                            seen.add(name)
+                            rows.append((*name, data))
+                    cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "seg", "bytes"]
+                    )
+
+    cut_again = keyed.select(spot("key").alias("spot"), "text").mapInArrow(run, "anchor long, seg long, bytes binary")
+    return cut_again.join(distinct.select("anchor", "seg", "copies"), ["anchor", "seg"])
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
@@ -313,11 +332,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
     distinct = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "strings")).alias("at"))
     bulk = distinct.groupBy("anchor").agg(F.sum(F.col("at.strings") + (MATCH - 1)).alias("bytes"))
     large = bulk.filter(F.col("bytes") > LARGEST).select("anchor", F.lit(True).alias("large"))
-    wanted = distinct.groupBy(F.col("at.key").alias("key")).agg(
-        F.collect_list(F.struct("anchor", "seg", "copies", F.col("at.start").alias("start"), F.col("at.strings").alias("strings"))).alias("wanted")
-    )
-    # repeated rows have one key: the bytes of one of them will do
-    found = keyed.join(wanted, "key").select("key", "id", "text", "wanted").mapInArrow(_extract, "anchor long, seg long, copies long, bytes binary")
+    found = _segment_bytes(keyed, distinct)
     pieces = written(found.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False))), "edge-segments")
     small = pieces.filter("not large").select("anchor", "seg", "copies", "bytes").distinct()
     tiled = small.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_tiles, "anchor long, seg long, a long, b long")
