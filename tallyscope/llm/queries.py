@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyscope.llm import licenses
+from tallyscope.llm.collision_search import op1_collision_search
 from tallyscope.llm.fingerprints import op6_fingerprints
 from tallyscope.llm.langid import op8_langid
 from tallyscope.llm.ngram_join import op2_ngram_join
@@ -16,9 +18,11 @@ from tallyscope.llm.suffix_dedup import op9_suffix_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_collision_search": op1_collision_search,
         "op2_ngram_join": op2_ngram_join,
         "op3_sentencepiece": op3_sentencepiece,
         "op6_fingerprints": op6_fingerprints,
+        "op7_licenses": licenses.op7_licenses,
         "op8_langid": op8_langid,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
@@ -26,4 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_licenses": licenses.oracle(),
+    }
