@@ -12,6 +12,7 @@ from tallyscope.llm.fingerprints import op6_fingerprints
 from tallyscope.llm.langid import op8_langid
 from tallyscope.llm.ngram_join import op2_ngram_join
 from tallyscope.llm.packing import op10_packing
+from tallyscope.llm.pii import op4_pii
 from tallyscope.llm.sentencepiece_codec import op3_sentencepiece
 from tallyscope.llm.suffix_dedup import op9_suffix_dedup
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_collision_search": op1_collision_search,
         "op2_ngram_join": op2_ngram_join,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_pii": op4_pii,
         "op6_fingerprints": op6_fingerprints,
         "op7_licenses": licenses.op7_licenses,
         "op8_langid": op8_langid,
