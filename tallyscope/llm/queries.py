@@ -15,6 +15,7 @@ from tallyscope.llm.packing import op10_packing
 from tallyscope.llm.pii import op4_pii
 from tallyscope.llm.sentencepiece_codec import op3_sentencepiece
 from tallyscope.llm.suffix_dedup import op9_suffix_dedup
+from tallyscope.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_pii": op4_pii,
+        "op5_toxicity": op5_toxicity,
         "op6_fingerprints": op6_fingerprints,
         "op7_licenses": licenses.op7_licenses,
         "op8_langid": op8_langid,
