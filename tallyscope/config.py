@@ -7,7 +7,7 @@ the defaults reproduce the behaviour of the analyst tool this library rebuilds.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the surveyed tool's constants for the audit
@@ -76,16 +76,12 @@ NA_TOKENS = (
 # quantiles every audit computes (quartiles and p99 for the rules, the median for the evidence pack)
 AUDIT_PROBS = (0.25, 0.5, 0.75, 0.99)
 
-QUALITY_DIMENSIONS = ("Completeness", "Validity", "Accuracy", "Consistency", "Tidiness")
-
 
 @dataclass(frozen=True)
 class AuditConfig:
     """Thresholds of the audit; defaults follow the surveyed tool."""
 
-    date_sample: int = 60            # first n non-null values sniffed for dates
-    date_rate: float = 0.6           # share that must look like a date (strictly more)
-    numeric_sample: int = 120        # first n non-null values sniffed for numbers
+    date_rate: float = 0.6           # share of values that must look like a date (strictly more)
     numeric_rate: float = 0.8
     percent_share: float = 0.5
     category_max_distinct: int = 25
@@ -110,7 +106,6 @@ class AuditConfig:
     # exact percentile aggregate; larger ones are narrowed first (see operators.quantiles)
     exact_quantile_max_band: int = 1_000_000
     quantile_accuracy: int = 10_000
-    extra: dict = field(default_factory=dict)
 
     def name_has(self, name: str, hint: str) -> bool:
         """Does column ``name`` carry ``hint``, under the configured matching mode."""

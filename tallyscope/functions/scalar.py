@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,8 @@ _CASTABLE_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def canonicalize(df: DataFrame) -> DataFrame:
     """NaN and NULL are one "missing" value in the audit: turn float NaN into NULL."""
+    if not any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in df.schema.fields):
+        return df
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -29,6 +34,16 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def nan_as_null(operator: Callable) -> Callable:
+    """For operators on a DataFrame: NaN in it is missing, whoever calls."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        return operator(canonicalize(df), *args, **kwargs)
+
+    return run
+
+
 # whitespace as Python's str.strip() / re's \s see it (derived by rule: the
 # characters for which str.isspace() holds); Spark's one-argument trim removes
 # spaces only and Java's \s is ASCII-only
@@ -115,21 +130,40 @@ def format_shape(fmt: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def parse_with_format(c: Column, fmt: str, pivot: int = 69) -> Column:
-    """try_to_timestamp as a naive timestamp; two-digit years follow strptime (%y).
+#: A date, and the numbers of a time of day behind it.
+_DATE_AND_TIME = r"^(.*)[ T](\d+):(\d+)(?::(\d+))?$"
 
-    Values whose shape cannot match the pattern are skipped before parsing."""
-    ts = F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
+
+def _day(c: Column, shape: Column, fmt: str, pivot: int) -> Column:
+    """DATE of text whose ``shape`` matches; two-digit years follow strptime (%y)."""
+    day = F.when(shape, F.try_to_date(c, fmt))
     if "yy" in fmt and "yyyy" not in fmt:
         # Spark maps yy to 2000-2099; strptime maps 69-99 to 1969-1999
-        ts = F.when(F.year(ts) >= 2000 + pivot, F.add_months(ts, -1200).cast("timestamp_ntz")).otherwise(ts)
-    return ts
+        day = F.when(F.year(day) >= 2000 + pivot, F.add_months(day, -1200)).otherwise(day)
+    return day
 
 
 def parse_dates(c: Column, formats, pivot: int = 69) -> Column:
-    """First format that parses wins, per value."""
+    """First format that parses wins, per value; a naive timestamp whatever the session's time zone.
+
+    Dates are parsed as DATE, a time of day by its numbers: no instant is ever
+    formed. Values whose shape cannot match a format skip its parser. Formats
+    with and without a time of day never match the same text.
+    """
     s = strip_ws(c.cast("string"))
-    return F.coalesce(*[parse_with_format(s, f, pivot) for f in formats])
+    dates = [f for f in formats if "H" not in f]
+    timed = [f for f in formats if "H" in f]
+    out = []
+    if dates:
+        out.append(F.coalesce(*[_day(s, s.rlike(format_shape(f)), f, pivot) for f in dates]).cast("timestamp_ntz"))
+    if timed:
+        text, hour, minute, second = (F.regexp_extract(s, _DATE_AND_TIME, i) for i in (1, 2, 3, 4))
+        hour, minute, second = hour.try_cast("int"), minute.try_cast("int"), F.coalesce(second.try_cast("int"), F.lit(0))
+        days = [_day(text, s.rlike(format_shape(f)), f.split("'T'")[0] if "'T'" in f else f.rpartition(" ")[0], pivot) for f in timed]
+        time = F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))
+        right = s.contains(":") & (hour < 24) & (minute < 60) & (second < 60)
+        out.append(F.when(right, F.coalesce(*days).cast("timestamp_ntz") + time))
+    return F.coalesce(*out) if len(out) > 1 else out[0]
 
 
 def pct(k: Column, n: Column, decimals: int = 1) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
-from ..functions.scalar import exact_mean_sql, pct, rnd
+from ..functions.scalar import exact_mean_sql, nan_as_null, pct, rnd
 from ..sources.preview import seeded_sample
 from . import freq as freqmod
 from .kinds import categorical_cols, datetime_cols, numeric_cols, q
@@ -36,7 +36,8 @@ def n_bins(n: int) -> int:
     return min(40, max(10, int(math.sqrt(n))))
 
 
-def histogram(df: DataFrame, cols: list[str] | None = None, first: int = 5, min_n: int = 5,
+@nan_as_null
+def histogram(df: DataFrame, cols: list[str] | None = None, first: int | None = None, min_n: int = 5,
               decimals: int | None = 6) -> DataFrame:
     """V1: equal-width bins over [min, max], b = min(40, max(10, floor(sqrt(n)))), empty bins kept.
 
@@ -74,7 +75,8 @@ def histogram(df: DataFrame, cols: list[str] | None = None, first: int = 5, min_
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def distribution_stats(df: DataFrame, cols: list[str] | None = None, first: int = 5, min_n: int = 5,
+@nan_as_null
+def distribution_stats(df: DataFrame, cols: list[str] | None = None, first: int | None = None, min_n: int = 5,
                        decimals: int | None = 6, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """V2: mean, median, skew (2 dp) and a shape label per histogram column."""
     cols = numeric_cols(df, first) if cols is None else cols
@@ -104,6 +106,7 @@ def zscore_exprs(df: DataFrame, cols: list[str], stats: dict) -> dict:
     return out
 
 
+@nan_as_null
 def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, cfg: AuditConfig = DEFAULT) -> dict:
     """Quartiles of z = (x - mean) / std (a monotone linear map, so they are the
     z of x's exact quartiles), fences, whiskers inside the fences and outlier counts."""
@@ -131,6 +134,7 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, cfg:
     return boxes
 
 
+@nan_as_null
 def zscore_box_stats(df: DataFrame, cols: list[str] | None = None, decimals: int | None = 6,
                      cfg: AuditConfig = DEFAULT) -> DataFrame:
     """V3/V4: box statistics of the z-scored numeric columns (quartiles exact, linear)."""
@@ -146,6 +150,7 @@ def zscore_box_stats(df: DataFrame, cols: list[str] | None = None, decimals: int
                     "n_outliers")
 
 
+@nan_as_null
 def outlier_points(df: DataFrame, key: list[str], cols: list[str] | None = None, decimals: int | None = 6,
                    cfg: AuditConfig = DEFAULT) -> DataFrame:
     """V5: every value outside its column's z-score fences, with its row key.
@@ -169,6 +174,7 @@ def outlier_points(df: DataFrame, key: list[str], cols: list[str] | None = None,
 # V6-V9, E3 correlations and the line fit
 # ---------------------------------------------------------------------------
 
+@nan_as_null
 def correlations(df: DataFrame, cols: list[str] | None = None) -> dict:
     """Pairwise-complete Pearson r for every pair i<j, plus each column's std.
 
@@ -246,6 +252,7 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> dict:
             "r": res}
 
 
+@nan_as_null
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, decimals: int | None = 6) -> DataFrame:
     """V6: the full symmetric matrix in long form (col_a, col_b, r); diagonal 1 unless constant."""
     res = correlations(df, cols)
@@ -269,6 +276,7 @@ def ranked_pairs(res: dict) -> list[tuple]:
     return [(res["cols"][i], res["cols"][j], r) for _, i, j, r in items]
 
 
+@nan_as_null
 def strongest_pair(df: DataFrame, cols: list[str] | None = None, decimals: int | None = 6) -> DataFrame:
     """V7: the pair with the largest |r| (off-diagonal, unrounded)."""
     pairs = ranked_pairs(correlations(df, cols))[:1]
@@ -276,6 +284,7 @@ def strongest_pair(df: DataFrame, cols: list[str] | None = None, decimals: int |
     return t.select("col_a", "col_b", rnd(F.col("r"), decimals).alias("r"))
 
 
+@nan_as_null
 def top_correlations(df: DataFrame, cols: list[str] | None = None, k: int = 5, decimals: int | None = 3) -> DataFrame:
     """The k strongest distinct pairs, signed r."""
     pairs = [(i + 1, a, b, r) for i, (a, b, r) in enumerate(ranked_pairs(correlations(df, cols))[:k])]
@@ -283,6 +292,7 @@ def top_correlations(df: DataFrame, cols: list[str] | None = None, k: int = 5, d
     return t.select("rank", "col_a", "col_b", rnd(F.col("r"), decimals).alias("r"))
 
 
+@nan_as_null
 def ols_fit_values(df: DataFrame, x: str, y: str) -> dict:
     both = _c(x).isNotNull() & _c(y).isNotNull()
     xv, yv = F.when(both, _c(x).cast("double")), F.when(both, _c(y).cast("double"))
@@ -293,6 +303,7 @@ def ols_fit_values(df: DataFrame, x: str, y: str) -> dict:
             "intercept": row["intercept"] if ok else None, "xmin": row["xmin"], "xmax": row["xmax"], "ok": ok}
 
 
+@nan_as_null
 def ols_fit(df: DataFrame, cols: list[str] | None = None, decimals: int | None = 6) -> DataFrame:
     """V8: least-squares line y = slope*x + intercept for the strongest pair (full data)."""
     pairs = ranked_pairs(correlations(df, cols))
@@ -307,6 +318,7 @@ def ols_fit(df: DataFrame, cols: list[str] | None = None, decimals: int | None =
                     rnd(F.col("r"), decimals).alias("r"))
 
 
+@nan_as_null
 def ols_line(df: DataFrame, cols: list[str] | None = None, points: int = 100, decimals: int | None = 6) -> DataFrame:
     """V9: the fitted line at ``points`` evenly spaced x over the observed range."""
     pairs = ranked_pairs(correlations(df, cols))
@@ -323,6 +335,7 @@ def ols_line(df: DataFrame, cols: list[str] | None = None, points: int = 100, de
     return t.select("i", rnd(F.col("x"), decimals).alias("x"), rnd(y, decimals).alias("y"))
 
 
+@nan_as_null
 def scatter_sample(df: DataFrame, key: list[str], order_by: list[str], cols: list[str] | None = None,
                    n: int = PLOT_SAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """Plotted points of the strongest pair, both present, coloured by the first
@@ -344,9 +357,10 @@ def scatter_sample(df: DataFrame, key: list[str], order_by: list[str], cols: lis
 # V11/V12, E2 category frequencies
 # ---------------------------------------------------------------------------
 
-def category_frequency(df: DataFrame, cols: list[str] | None = None, first: int = 3, k: int = 20,
+@nan_as_null
+def category_frequency(df: DataFrame, cols: list[str] | None = None, first: int | None = None, k: int = 20,
                        decimals: int = 1) -> DataFrame:
-    """Top-k values of the first text columns; % of all rows (nulls in the denominator)."""
+    """Top-k values of the text columns (``first``: of so many only); % of all rows (nulls in the denominator)."""
     cols = categorical_cols(df, first) if cols is None else cols
     n = df.count()
     top = freqmod.top_k(freqmod.frequency_table(df, cols), k)
@@ -354,15 +368,17 @@ def category_frequency(df: DataFrame, cols: list[str] | None = None, first: int
                       pct(F.col("n"), F.lit(n), decimals).alias("pct"))
 
 
-def dominant_share(df: DataFrame, cols: list[str] | None = None, first: int = 3, threshold: float = 70.0) -> DataFrame:
+@nan_as_null
+def dominant_share(df: DataFrame, cols: list[str] | None = None, first: int | None = None, threshold: float = 70.0) -> DataFrame:
     """Share of the most frequent value and the imbalance flag (> 70 %)."""
     f = category_frequency(df, cols, first, k=1)
     return f.select("column", F.col("value").alias("dominant"), F.col("pct").alias("dominant_pct"),
                     (F.col("pct") > threshold).alias("imbalanced"))
 
 
-def top_categories(df: DataFrame, cols: list[str] | None = None, first: int = 5, k: int = 5) -> DataFrame:
-    """The k most frequent values of the first five text columns."""
+@nan_as_null
+def top_categories(df: DataFrame, cols: list[str] | None = None, first: int | None = None, k: int = 5) -> DataFrame:
+    """The k most frequent values of the text columns (``first``: of so many only)."""
     cols = categorical_cols(df, first) if cols is None else cols
     return freqmod.top_k(freqmod.frequency_table(df, cols), k).select("column", "rank", "value", F.col("n").alias("count"))
 
@@ -371,6 +387,7 @@ def top_categories(df: DataFrame, cols: list[str] | None = None, first: int = 5,
 # V13/V14 time series
 # ---------------------------------------------------------------------------
 
+@nan_as_null
 def ts_downsample(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None = None,
                   max_points: int = PLOT_SAMPLE_ROWS) -> DataFrame:
     """Rows sorted by time, every k-th kept (k = n // 50,000 + 1 above 50,000 rows).
@@ -385,6 +402,7 @@ def ts_downsample(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None
     return idx.where(F.col("idx") % k == 0).select("idx", _c(ts).alias("ts"), _c(value).cast("double").alias("value"))
 
 
+@nan_as_null
 def ts_rolling_mean(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None = None,
                     max_points: int = PLOT_SAMPLE_ROWS, decimals: int | None = 6) -> DataFrame:
     """Trailing mean over max(5, m // 20) rows of the downsampled series (m >= 20),
@@ -424,6 +442,7 @@ def ts_rolling_mean(df: DataFrame, ts: str, value: str, tiebreak: list[str] | No
 # V15 null map, V16 chart catalogue
 # ---------------------------------------------------------------------------
 
+@nan_as_null
 def null_map(df: DataFrame, order_by: list[str], rows: int = 250) -> DataFrame:
     """Null indicator of the first 250 rows for the columns that hold nulls."""
     nulls = agg_row(df, [F.count_if(_c(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
@@ -438,25 +457,26 @@ def null_map(df: DataFrame, order_by: list[str], rows: int = 250) -> DataFrame:
     return head.select("row_idx", F.inline(F.array(*items)))
 
 
+@nan_as_null
 def chart_catalog(df: DataFrame) -> DataFrame:
     """Which chart tables this schema supports, their columns and question."""
     st = column_stats(df)
     rows = st["_rows"]
     num, cat, dts = numeric_cols(df), categorical_cols(df), datetime_cols(df)
     out = []
-    for c in num[:5]:
+    for c in num:
         if st[c]["n"] >= 5:
-            out.append(("histogram", c, st[c]["n"], f"What is the shape of '{c}'?"))
+            out.append(("histogram", c, st[c]["n"], f"How do the values of {c} spread?"))
     if len(num) >= 2:
-        out.append(("zscore_box", ",".join(num), rows, "Which columns have the most outliers?"))
-        out.append(("scatter_fit", ",".join(num), rows, "Is the strongest pair truly linear?"))
+        out.append(("zscore_box", ",".join(num), rows, "Where do values lie far from the rest?"))
+        out.append(("scatter_fit", ",".join(num), rows, "Does a line describe the closest pair?"))
     if len(num) >= 3:
-        out.append(("correlation_matrix", ",".join(num), rows, "Which numeric columns move together?"))
-    for c in cat[:3]:
-        out.append(("category_frequency", c, rows, f"How are the values of '{c}' distributed?"))
+        out.append(("correlation_matrix", ",".join(num), rows, "Which numbers rise and fall as one?"))
+    for c in cat:
+        out.append(("category_frequency", c, rows, f"Which values of {c} are common?"))
     if dts and num:
-        out.append(("time_series", f"{dts[0]},{num[0]}", rows, f"Is there a trend in '{num[0]}' over time?"))
+        out.append(("time_series", f"{dts[0]},{num[0]}", rows, f"How does {num[0]} change with {dts[0]}?"))
     if any(st[c]["nulls"] > 0 for c in df.columns):
         out.append(("null_map", ",".join(c for c in df.columns if st[c]["nulls"] > 0), min(rows, 250),
-                    "Are missing values random or clustered?"))
+                    "Do nulls come in blocks?"))
     return df.sparkSession.createDataFrame(out, "chart string, columns string, n_rows bigint, question string")

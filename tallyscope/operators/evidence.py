@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AUDIT_PROBS, DEFAULT, AuditConfig
-from ..functions.scalar import rnd
+from ..functions.scalar import nan_as_null, rnd
 from . import eda
 from .kinds import numeric_cols, q
 from .profile import column_stats, describe_numeric
@@ -16,9 +16,10 @@ from .quantiles import exact_quantiles
 from .rowindex import with_row_index
 
 
-def numeric_evidence(df: DataFrame, first: int = 8, decimals: int | None = 3, cfg: AuditConfig = DEFAULT,
+@nan_as_null
+def numeric_evidence(df: DataFrame, first: int | None = None, decimals: int | None = 3, cfg: AuditConfig = DEFAULT,
                      stats: dict | None = None, probs: tuple | None = None) -> DataFrame:
-    """Mean, median, std, min, max of the first eight numeric columns (empty ones skipped).
+    """Mean, median, std, min, max of the numeric columns (``first``: of so many only; empty ones skipped).
 
     ``stats``/``probs`` reuse an audit's column statistics (same frame) instead of rescanning."""
     cols = numeric_cols(df, first)
@@ -74,7 +75,8 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
 
-def data_context(df: DataFrame, first: int = 8, cfg: AuditConfig = DEFAULT) -> DataFrame:
+@nan_as_null
+def data_context(df: DataFrame, first: int | None = None, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Compact JSON context - shape, dtypes, describe of the first eight numeric columns."""
     desc = _rows(describe_numeric(df, numeric_cols(df, first), decimals=3, cfg=cfg))
     n = df.count()
@@ -84,6 +86,7 @@ def data_context(df: DataFrame, first: int = 8, cfg: AuditConfig = DEFAULT) -> D
     return df.sparkSession.createDataFrame([(json.dumps(doc, default=str),)], "context string")
 
 
+@nan_as_null
 def evidence_pack(df: DataFrame, assessment, plan=None, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """E5: one JSON document with shape, cleaning steps, outliers, skews, E1-E3."""
     a = assessment

@@ -44,18 +44,6 @@ def datetime_cols(df: DataFrame, first: int | None = None) -> list[str]:
     return columns_of(df, "datetime", first)
 
 
-def is_float(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, FLOAT_TYPES)
-
-
-def is_integral(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, INTEGRAL_TYPES)
-
-
-def dtype_name(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
-
-
 def q(name: str) -> str:
     """Back-quote a column name for F.col / SQL."""
     return "`" + name.replace("`", "``") + "`"

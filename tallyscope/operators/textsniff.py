@@ -1,77 +1,47 @@
 """Type sniffing of text columns (A22 date-like rate, A23 numeric-like rate, A24 date order).
 
-The sampled rates look at the first n non-null values of each column in an
-explicit key order: per column an ordered limit (a bounded heap per task, so
-each map task forwards at most n rows whatever the table size), unioned into
-one job.
+Rates are over all non-null values of a column. Every row is turned into its
+(column, value) pairs and counted by column with map-side combine: one scan and
+a few rows of shuffle, however many text columns there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DATE_LIKE_PATTERN, DEFAULT, AuditConfig
+from ..config import DATE_LIKE_PATTERN
 from ..functions.scalar import date_slot, looks_numeric, strip_ws
 from .kinds import categorical_cols, q
 
 
-def first_values(df: DataFrame, cols: list[str], order_by: list[str], n: int) -> DataFrame:
-    """(column, rn, value): the first n non-null values of each column in key order.
-
-    One ordered limit per column (TakeOrderedAndProject: a bounded heap per task,
-    no sort of the table; only the key and that column are read), unioned into
-    one job; the final numbering runs over at most n rows per column."""
-    keys = [F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(order_by)]
-    korder = [f"__k{i}" for i in range(len(order_by))]
-    parts = [df.select(*keys, F.lit(c).alias("column"), F.col(q(c)).cast("string").alias("value"))
-             .where(F.col("value").isNotNull()).orderBy(*korder).limit(n) for c in cols]
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    w = Window.partitionBy("column").orderBy(*korder)
-    return u.withColumn("rn", F.row_number().over(w)).drop(*korder)
-
-
-def sniff_rates(df: DataFrame, order_by: list[str], cols: list[str] | None = None,
-                cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """Per text column, in one job: date-like matches among the first 60 values,
-    numeric-like and '%'-carrying values among the first 120."""
+def sniff_rates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Per text column: non-null values, date-like, numeric-like and '%'-carrying ones."""
     cols = categorical_cols(df) if cols is None else cols
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column string, n_date_sampled bigint, n_date bigint, n_num_sampled bigint, n_num bigint, n_pct bigint")
-    n = max(cfg.date_sample, cfg.numeric_sample)
-    fv = first_values(df, cols, order_by, n)
-    in_date = F.col("rn") <= cfg.date_sample
-    in_num = F.col("rn") <= cfg.numeric_sample
+        return df.sparkSession.createDataFrame([], "column string, n_values bigint, n_date bigint, n_num bigint, n_pct bigint")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(q(c)).cast("string").alias("value")) for c in cols])
     v = F.col("value")
-    stripped = strip_ws(v)
-    return fv.groupBy("column").agg(
-        F.count_if(in_date).alias("n_date_sampled"),
-        F.count_if(in_date & v.rlike("^(?:" + DATE_LIKE_PATTERN + ")")).alias("n_date"),
-        F.count_if(in_num).alias("n_num_sampled"),
-        F.count_if(in_num & looks_numeric(v)).alias("n_num"),
-        F.count_if(in_num & stripped.contains("%")).alias("n_pct"),
-    )
-
-
-def date_pattern_rate(df: DataFrame, order_by: list[str], cfg: AuditConfig = DEFAULT, decimals: int = 6) -> DataFrame:
-    """Share of date-like values among the first 60 non-null ones."""
-    r = sniff_rates(df, order_by, cfg=cfg)
-    return r.select("column", F.col("n_date_sampled").alias("n_sampled"), F.col("n_date").alias("n_match"),
-                    F.round(F.col("n_date") / F.col("n_date_sampled"), decimals).alias("rate"))
-
-
-def numeric_text_rate(df: DataFrame, order_by: list[str], cfg: AuditConfig = DEFAULT, decimals: int = 6) -> DataFrame:
-    """Share of numeric-looking values (after stripping symbols) among the first 120,
-    and the share carrying '%'."""
-    r = sniff_rates(df, order_by, cfg=cfg)
-    return r.select(
-        "column", F.col("n_num_sampled").alias("n_sampled"), F.col("n_num").alias("n_match"),
-        F.round(F.col("n_num") / F.col("n_num_sampled"), decimals).alias("rate"),
-        F.col("n_pct"), F.round(F.col("n_pct") / F.col("n_num_sampled"), decimals).alias("pct_share"),
-    )
+    return (df.select(F.inline(pairs)).where(v.isNotNull())
+            .groupBy("column").agg(
+                F.count(v).alias("n_values"),
+                F.count_if(v.rlike("^(?:" + DATE_LIKE_PATTERN + ")")).alias("n_date"),
+                F.count_if(looks_numeric(v)).alias("n_num"),
+                F.count_if(strip_ws(v).contains("%")).alias("n_pct")))
+
+
+def date_pattern_rate(df: DataFrame, decimals: int = 6) -> DataFrame:
+    """Share of date-like values among the non-null ones."""
+    return sniff_rates(df).select("column", "n_values", F.col("n_date").alias("n_match"),
+                                  F.round(F.col("n_date") / F.col("n_values"), decimals).alias("rate"))
+
+
+def numeric_text_rate(df: DataFrame, decimals: int = 6) -> DataFrame:
+    """Share of numeric-looking values (after stripping symbols), and the share carrying '%'."""
+    return sniff_rates(df).select(
+        "column", "n_values", F.col("n_num").alias("n_match"),
+        F.round(F.col("n_num") / F.col("n_values"), decimals).alias("rate"),
+        "n_pct", F.round(F.col("n_pct") / F.col("n_values"), decimals).alias("pct_share"))
 
 
 def date_order(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -127,7 +127,7 @@ SQL["skew_flags"] = (
 
 SQL["audit_stats"] = union([
     f"SELECT '{c}' AS \"column\", {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std, {r(f'min({c})')} AS min, "
-    f"{r(f'max({c})')} AS max FROM lineitem" for c in LINEITEM_NUMERIC[:6]])
+    f"{r(f'max({c})')} AS max FROM lineitem" for c in LINEITEM_NUMERIC])
 
 
 def _iqr_block(cols, table):
@@ -146,6 +146,22 @@ SQL["iqr_outliers"] = (
     f"CASE WHEN {pct('n_out', 'n_rows', 1)} > 5 THEN 'bad' ELSE 'warn' END AS level "
     f"FROM {_iqr_block(EVENTS_NUMERIC, 'events')} i WHERE n_out > 0")
 
+NAN_EVENTS = "nan_events AS (SELECT * REPLACE (CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS value) FROM events)"
+
+SQL["nan_describe"] = f"WITH {NAN_EVENTS}\n" + union([
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std, "
+    f"{r(f'min({c})')} AS min, {r(f'quantile_cont({c}, 0.25)')} AS q25, {r(f'quantile_cont({c}, 0.5)')} AS median, "
+    f"{r(f'quantile_cont({c}, 0.75)')} AS q75, {r(f'max({c})')} AS max FROM nan_events" for c in EVENTS_NUMERIC])
+
+SQL["nan_null_profile"] = (
+    f"WITH {NAN_EVENTS}\nSELECT 'value' AS \"column\", count_if(value IS NULL) AS n_null, "
+    f"{pct('count_if(value IS NULL)', 'count(*)', 2)} AS null_pct FROM nan_events")
+
+SQL["nan_iqr_outliers"] = (
+    f"WITH {NAN_EVENTS}\nSELECT \"column\", n_out AS n_outliers, {pct('n_out', 'n_rows', 1)} AS pct, "
+    f"CASE WHEN {pct('n_out', 'n_rows', 1)} > 5 THEN 'bad' ELSE 'warn' END AS level "
+    f"FROM {_iqr_block(EVENTS_NUMERIC, 'nan_events')} i WHERE n_out > 0")
+
 SQL["whole_number_floats"] = with_do(union([
     f"SELECT '{c}' AS \"column\", bool_and({c} % 1 = 0) AS all_whole FROM dirty_orders" for c in DO_FLOATS]))
 
@@ -217,26 +233,23 @@ def text_to_number(x):
     return f"(CASE WHEN contains({strip(x)}, '%') THEN {val} / 100 ELSE {val} END)"
 
 
-def _sniff(cols=DO_TEXT, n=120):
-    parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY row_id) AS rn "
-             f"FROM dirty_orders WHERE {c} IS NOT NULL" for c in cols]
-    return f"""(SELECT "column",
-  count_if(rn <= 60) AS n_date_sampled,
-  count_if(rn <= 60 AND regexp_matches(v, '{DATE_RE}')) AS n_date,
-  count_if(rn <= 120) AS n_num_sampled,
-  count_if(rn <= 120 AND regexp_matches({num_core('v')}, '{NUMTXT_RE}')) AS n_num,
-  count_if(rn <= 120 AND contains({strip('v')}, '%')) AS n_pct
-FROM ({union(parts)}) u WHERE rn <= {n} GROUP BY "column")"""
+def _sniff(cols=DO_TEXT):
+    parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM dirty_orders WHERE {c} IS NOT NULL" for c in cols]
+    return f"""(SELECT "column", count(*) AS n_values,
+  count_if(regexp_matches(v, '{DATE_RE}')) AS n_date,
+  count_if(regexp_matches({num_core('v')}, '{NUMTXT_RE}')) AS n_num,
+  count_if(contains({strip('v')}, '%')) AS n_pct
+FROM ({union(parts)}) u GROUP BY "column")"""
 
 
 SQL["date_pattern_rate"] = with_do(
-    f"SELECT \"column\", n_date_sampled AS n_sampled, n_date AS n_match, "
-    f"round(CAST(n_date AS DOUBLE) / n_date_sampled, 6) AS rate FROM {_sniff()} s")
+    f"SELECT \"column\", n_values, n_date AS n_match, "
+    f"round(CAST(n_date AS DOUBLE) / n_values, 6) AS rate FROM {_sniff()} s")
 
 SQL["numeric_text_rate"] = with_do(
-    f"SELECT \"column\", n_num_sampled AS n_sampled, n_num AS n_match, "
-    f"round(CAST(n_num AS DOUBLE) / n_num_sampled, 6) AS rate, n_pct, "
-    f"round(CAST(n_pct AS DOUBLE) / n_num_sampled, 6) AS pct_share FROM {_sniff()} s")
+    f"SELECT \"column\", n_values, n_num AS n_match, "
+    f"round(CAST(n_num AS DOUBLE) / n_values, 6) AS rate, n_pct, "
+    f"round(CAST(n_pct AS DOUBLE) / n_values, 6) AS pct_share FROM {_sniff()} s")
 
 
 def _slots(c):
@@ -277,9 +290,9 @@ def _rules_sql():
                          f"{n_oor} AS n_oor, {nsent} AS n_sent, {sents} AS sentinels, count({c}) AS n FROM dirty_orders")
     whole = union([f"SELECT '{c}' AS \"column\", bool_and({c} % 1 = 0) AS w, count({c}) AS n FROM dirty_orders" for c in DO_FLOATS])
     return f"""sn AS {sn},
-r1 AS (SELECT "column" FROM sn WHERE CAST(n_date AS DOUBLE) / n_date_sampled > 0.6),
-r2 AS (SELECT "column", CAST(n_pct AS DOUBLE) / n_num_sampled > 0.5 AS is_pct FROM sn
-       WHERE "column" NOT IN (SELECT "column" FROM r1) AND CAST(n_num AS DOUBLE) / n_num_sampled > 0.8),
+r1 AS (SELECT "column" FROM sn WHERE CAST(n_date AS DOUBLE) / n_values > 0.6),
+r2 AS (SELECT "column", CAST(n_pct AS DOUBLE) / n_values > 0.5 AS is_pct FROM sn
+       WHERE "column" NOT IN (SELECT "column" FROM r1) AND CAST(n_num AS DOUBLE) / n_values > 0.8),
 nl AS (SELECT "column", n_null, n_rows, {pct('n_null', 'n_rows', 2)} AS p FROM ({null_rows}) x),
 r6 AS (SELECT "column" FROM ({dist_null}) d WHERE d <= 1
        AND "column" NOT IN (SELECT "column" FROM r1) AND "column" NOT IN (SELECT "column" FROM r2)),
@@ -612,7 +625,7 @@ UNION ALL SELECT 'cleaning_steps', CAST(count(*) AS VARCHAR) FROM steps""")
 
 SQL["csv_roundtrip"] = ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
                         "FROM customer")
-SQL["csv_latin1"] = "SELECT doc_id, lang, source, text FROM documents"
+SQL["csv_latin1"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,6 +46,8 @@ LOG_SCHEMA = ("step int, type string, col string, dim string, n_affected bigint,
 
 _PROJECTIONS = {"to_datetime", "to_numeric", "to_category", "drop_col", "to_integer", "range_flag"}
 _FITS = {"fill_median", "fill_mode", "fix_range"}
+#: Types that a number can be made of.
+_NUMERIC_VIEW = (T.NumericType, T.StringType, T.BooleanType)
 
 
 @dataclass
@@ -86,7 +88,7 @@ class FittedPlan:
             elif op.kind == "drop":
                 env.pop(op.col, None)
             elif op.kind == "dedup":
-                base = base.select(*[e.alias(c) for c, e in env.items()]).dropDuplicates()
+                base = _deduplicated(base.select(*[e.alias(c) for c, e in env.items()]))
                 env = {c: F.col(q(c)) for c in base.columns}
         return base.select(*[e.alias(c) for c, e in env.items()])
 
@@ -113,6 +115,19 @@ def _date_formats(convention: str | None) -> list[str]:
     return primary + list(UNAMBIGUOUS_FORMATS)
 
 
+def _deduplicated(df: DataFrame) -> DataFrame:
+    """Rows that differ, by all columns that can be compared (a map can't, as in the duplicate count)."""
+    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.dropDuplicates(keys) if keys else df
+
+
+def _filled(e: Column, dt: T.DataType, value: float) -> Column:
+    """Nulls replaced by a median: whole columns stay whole only if the median is."""
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and float(value) % 1:
+        return F.coalesce(e.cast("double"), F.lit(float(value)))
+    return F.coalesce(e, F.lit(value).cast(dt))
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     return materialize(df, "cleaning-fit")
 
@@ -172,8 +187,8 @@ class CleaningPlan:
             return vals
 
         def fit_categories(frame: DataFrame, items: list) -> None:
-            """One frequency-table job for several category lists (each capped at
-            category_max_distinct + 1 values; rule R3 allows at most 25)."""
+            """One frequency-table job for several category lists. A column with more
+            values than rule R3 allows is no category: the step is logged as skipped."""
             if not items:
                 return
             top = freqmod.top_k(freqmod.frequency_table(frame, [c for _, _, c in items]),
@@ -183,6 +198,9 @@ class CleaningPlan:
                 found.setdefault(r["column"], []).append((r["rank"], r["value"]))
             for n2, s2, c in items:
                 cats = [v for _, v in sorted(found.get(c, []))]
+                if len(cats) > cfg.category_max_distinct:
+                    log.append(LogRow(n2, "to_category", s2.col, s2.dim, note=f"skipped: more than {cfg.category_max_distinct} values"))
+                    continue
                 categories[s2.col] = cats
                 log.append(LogRow(n2, "to_category", s2.col, s2.dim, n_affected=len(cats),
                                   fitted_text="|".join(cats), note="stored as text; category list recorded"))
@@ -219,12 +237,24 @@ class CleaningPlan:
             deferred_cats.clear()
             base = pre.select(*[F.col(q(c)) for c in env])
             if dedup:
-                base = base.dropDuplicates()
+                base = _deduplicated(base)
                 if self.materialize:
                     base = _materialize(base)
             env = {c: F.col(q(c)) for c in base.columns}
             dirty = False
 
+        def fits(n: int, s: Suggestion) -> bool:
+            """Whether a step can run on its column; if not, the log says why and the others go on."""
+            if s.col not in env:
+                return False  # a step on a column that is gone is no step, as in the audited tool
+            dt = self._dtype(base, env, s.col)
+            need = {"fill_median": _NUMERIC_VIEW, "fix_range": _NUMERIC_VIEW, "to_integer": _NUMERIC_VIEW}.get(s.type)
+            plain = not isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))
+            if s.type != "drop_col" and (not plain or need and not isinstance(dt, need)):
+                log.append(LogRow(n, s.type, s.col, s.dim, note=f"skipped: not possible on {dt.simpleString()}"))
+                return False
+            return True
+
         i = 0
         while i < len(steps):
             n, s = steps[i]
@@ -235,7 +265,7 @@ class CleaningPlan:
                 while i < len(steps) and steps[i][1].type == "to_datetime":
                     batch.append(steps[i])
                     i += 1
-                live = [(n2, s2) for n2, s2 in batch if s2.col in env]
+                live = [(n2, s2) for n2, s2 in batch if fits(n2, s2)]
                 slot_aggs = {}
                 for n2, s2 in live:
                     v = env[s2.col].cast("string")
@@ -265,8 +295,8 @@ class CleaningPlan:
                 continue
             i += 1
             if t in _PROJECTIONS or t == "drop_duplicates":
-                if t != "drop_duplicates" and t != "range_flag" and col not in env:
-                    continue  # the tool ignores steps on columns already gone
+                if t not in ("drop_duplicates", "range_flag") and not fits(n, s):
+                    continue
                 if t == "to_numeric":
                     raw = env[col]
                     val = text_to_number(raw)
@@ -311,7 +341,9 @@ class CleaningPlan:
                     seen.add(steps[i][1].col)
                     batch.append(steps[i])
                     i += 1
-                batch = [(n2, s2) for n2, s2 in batch if s2.col in env]
+                batch = [(n2, s2) for n2, s2 in batch if fits(n2, s2)]
+                if not batch:
+                    continue
                 if (dirty or deferred_cats) and self.materialize:
                     barrier(dedup=False)   # later fit passes then scan the converted columns
                 self._fit_batch(batch, base, env, ops, log, pending, counters, flush)
@@ -376,8 +408,12 @@ class CleaningPlan:
                     log.append(LogRow(n, s.type, col, s.dim, n_affected=0, note="no nulls left"))
                     continue
                 med = meds[f"m{n}"][0]
-                ops.append(Op("set", col, (lambda c, m: lambda e: F.coalesce(e[c], F.lit(m).cast(self._dtype(base, env, c))))(col, med)))
-                env[col] = F.coalesce(env[col], F.lit(med).cast(self._dtype(base, env, col)))
+                if med is None:
+                    log.append(LogRow(n, s.type, col, s.dim, n_affected=0, note="no median (all null)"))
+                    continue
+                dt = self._dtype(base, env, col)
+                ops.append(Op("set", col, (lambda c, m, d: lambda e: _filled(e[c], d, m))(col, med, dt)))
+                env[col] = _filled(env[col], dt, med)
                 log.append(LogRow(n, s.type, col, s.dim, n_affected=nulls, fitted_num=med,
                                   note="nulls filled with the median"))
             elif s.type == "fill_mode":

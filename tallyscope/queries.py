@@ -55,9 +55,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "skew_flags": lambda s, d: P.skew_flags(_t("events")(s, d)),
     "audit_stats": lambda s, d: P.audit_stats(_t("lineitem")(s, d), decimals=D6),
     "iqr_outliers": lambda s, d: P.iqr_outliers(_t("events")(s, d)),
+    # ---- NaN is missing ----
+    "nan_describe": lambda s, d: P.describe_numeric(_nan_events(s, d), decimals=D6),
+    "nan_null_profile": lambda s, d: P.null_profile(_nan_events(s, d)),
+    "nan_iqr_outliers": lambda s, d: P.iqr_outliers(_nan_events(s, d)),
 }
 
 
+def _nan_events(spark, sf):
+    """``events`` with every fourth value NaN."""
+    gone = F.col("event_id") % 4 == 0
+    return _t("events")(spark, sf).withColumn("value", F.when(gone, float("nan")).otherwise(F.col("value").cast("double")))
+
+
 def _audited(spark, sf):
     # the audit and the fit scan this derived table ~15 times: materialise it once
     do = materialize(_do(spark, sf), "dirty-orders")
@@ -98,8 +108,8 @@ def _before_after(s, d):
 
 
 QUERIES.update({
-    "date_pattern_rate": lambda s, d: TS.date_pattern_rate(_do(s, d), ["row_id"]),
-    "numeric_text_rate": lambda s, d: TS.numeric_text_rate(_do(s, d), ["row_id"]),
+    "date_pattern_rate": lambda s, d: TS.date_pattern_rate(_do(s, d)),
+    "numeric_text_rate": lambda s, d: TS.numeric_text_rate(_do(s, d)),
     "date_order": lambda s, d: TS.date_order(_do(s, d)),
     "suggestions": _suggestions,
     "clean_to_datetime": _clean_only({"to_datetime"}, ["row_id", "order_date_txt", "us_date_txt", "ambiguous_date_txt"]),
@@ -139,7 +149,7 @@ def _csv_roundtrip(s, d):
 
 
 def _csv_latin1(s, d):
-    src = read_table(s, d, "documents").select("doc_id", "lang", "source", "text")
+    src = read_table(s, d, "documents")
     path = new_scratch_path(s, "csv-latin1")
     CSV.write_csv(src, path, encoding="ISO-8859-1")
     return CSV.read_csv(s, path)
