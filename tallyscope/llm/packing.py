@@ -28,8 +28,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,10 @@ MAX_CHUNKS = 400_000
 
 _REGULAR_GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD_GAP = re.compile(r"\s | \s|^ | $")
+#: A Latin word, with or without a space, and ASCII signs behind it: two groups of the pre-tokenizer.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: White space other than a space and a line end; a block of texts without any is split faster.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class ChunkIds:
@@ -59,39 +63,77 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
+        self.model = self.tokenizer.model
         self.max_chunks = max_chunks
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("this tokenizer rewrites texts before it splits them; chunks can't be encoded apart")
+        #: ids of a chunk behind a space, of a chunk at a text's start, of one group of the pre-tokenizer
         self.ids: dict[str, bytes] = {}
-        probe = "a b,c  \n d"
-        if self._encode([probe])[0] != b"".join(self._encode(["a", " b,c  \n d"])):
+        self.first: dict[str, bytes] = {}
+        self.groups: dict[str, bytes] = {}
+        groups = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        #: how the library writes the characters of such groups
+        self.written = {c: groups(chr(c))[0][0] for c in range(0x21, 0x250) if _WORD.fullmatch("a" + chr(c)) or _WORD.fullmatch(chr(c))}
+        self.written[0x20] = groups(" a")[0][0][:-1]
+        if [g for g, _ in groups(" aé,.")] != [" aé".translate(self.written), ",.".translate(self.written)]:
+            raise ValueError("this tokenizer does not part words from signs")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self._encode("a b,c  \n d") != self._encode("a") + self._encode(" b,c  \n d"):
             raise ValueError("this tokenizer does not begin a new token group at a space")
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, self.width).tobytes() for e in found]
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.max_chunks:
-            self.ids.clear()
-            new = list(chunks)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.ids.update(zip(part, self._encode(part), strict=True))
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self.width).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk: of its groups, for which the library's model is asked when they are new."""
+        word = _WORD.fullmatch(chunk)
+        if word:
+            head, signs = word.groups()
+            return self._group(head.translate(self.written)) + (self._group(signs.translate(self.written)) if signs else b"")
+        if any(s in chunk for s in self.special):
+            return self._encode(chunk)
+        return b"".join([self._group(g) for g, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+
+    def _group(self, group: str) -> bytes:
+        found = self.groups.get(group)
+        if found is None:
+            found = self.groups[group] = array(self.code, [t.id for t in self.model.tokenize(group)]).tobytes()
+        return found
 
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
-        rows = []
+        """The packed ids of each text."""
+        if len(self.ids) > self.max_chunks or len(self.groups) > self.max_chunks or len(self.first) > self.max_chunks:
+            self.ids.clear()
+            self.first.clear()
+            self.groups.clear()
+        ids, first = self.ids, self.first
+        together = "".join(texts)
+        plain = not any(c in together for c in _OTHER_SPACE)
         for t in texts:
             if not t:
-                rows.append([])
-            elif _ODD_GAP.search(t):
-                parts = _REGULAR_GAP.split(t)
-                rows.append([parts[0], *[" " + p for p in parts[1:]]])
-            else:
+                yield b""
+                continue
+            if plain and not ("  " in t or " \n" in t or "\n " in t or t[0] == " " or t[-1] == " "):
                 parts = t.split(" ")
-                rows.append([parts[0], *[" " + p for p in parts[1:]]])
-        self.learn(set(chain.from_iterable(rows)))
-        for parts in rows:
-            yield b"".join(map(self.ids.__getitem__, parts))
+            else:
+                parts = _REGULAR_GAP.split(t) if _ODD_GAP.search(t) else t.split(" ")
+            head = parts[0]
+            found = list(map(ids.get, parts))
+            found[0] = first.get(head)
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        if i:
+                            # one chunk may stand here more than once
+                            x = ids.get(parts[i])
+                            if x is None:
+                                x = ids[parts[i]] = self._chunk(" " + parts[i])
+                        else:
+                            x = first[head] = self._chunk(head)
+                        found[i] = x
+            yield b"".join(found)
 
 
 _TABLES: dict[str, ChunkIds] = {}
