@@ -9,15 +9,14 @@ Inside a block, inner products become distances by one further coordinate
 (sqrt(M^2 - |v|^2), M the block's largest norm, the query scaled to M). Each of
 ``PROJECTIONS`` random directions has one sorted array of projected vectors. A
 query opens a window around its own projection in every array; vectors found
-collide. Virtual rehashing widens all windows by a factor, and only what is new
-at both ends is counted. As soon as the vectors with at least the threshold of
+collide. Virtual rehashing widens all windows by a factor. As soon as the vectors with at least the threshold of
 collisions are as many as must be verified, they are, exactly and in double
 precision; a window that has grown over the whole array ends the search too.
 
 Equal vectors of a block are one entry with its k + 1 smallest ids, which is
 all that k nearest can need, so a group of copies costs its size once.
 
-Recall against brute force: 0.97 at the parameters below (tests, README).
+Recall against brute force: 0.95 and more at the parameters below (tests, README).
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a
 non-finite number take no part, nor do rows without an id; a query meets
@@ -42,7 +41,7 @@ PROJECTIONS, THRESHOLD, HALF_WINDOW, WIDER, VERIFIED = 128, 0.62, 0.9, 1.08, 0.1
 #: Fewest vectors that a query verifies in a block.
 LEAST_VERIFIED = 1000
 #: Rows of a data block and of a query block.
-DATA_BLOCK, QUERY_BLOCK = 8192, 1024
+DATA_BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 class CollisionIndex:
@@ -54,9 +53,25 @@ class CollisionIndex:
         self.largest = norms.max()
         rest = np.sqrt(np.maximum(0, self.largest**2 - norms**2))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        projected = np.column_stack([vectors, rest]) @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(projected.T, self.order.astype(np.int64), axis=1)
+        projected = np.ascontiguousarray((np.column_stack([vectors, rest]) @ self.directions).T)
+        order = np.argsort(projected, axis=1)
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        # where each vector stands in each array: it collides if that lies in the window
+        self.places = np.empty(order.shape, np.uint16 if len(vectors) <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=self.places.dtype)[None, :], axis=1)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many arrays each vector stands within the window [low, high) of places."""
+        kind = self.places.dtype
+        first = low.astype(kind)[:, None]
+        width = (high - low).clip(max=np.iinfo(kind).max).astype(kind)[:, None]
+        counts = np.zeros(self.places.shape[1], np.uint8 if PROJECTIONS < 256 else np.uint32)
+        for a in range(0, PROJECTIONS, 16):  # so many arrays stay in the cache
+            part = slice(a, a + 16)
+            # unsigned: a place before the window wraps round to a large number
+            inside = (self.places[part] - first[part]) < width[part]
+            counts += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return counts
 
     def candidates(self, queries: np.ndarray, least: int) -> list[np.ndarray]:
         """For each query the vectors with enough collisions, once they are ``least`` or windows cover all."""
@@ -66,27 +81,19 @@ class CollisionIndex:
         norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
         centres = (queries * (self.largest / norms)) @ self.directions[:-1]
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
-        counts = np.zeros((len(queries), n), np.int16)
         found: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
         asking = np.arange(len(queries))
-        low = high = None
         half = HALF_WINDOW * self.largest
         while len(asking):
             at = centres[asking]
-            a = np.column_stack([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, at.T, strict=True)])
-            b = np.column_stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, at.T, strict=True)])
+            low = np.column_stack([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, at.T, strict=True)])
+            high = np.column_stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, at.T, strict=True)])
             still = np.ones(len(asking), bool)
             for i, q in enumerate(asking.tolist()):
-                if low is None:
-                    parts = [o[x:y] for o, x, y in zip(self.order, a[i], b[i], strict=True)]
-                else:  # only what a wider window adds at its ends
-                    parts = [o[x:y] for o, x, y in zip(self.order, a[i], low[i], strict=True)]
-                    parts += [o[x:y] for o, x, y in zip(self.order, high[i], b[i], strict=True)]
-                counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                enough = np.flatnonzero(counts[q] >= need)
-                if len(enough) >= least or (b[i] - a[i]).min() == n:
+                enough = np.flatnonzero(self.collisions(low[i], high[i]) >= need)
+                if len(enough) >= least or (high[i] - low[i]).min() == n:
                     found[q], still[i] = enough, False
-            asking, low, high = asking[still], a[still], b[still]
+            asking = asking[still]
             half *= WIDER
         return found
 
