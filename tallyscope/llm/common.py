@@ -49,14 +49,33 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a compressed Parquet table in the shared folder, read back.
+class Scratch:
+    """Parquet tables in the shared folder that are gone when the ``with`` block ends.
 
-    For data that is scanned more than once by few columns each time.
+    For data that is scanned more than once, by few columns each time, and is
+    needed by eager steps of the block only.
     """
-    path = new_scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a compressed table, read back."""
+        path = new_scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = hadoop(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def text_blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

@@ -20,11 +20,12 @@ all its pairs made:
    Verified links give first components.
 2. Lists that still hold several components are laid out in size-banded tiles:
    a member meets its own band and the band below, long tiles in blocks. In a
-   tile, 512-bit parity signatures bound the overlap from above: every bit in
-   which two signatures differ is an element of just one set. Pairs of
-   different components that pass the size and bit bounds are verified.
+   tile, parity signatures of a bit an element bound the overlap from above:
+   every bit in which two signatures differ is an element of just one set. Pairs
+   of different components that pass the size and bit bounds are verified.
 
-Verification intersects the sorted arrays of the two sets, read again from the
+Before verification, signatures with two bits an element bound each pair once
+more. Verification intersects the sorted arrays of the two sets, read again from the
 texts of the documents in question. A fixed-size bit table (2^22 bits) that is
 broadcast tells which documents need it; the join that follows is exact.
 
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bit_table, in_table, partitions, reliable, spot, table, written
+from tallyscope.llm.common import Scratch, bit_table, in_table, partitions, reliable, spot, table
 from tallyscope.llm.components import connected_components
 
 WORDS = 5
@@ -55,7 +56,8 @@ WORDS = 5
 FREQUENT = 1 << 16
 #: Members of one chain, and rows of one block of a tile.
 CHAIN, BLOCK = 4096, 2048
-SIGNATURE_WORDS = 8
+#: Fewest 64-bit words of a signature.
+LEAST_WORDS = 4
 #: Over 4/3, so that linked sizes are at most one band apart.
 BAND = 1.34
 #: Elements counted together inside a task, and the count from which one is reported.
@@ -99,9 +101,27 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements at each of 512 places, as 8 words."""
-    odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=64 * SIGNATURE_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parity of the number of elements at each place, as words; places are a power of two, twice the elements at least."""
+    places = 64 * LEAST_WORDS
+    while places < 2 * len(s):
+        places *= 2
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A signature of fewer places: those that fall together are added, as parities."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int) -> bool:
+    """Whether signatures of two sets of ``n`` elements together leave room for a link.
+
+    Places that differ are at most the elements of just one set, which are at
+    most a seventh of all if the sets link.
+    """
+    size = min(len(x), len(y))
+    return 7 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n
 
 
 def prefix_length(n: int) -> int:
@@ -131,17 +151,22 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
             values, n = values[n >= REPORTED], n[n >= REPORTED]
             k = len(values)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, key_type), pa.array(np.ones(k, np.int32)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64()))], names=names
+                [
+                    pa.nulls(k, key_type), pa.array(np.ones(k, np.int32)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)),
+                    pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
+                ], names=names,
             )
 
         for batch in batches:
             key_type = batch.column("key").type
-            ids, ns, bits = [], [], []
+            ids, ns, bits, wide = [], [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py())
                 ids.append(set_id(s))
                 ns.append(len(s))
-                bits.append(signature(s))
+                words = signature(s)
+                bits.append(folded(words, max(LEAST_WORDS, len(words) // 2)).tobytes())
+                wide.append(words.tobytes())
                 if ids[-1] not in seen:
                     seen.add(ids[-1])
                     gathered.append(s)
@@ -149,16 +174,17 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
                 if size >= COUNTED:
                     yield counted()
                     gathered, size = [], 0
-            flat = pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64))
-            offsets = pa.array(np.arange(0, SIGNATURE_WORDS * len(bits) + 1, SIGNATURE_WORDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=names
+                [
+                    batch.column("key"), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()),
+                    pa.array(bits, pa.binary()), pa.array(wide, pa.binary()),
+                ], names=names,
             )
         if gathered:
             yield counted()
 
-    names = ["key", "part", "sig", "n", "bits"]
-    return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, bits array<long>")
+    names = ["key", "part", "sig", "n", "bits", "wide"]
+    return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, bits binary, wide binary")
 
 
 def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
@@ -234,12 +260,22 @@ def _sizes_agree(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     spark = pairs.sparkSession
-    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("rep").alias("ra"))
-    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("rep").alias("rb"))
-    differ = sum(F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(SIGNATURE_WORDS))
-    # |A - B| + |B - A| <= (|A| + |B|) / 7 if they link
+    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ra"), F.col("wide").alias("wa"))
+    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("rb"), F.col("wide").alias("wb"))
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("wa"), batch.column("wb"), batch.column("n").to_pylist(), strict=True)
+            ok = pa.array([may_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), n) for x, y, n in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "ra", "rb")], names=["a", "b", "ra", "rb"])
+
     near = reliable(
-        pairs.join(left, "a").join(right, "b").filter(_sizes_agree("na", "nb") & (7 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "ra", "rb")
+        pairs.join(left, "a")
+        .join(right, "b")
+        .filter(_sizes_agree("na", "nb"))
+        .select("a", "b", "ra", "rb", "wa", "wb", (F.col("na") + F.col("nb")).alias("n"))
+        .mapInArrow(bounded, f"a long, b long, ra {kind}, rb {kind}")
     )
     shared = spark.sparkContext.broadcast(bit_table(near.select(F.explode(F.array("ra", "rb")).alias("key")), spot("key")))
 
@@ -278,10 +314,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool) -> list[np.ndarray]:
     """Pairs of one tile that the size and bit bounds leave, of different components.
 
-    ``lower``: the member is of the band below (two such meet in their own
-    tile). ``across``: only members of different blocks meet.
+    ``bits``: signatures, folded here to the smallest one's size. ``lower``: the
+    member is of the band below (two such meet in their own tile). ``across``:
+    only members of different blocks meet.
     """
     out = []
+    if (comp == comp[0]).all():
+        return out
+    size = min(map(len, bits)) // 8
+    same = all(len(x) == 8 * size for x in bits)
+    bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, size) if same else np.stack([folded(np.frombuffer(x, np.uint64), size) for x in bits])
     for i in range(len(sig) - 1):
         r = slice(i + 1, None)
         keep = (comp[r] != comp[i]) & (4 * np.minimum(n[r], n[i]) >= 3 * np.maximum(n[r], n[i]))
@@ -291,8 +333,7 @@ def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarra
             keep &= block[r] != block[i]
         at = np.flatnonzero(keep) + i + 1
         if len(at):
-            # of unsigned words: numpy counts the bits of an absolute value
-            differ = np.bitwise_count((bits[at] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
             at = at[7 * differ <= n[at] + n[i]]
             if len(at):
                 out.append(np.stack([np.minimum(sig[at], sig[i]), np.maximum(sig[at], sig[i])], axis=1))
@@ -324,7 +365,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        cols["bits"] = batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIGNATURE_WORDS)
+        cols["bits"] = np.array(batch.column("bits").to_pylist(), object)
         if rest is not None:
             cols = {k: np.concatenate([rest[k], v]) for k, v in cols.items()}
         starts = ends(cols)
@@ -364,6 +405,23 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
     return placed.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(_tiles, "a long, b long").distinct()
 
 
+def _components(lists: DataFrame, classes: DataFrame, base: DataFrame) -> DataFrame:
+    """Components of classes, by the two rounds; nothing of it refers to ``lists`` any more."""
+    chained = reliable(
+        lists.filter(F.col("prev").isNotNull() & (F.col("prev") != F.col("sig")) & _sizes_agree("n", "prev_n"))
+        .select(F.least("sig", "prev").alias("a"), F.greatest("sig", "prev").alias("b"))
+        .distinct()
+    )
+    links = reliable(_verified(chained, classes, base))
+    component = reliable(connected_components(links))
+    more = reliable(_tile_candidates(lists, component, classes).join(chained, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        further = reliable(_verified(more, classes, base))
+        if not further.isEmpty():
+            component = reliable(connected_components(links.unionAll(further)))
+    return component
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``class_id`` and ``component_id`` of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -378,27 +436,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .limit(FREQUENT)
         .collect()
     )
-    classes = reliable(described.filter("part = 0 and n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")))
+    classes = reliable(described.filter("part = 0 and n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     chain = Window.partitionBy("h", "chain").orderBy("n", "sig")
-    lists = written(
-        _prefixes(base, [(r.sig, r.n) for r in often])
-        .select("*", F.lag("sig").over(chain).alias("prev"), F.lag("n").over(chain).alias("prev_n"), F.lead("sig").over(chain).alias("next"))
-        .filter("prev is not null or next is not null")
-        .drop("next"),
-        "jaccard-lists",
-    )
-    chained = reliable(
-        lists.filter(F.col("prev").isNotNull() & (F.col("prev") != F.col("sig")) & _sizes_agree("n", "prev_n"))
-        .select(F.least("sig", "prev").alias("a"), F.greatest("sig", "prev").alias("b"))
-        .distinct()
-    )
-    links = reliable(_verified(chained, classes, base))
-    component = reliable(connected_components(links))
-    more = reliable(_tile_candidates(lists, component, classes).join(chained, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        further = reliable(_verified(more, classes, base))
-        if not further.isEmpty():
-            component = connected_components(links.unionAll(further))
+    with Scratch(docs.sparkSession) as scratch:
+        lists = scratch.written(
+            _prefixes(base, [(r.sig, r.n) for r in often])
+            .select("*", F.lag("sig").over(chain).alias("prev"), F.lag("n").over(chain).alias("prev_n"), F.lead("sig").over(chain).alias("next"))
+            .filter("prev is not null or next is not null")
+            .drop("next"),
+            "jaccard-lists",
+        )
+        component = _components(lists, classes, base)
     named = component.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = classes.select("sig", "rep").join(

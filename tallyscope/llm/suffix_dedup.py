@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import TABLE_BITS, bit_table, in_table, partitions, spot, table, written
+from tallyscope.llm.common import TABLE_BITS, Scratch, bit_table, in_table, partitions, reliable, spot, table
 
 MATCH, GRAM = 200, 32
 #: Bytes of text hashed at once, and windows of a long text cut at once.
@@ -323,29 +323,31 @@ def repeats(keyed: DataFrame) -> DataFrame:
 
     ``keyed`` has ``key`` (a hash of the row), ``id`` and ``text``.
     """
-    spark = keyed.sparkSession
-    rows = written(_segment_rows(keyed), "segments")
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    occurring = written(rows.join(often, "anchor"), "repeated-segments")
-    plain = occurring.filter("not mixed").select("key", F.col("start").alias("a"), (F.col("start") + F.col("strings") + (MATCH - 1)).alias("b"))
-    mixed = occurring.filter("mixed").drop("mixed")
-    distinct = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "strings")).alias("at"))
-    bulk = distinct.groupBy("anchor").agg(F.sum(F.col("at.strings") + (MATCH - 1)).alias("bytes"))
-    large = bulk.filter(F.col("bytes") > LARGEST).select("anchor", F.lit(True).alias("large"))
-    found = _segment_bytes(keyed, distinct)
-    pieces = written(found.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False))), "edge-segments")
-    small = pieces.filter("not large").select("anchor", "seg", "copies", "bytes").distinct()
-    tiled = small.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_tiles, "anchor long, seg long, a long, b long")
-    strings = pieces.filter("large").select("anchor", "seg", "copies", "bytes").mapInArrow(_string_hashes, "anchor long, seg long, copies long, a long, string long").distinct()
-    twice = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "string")
-    hashed = strings.join(twice, ["anchor", "string"]).select("anchor", "seg", "a", (F.col("a") + 1).alias("b"))
-    marked = written(tiled.unionAll(hashed), "edge-marks")
-    edges = (
-        mixed.select("anchor", "seg", "key", "start")
-        .join(marked, ["anchor", "seg"])
-        .select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (MATCH - 1)).alias("b"))
-    )
-    return plain.unionAll(edges).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    with Scratch(keyed.sparkSession) as scratch:
+        rows = scratch.written(_segment_rows(keyed), "segments")
+        counted = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
+        # written: both sides of the join below are then plain exchanges, so a hot anchor's rows can be split
+        often = scratch.written(counted.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated-anchors")
+        occurring = scratch.written(rows.join(often, "anchor"), "repeated-segments")
+        plain = occurring.filter("not mixed").select("key", F.col("start").alias("a"), (F.col("start") + F.col("strings") + (MATCH - 1)).alias("b"))
+        mixed = occurring.filter("mixed").drop("mixed")
+        distinct = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "strings")).alias("at"))
+        bulk = distinct.groupBy("anchor").agg(F.sum(F.col("at.strings") + (MATCH - 1)).alias("bytes"))
+        large = bulk.filter(F.col("bytes") > LARGEST).select("anchor", F.lit(True).alias("large"))
+        found = _segment_bytes(keyed, distinct)
+        pieces = scratch.written(found.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False))), "edge-segments")
+        small = pieces.filter("not large").select("anchor", "seg", "copies", "bytes").distinct()
+        tiled = small.repartition(partitions(keyed.sparkSession), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_tiles, "anchor long, seg long, a long, b long")
+        strings = pieces.filter("large").select("anchor", "seg", "copies", "bytes").mapInArrow(_string_hashes, "anchor long, seg long, copies long, a long, string long").distinct()
+        twice = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "string")
+        hashed = strings.join(twice, ["anchor", "string"]).select("anchor", "seg", "a", (F.col("a") + 1).alias("b"))
+        marked = scratch.written(tiled.unionAll(hashed), "edge-marks")
+        edges = (
+            mixed.select("anchor", "seg", "key", "start")
+            .join(marked, ["anchor", "seg"])
+            .select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (MATCH - 1)).alias("b"))
+        )
+        return reliable(plain.unionAll(edges).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -396,7 +398,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, the text without its repeated strings.
+    """All columns of ``docs``, the text without its repeated strings (a null text: empty).
 
     Spans begin and end at any byte; what is left of a cut character goes too.
     """
