@@ -238,6 +238,10 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> dict:
                 sxx = row[f"xx{i}_{j}"] - sx * sx / n
                 syy = row[f"yy{i}_{j}"] - sy * sy / n
                 sxy = row[f"xy{i}_{j}"] - sx * sy / n
+                # a column that is constant on the rows both have: what is left is rounding
+                if sxx <= 1e-12 * row[f"xx{i}_{j}"] or syy <= 1e-12 * row[f"yy{i}_{j}"]:
+                    res[(i, j)] = None
+                    continue
             else:
                 sxx, syy = var_n[a], var_n[b]
                 c1a = st[a]["sum"] - st[a]["mean"] * st[a]["n"] if st[a]["n"] else 0.0

@@ -116,6 +116,8 @@ SQL["describe_numeric"] = union([
     f"{r(f'min({c})')} AS min, {r(f'quantile_cont({c}, 0.25)')} AS q25, {r(f'quantile_cont({c}, 0.5)')} AS median, "
     f"{r(f'quantile_cont({c}, 0.75)')} AS q75, {r(f'max({c})')} AS max FROM lineitem" for c in LINEITEM_NUMERIC])
 
+SQL["describe_small_band"] = SQL["describe_numeric"]
+
 SQL["skew_kurtosis"] = union([
     f"SELECT '{c}' AS \"column\", {r(g1(c), 3)} AS skew, {r(g2(c), 3)} AS kurtosis FROM lineitem" for c in LINEITEM_NUMERIC])
 

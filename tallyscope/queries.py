@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .config import AuditConfig
 from .operators import eda as V
 from .operators import evidence as EV
 from .operators import profile as P
@@ -55,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "skew_flags": lambda s, d: P.skew_flags(_t("events")(s, d)),
     "audit_stats": lambda s, d: P.audit_stats(_t("lineitem")(s, d), decimals=D6),
     "iqr_outliers": lambda s, d: P.iqr_outliers(_t("events")(s, d)),
+    # ---- quantiles by narrowing, as for columns of any size ----
+    "describe_small_band": lambda s, d: P.describe_numeric(_t("lineitem")(s, d), decimals=D6, cfg=AuditConfig(exact_quantile_max_band=500)),
     # ---- NaN is missing ----
     "nan_describe": lambda s, d: P.describe_numeric(_nan_events(s, d), decimals=D6),
     "nan_null_profile": lambda s, d: P.null_profile(_nan_events(s, d)),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,16 +61,11 @@ def scratch_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; a shared folder is required on a cluster"
         )
     d = tempfile.mkdtemp(prefix="tallyscope-ckpt-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)  # ours alone, so it goes with the process
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared scratch folder."""
     import uuid

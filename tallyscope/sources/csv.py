@@ -102,14 +102,23 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def log_line() -> Column:
+    """A row of the cleaning log as text."""
+    fitted = F.coalesce(F.col("fitted_text"), F.round("fitted_num", 4).cast("string"))
+    return F.concat(
+        F.lit("#"), F.lpad(F.col("step").cast("string"), 2, "0"), F.lit(" "), F.col("type"), F.lit(" '"), F.col("col"), F.lit("'"),
+        F.coalesce(F.concat(F.lit(" -> "), fitted), F.lit("")),
+        F.coalesce(F.concat(F.lit(" ("), F.col("n_affected").cast("string"), F.lit(" affected)")), F.lit("")),
+        F.coalesce(F.concat(F.lit(" "), F.col("note")), F.lit("")), F.lit(" ["), F.col("dim"), F.lit("]"))
+
+
 def write_log_text(log_df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One line per cleaning step, or a single default line when nothing ran.
+    """One line per cleaning step with its fitted value and count, or a single
+    default line when nothing ran.
 
     The log holds one row per step, so one output file is fine."""
     spark = log_df.sparkSession
-    line = F.concat(F.lit("#"), F.lpad(F.col("step").cast("string"), 2, "0"), F.lit(" "), F.col("type"), F.lit(" '"),
-                    F.col("col"), F.lit("' "), F.coalesce(F.col("note"), F.lit("")), F.lit(" ["), F.col("dim"), F.lit("]"))
-    lines = log_df.orderBy("step").select(line.alias("value"))
+    lines = log_df.orderBy("step").select(log_line().alias("value"))
     if log_df.limit(1).count() == 0:
         lines = spark.createDataFrame([("No cleaning steps were applied.",)], "value string")
     lines.coalesce(1).write.mode(mode).text(path)

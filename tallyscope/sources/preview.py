@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import sample_order
 from ..operators.kinds import q
 
-_DIRECT_TOPK = 1000  # a plain ordered limit is fine for small n
-
 
 def head(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """First n rows in key order (TakeOrderedAndProject, n rows per task)."""
@@ -40,13 +38,9 @@ def seeded_sample(df: DataFrame, n: int, key_cols: list[str], seed: int = 42,
     h = sample_order(key_cols, seed)
     tagged = df.withColumn("__h", h)
     ordering = [F.col("__h")] + [F.col(q(c)) for c in order_cols]
-    if n > _DIRECT_TOPK:
-        ladder = list(range(0, 48))
-        row = tagged.agg(*[F.count_if(F.col("__h") < F.lit(_hex_threshold(j))).alias(f"c{j}") for j in ladder]).first()
-        best = 0
-        for j in ladder:
-            if row[f"c{j}"] >= n:
-                best = j
-        if best > 0:
-            tagged = tagged.where(F.col("__h") < F.lit(_hex_threshold(best)))
+    ladder = list(range(0, 48))
+    row = tagged.agg(*[F.count_if(F.col("__h") < F.lit(_hex_threshold(j))).alias(f"c{j}") for j in ladder]).first()
+    best = max((j for j in ladder if row[f"c{j}"] >= n), default=0)
+    if best > 0:
+        tagged = tagged.where(F.col("__h") < F.lit(_hex_threshold(best)))
     return tagged.orderBy(*ordering).limit(n).drop("__h")

@@ -18,7 +18,7 @@ def test_log_text_one_line_per_step_and_default_line(spark):
     p = new_scratch_path(spark, "log")
     write_log_text(plan.log_df(spark), p)
     lines = _lines(spark, p)
-    assert len(lines) == 1 and lines[0].startswith("#01 fill_median 'v'") and lines[0].endswith("[Completeness]")
+    assert len(lines) == 1 and lines[0].startswith("#01 fill_median 'v' -> 5.0 (1 affected)") and lines[0].endswith("[Completeness]")
     empty = new_scratch_path(spark, "log-empty")
     write_log_text(spark.createDataFrame([], LOG_SCHEMA), empty)
     assert _lines(spark, empty) == ["No cleaning steps were applied."]
