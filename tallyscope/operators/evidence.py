@@ -86,6 +86,16 @@ def data_context(df: DataFrame, first: int | None = None, cfg: AuditConfig = DEF
     return df.sparkSession.createDataFrame([(json.dumps(doc, default=str),)], "context string")
 
 
+@nan_as_null
+def data_context_rows(df: DataFrame, first: int | None = None, cfg: AuditConfig = DEFAULT, decimals: int | None = 3) -> DataFrame:
+    """E4 as rows: (section, key, field, text, value) of shape, dtypes and describe."""
+    rows = [("shape", "rows", None, None, float(df.count())), ("shape", "columns", None, None, float(len(df.columns)))]
+    rows += [("dtypes", f.name, None, f.dataType.simpleString(), None) for f in df.schema.fields]
+    for d in _rows(describe_numeric(df, numeric_cols(df, first), decimals=decimals, cfg=cfg)):
+        rows += [("describe", d["column"], k, None, None if v is None else float(v) + 0.0) for k, v in d.items() if k != "column"]  # no negative zero
+    return df.sparkSession.createDataFrame(rows, "section string, key string, field string, text string, value double")
+
+
 @nan_as_null
 def evidence_pack(df: DataFrame, assessment, plan=None, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """E5: one JSON document with shape, cleaning steps, outliers, skews, E1-E3."""

@@ -627,6 +627,37 @@ UNION ALL SELECT 'cleaning_steps', CAST(count(*) AS VARCHAR) FROM steps""")
 
 SQL["csv_roundtrip"] = ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
                         "FROM customer")
+LINEITEM_TEXT = ["l_returnflag", "l_linestatus"]
+LINEITEM_DTYPES = {
+    **{c: "bigint" for c in LINEITEM_NUMERIC[:3]}, "l_linenumber": "int", **{c: "double" for c in LINEITEM_NUMERIC[4:]},
+    **{c: "string" for c in LINEITEM_TEXT}, "l_shipdate": "timestamp_ntz",
+}
+_ALL_NUMERIC = ",".join(LINEITEM_NUMERIC)
+_ALL_LINEITEM = [*LINEITEM_NUMERIC, *LINEITEM_TEXT, "l_shipdate"]
+
+SQL["chart_catalog"] = f"""WITH n AS (SELECT count(*) AS n_rows FROM lineitem),
+c AS ({union([f"SELECT '{c}' AS c, {i} AS pos, count({c}) AS n, count(*) - count({c}) AS nulls FROM lineitem" for i, c in enumerate(_ALL_LINEITEM)])})
+SELECT 'histogram' AS chart, c AS columns, n AS n_rows, 'How do the values of ' || c || ' spread?' AS question FROM c
+  WHERE n >= 5 AND c IN ({', '.join(f"'{c}'" for c in LINEITEM_NUMERIC)})
+UNION ALL SELECT 'zscore_box', '{_ALL_NUMERIC}', n_rows, 'Where do values lie far from the rest?' FROM n
+UNION ALL SELECT 'scatter_fit', '{_ALL_NUMERIC}', n_rows, 'Does a line describe the closest pair?' FROM n
+UNION ALL SELECT 'correlation_matrix', '{_ALL_NUMERIC}', n_rows, 'Which numbers rise and fall as one?' FROM n
+UNION ALL SELECT 'category_frequency', c, n_rows, 'Which values of ' || c || ' are common?' FROM c, n
+  WHERE c IN ({', '.join(f"'{c}'" for c in LINEITEM_TEXT)})
+UNION ALL SELECT 'time_series', 'l_shipdate,{LINEITEM_NUMERIC[0]}', n_rows, 'How does {LINEITEM_NUMERIC[0]} change with l_shipdate?' FROM n
+UNION ALL SELECT 'null_map', string_agg(c, ',' ORDER BY pos), least(max(n_rows), 250), 'Do nulls come in blocks?' FROM c, n
+  WHERE nulls > 0 HAVING count(*) > 0"""
+
+_FIELDS = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "q25": "quantile_cont({c}, 0.25)",
+           "median": "quantile_cont({c}, 0.5)", "q75": "quantile_cont({c}, 0.75)", "max": "max({c})"}
+
+SQL["data_context_rows"] = union([
+    "SELECT 'shape' AS section, 'rows' AS key, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS text, CAST(count(*) AS DOUBLE) AS value FROM lineitem",
+    f"SELECT 'shape', 'columns', NULL, NULL, CAST({len(_ALL_LINEITEM)} AS DOUBLE)",
+    *[f"SELECT 'dtypes', '{c}', NULL, '{t}', NULL" for c, t in LINEITEM_DTYPES.items()],
+    *[f"SELECT 'describe', '{c}', '{k}', NULL, {r(x.format(c=c))} + 0.0 FROM lineitem" for c in LINEITEM_NUMERIC for k, x in _FIELDS.items()],
+])
+
 SQL["csv_latin1"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 

@@ -185,6 +185,7 @@ QUERIES.update({
     "numeric_evidence": lambda s, d: EV.numeric_evidence(_t("lineitem")(s, d), decimals=D6),
     "report_facts": _report_facts,
     "dialogue_context": lambda s, d: EV.dialogue_context(_t("conversations")(s, d)),
+    "data_context_rows": lambda s, d: EV.data_context_rows(_t("lineitem")(s, d), decimals=D6),
     "data_context": lambda s, d: EV.data_context(_t("lineitem")(s, d)),
     "evidence_pack": _evidence_pack,
     # ---- CSV source and sinks ----
