@@ -41,7 +41,7 @@ SAMPLE = 3000
 #: Features kept for each category, the fewest sampled toxic texts with one, and how much
 #: more often than in clean texts it must be.
 FEATURES, LEAST, ODDS = 160, 5, 8.0
-FOLDS, ROUNDS, RIDGE = 3, 25, 0.05
+FOLDS, ROUNDS, RIDGE = 3, 30, 0.01
 THRESHOLD = 0.5
 CATEGORIES = ["insult", "coded", "toxic"]
 #: Insults of the first category: common English words.
