@@ -52,10 +52,15 @@ _NUMERIC_VIEW = (T.NumericType, T.StringType, T.BooleanType)
 
 @dataclass
 class Op:
-    """One literal-only operation of a fitted plan."""
-    kind: str                     # "set" (column := expr), "drop", "dedup"
+    """One operation of a fitted plan, by name and literals only, so that it can be written to a file."""
+    kind: str                     # a name of _OPERATIONS (column := expression), "drop" or "dedup"
     col: str | None = None
-    make: object = None           # callable(env) -> Column, literals only
+    args: dict = field(default_factory=dict)
+
+    def apply(self, e: Column) -> Column:
+        """The operation on its column's expression."""
+        args = {k: T.DataType.fromDDL(v) if k == "dt" else v for k, v in self.args.items()}
+        return _OPERATIONS[self.kind](e, **args)
 
 
 @dataclass
@@ -83,13 +88,13 @@ class FittedPlan:
         base = canonicalize(df) if self.canonical else df
         env = {c: F.col(q(c)) for c in base.columns}
         for op in self.ops:
-            if op.kind == "set":
-                env[op.col] = op.make(env)
-            elif op.kind == "drop":
+            if op.kind == "drop":
                 env.pop(op.col, None)
             elif op.kind == "dedup":
                 base = _deduplicated(base.select(*[e.alias(c) for c, e in env.items()]))
                 env = {c: F.col(q(c)) for c in base.columns}
+            else:
+                env[op.col] = op.apply(env[op.col])
         return base.select(*[e.alias(c) for c, e in env.items()])
 
     def log_df(self, spark) -> DataFrame:
@@ -106,8 +111,15 @@ class FittedPlan:
         return out
 
     def to_json(self) -> str:
-        return json.dumps({"formats": self.formats, "categories": self.categories,
-                           "log": [r.__dict__ for r in self.log]}, default=str)
+        return json.dumps({"canonical": self.canonical, "ops": [o.__dict__ for o in self.ops], "log": [r.__dict__ for r in self.log],
+                           "formats": self.formats, "categories": self.categories})
+
+    @classmethod
+    def from_json(cls, text: str) -> FittedPlan:
+        """The plan that ``to_json`` has written; it transforms alike."""
+        d = json.loads(text)
+        return cls(ops=[Op(**o) for o in d["ops"]], log=[LogRow(**r) for r in d["log"]], canonical=d["canonical"],
+                   formats=d["formats"], categories=d["categories"])
 
 
 def _date_formats(convention: str | None) -> list[str]:
@@ -141,6 +153,39 @@ def _as_double(e: Column, dt: T.DataType) -> Column:
     return e.cast("double")
 
 
+def _bad(x: Column, lo: float | None, hi: float | None, sentinels: list) -> Column:
+    """Numbers out of bounds or on the list of codes for missing."""
+    bad = F.lit(False)
+    if lo is not None:
+        bad = bad | (x < F.lit(float(lo)))
+    if hi is not None:
+        bad = bad | (x > F.lit(float(hi)))
+    if sentinels:
+        bad = bad | x.isin([float(v) for v in sentinels])
+    return F.coalesce(bad, F.lit(False))
+
+
+def _in_range(e: Column, dt: T.DataType, lo: float | None, hi: float | None, sentinels: list, to_int: bool, value: float | None) -> Column:
+    """Bad numbers replaced by a fitted value, or left null without one."""
+    x = _as_double(e, dt)
+    kept = F.when(~_bad(x, lo, hi, sentinels), x)
+    if value is None:
+        return kept
+    filled = F.coalesce(kept, F.lit(value))
+    return F.bround(filled, 0).cast("bigint") if to_int else filled
+
+
+#: What a fitted operation does to its column.
+_OPERATIONS = {
+    "to_datetime": lambda e, formats, pivot: F.coalesce(parse_dates(e, formats, pivot), parse_dates(e, FALLBACK_FORMATS, pivot)),
+    "to_numeric": lambda e: text_to_number(e),
+    "to_integer": lambda e, dt: F.bround(_as_double(e, dt), 0).cast("bigint"),
+    "fill_median": lambda e, dt, value: _filled(e, dt, value),
+    "fill_mode": lambda e, dt, value: F.coalesce(e, F.lit(value).cast(dt)),
+    "fix_range": _in_range,
+}
+
+
 def _flag(cond: Column) -> Column:
     """A per-row 0/1 term; the log's counts are sums of these."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
@@ -287,8 +332,7 @@ class CleaningPlan:
                     dirty = True
                     note = ("day-first order detected" if conv == "dmy" else "month-first order detected"
                             if conv == "mdy" else "order could not be determined; leftovers parsed day-first")
-                    ops.append(Op("set", s2.col, (lambda c, f, p: (lambda e: F.coalesce(
-                        parse_dates(e[c], f, p), parse_dates(e[c], FALLBACK_FORMATS, p))))(s2.col, fmts, pivot)))
+                    ops.append(Op("to_datetime", s2.col, {"formats": fmts, "pivot": pivot}))
                     env[s2.col] = parsed
                     log.append(LogRow(n2, "to_datetime", s2.col, s2.dim, note=note, fitted_text=conv,
                                       counter=f"new_nulls{n2}"))
@@ -302,7 +346,7 @@ class CleaningPlan:
                     val = text_to_number(raw)
                     pending[f"pct{n}"] = (lambda r: _flag(r.cast("string").contains("%")), [raw])
                     dirty = True
-                    ops.append(Op("set", col, (lambda c: lambda e: text_to_number(e[c]))(col)))
+                    ops.append(Op("to_numeric", col))
                     env[col] = val
                     log.append(LogRow(n, t, col, s.dim, note="'%' values divided by 100; symbols stripped",
                                       counter=f"pct{n}"))
@@ -320,7 +364,7 @@ class CleaningPlan:
                     dt = self._dtype(base, env, col)
                     v = _as_double(env[col], dt)
                     pending[f"int{n}"] = (lambda x: _flag(x.isNotNull()), [v])
-                    ops.append(Op("set", col, (lambda c, d: lambda e: F.bround(_as_double(e[c], d), 0).cast("bigint"))(col, dt)))
+                    ops.append(Op("to_integer", col, {"dt": dt.simpleString()}))
                     env[col] = F.bround(v, 0).cast("bigint")
                     log.append(LogRow(n, t, col, s.dim, note="rounded to whole numbers, nulls kept",
                                       counter=f"int{n}"))
@@ -387,7 +431,7 @@ class CleaningPlan:
                     extra[f"m{n}"] = F.count(vd)
             else:
                 x = _as_double(v, self._dtype(base, env, s.col))
-                bad = self._bad(x, s)
+                bad = _bad(x, s.lo, s.hi, s.sentinels)
                 extra[f"bad{n}"] = F.count_if(bad)
                 med_exprs[f"m{n}"] = F.when(~bad, x)
                 extra[f"m{n}"] = F.count(F.when(~bad, x))
@@ -412,7 +456,7 @@ class CleaningPlan:
                     log.append(LogRow(n, s.type, col, s.dim, n_affected=0, note="no median (all null)"))
                     continue
                 dt = self._dtype(base, env, col)
-                ops.append(Op("set", col, (lambda c, m, d: lambda e: _filled(e[c], d, m))(col, med, dt)))
+                ops.append(Op("fill_median", col, {"dt": dt.simpleString(), "value": med}))
                 env[col] = _filled(env[col], dt, med)
                 log.append(LogRow(n, s.type, col, s.dim, n_affected=nulls, fitted_num=med,
                                   note="nulls filled with the median"))
@@ -424,47 +468,25 @@ class CleaningPlan:
                                       note="no nulls left" if nulls == 0 else "no mode (all null)"))
                     continue
                 dt = self._dtype(base, env, col)
-                ops.append(Op("set", col, (lambda c, mv, d: lambda e: F.coalesce(e[c], F.lit(mv).cast(d)))(col, m, dt)))
+                ops.append(Op("fill_mode", col, {"dt": dt.simpleString(), "value": str(m)}))
                 env[col] = F.coalesce(env[col], F.lit(m).cast(dt))
                 log.append(LogRow(n, s.type, col, s.dim, n_affected=nulls, fitted_text=str(m),
                                   note="nulls filled with the mode"))
             else:
                 med = meds[f"m{n}"][0]
                 n_bad = int(got[f"bad{n}"])
+                op = Op("fix_range", col, {"dt": self._dtype(base, env, col).simpleString(), "lo": s.lo, "hi": s.hi,
+                                           "sentinels": [float(x) for x in s.sentinels], "to_int": bool(s.to_int), "value": med})
+                ops.append(op)
+                env[col] = op.apply(env[col])
                 if med is None:
-                    dt = self._dtype(base, env, col)
-                    ops.append(Op("set", col, (lambda c, st, d: lambda e: F.when(~self._bad(_as_double(e[c], d), st),
-                                                                                 _as_double(e[c], d)))(col, s, dt)))
-                    x = _as_double(env[col], dt)
-                    env[col] = F.when(~self._bad(x, s), x)
                     log.append(LogRow(n, s.type, col, s.dim, n_affected=n_bad,
                                       note="all values out of range: left null, nothing to impute"))
                     continue
-
-                dt = self._dtype(base, env, col)
-
-                def make(e, c=col, st=s, m=med, d=dt):
-                    x = _as_double(e[c], d)
-                    out = F.coalesce(F.when(~self._bad(x, st), x), F.lit(m))
-                    return F.bround(out, 0).cast("bigint") if st.to_int else out
-
-                ops.append(Op("set", col, make))
-                env[col] = make(env)
                 log.append(LogRow(n, s.type, col, s.dim, n_affected=n_bad, fitted_num=med,
                                   note="impossible values replaced by the median of valid ones"
                                   + ("; rounded to whole numbers" if s.to_int else "")))
 
-    @staticmethod
-    def _bad(x: Column, s: Suggestion) -> Column:
-        bad = F.lit(False)
-        if s.lo is not None:
-            bad = bad | (x < F.lit(float(s.lo)))
-        if s.hi is not None:
-            bad = bad | (x > F.lit(float(s.hi)))
-        if s.sentinels:
-            bad = bad | x.isin([float(v) for v in s.sentinels])
-        return F.coalesce(bad, F.lit(False))
-
     @staticmethod
     def _dtype(base: DataFrame, env: dict, col: str) -> T.DataType:
         return base.select(env[col].alias("x")).schema["x"].dataType

@@ -22,9 +22,7 @@ def clean_stream(plan: FittedPlan, stream: DataFrame, event_time: str | None = N
     base = canonicalize(stream) if plan.canonical else stream
     env = {c: F.col(q(c)) for c in base.columns}
     for op in plan.ops:
-        if op.kind == "set":
-            env[op.col] = op.make(env)
-        elif op.kind == "drop":
+        if op.kind == "drop":
             env.pop(op.col, None)
         elif op.kind == "dedup":
             if event_time is None:
@@ -32,6 +30,8 @@ def clean_stream(plan: FittedPlan, stream: DataFrame, event_time: str | None = N
             base = (base.select(*[e.alias(c) for c, e in env.items()])
                     .withWatermark(event_time, delay).dropDuplicatesWithinWatermark())
             env = {c: F.col(q(c)) for c in base.columns}
+        else:
+            env[op.col] = op.apply(env[op.col])
     return base.select(*[e.alias(c) for c, e in env.items()])
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyscope import CleaningPlan, Suggestion, assess
+from tallyscope import CleaningPlan, FittedPlan, Suggestion, assess
 from tallyscope.functions.scalar import parse_dates
 from tallyscope.operators import eda, profile
 
@@ -52,6 +52,8 @@ def test_transform_is_fit_transform(spark):
         out, plan = CleaningPlan(steps).fit_transform(df)
         again = plan.transform(df)
         assert out.dtypes == again.dtypes and rows(out) == rows(again), [s.type for s in steps]
+        loaded = FittedPlan.from_json(plan.to_json())
+        assert loaded.log == plan.log and rows(loaded.transform(df)) == rows(out)
 
 
 def test_one_bad_step_does_not_stop_the_others(spark):
