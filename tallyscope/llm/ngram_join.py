@@ -20,12 +20,12 @@ all its pairs made:
    Verified links give first components.
 2. Lists that still hold several components are laid out in size-banded tiles:
    a member meets its own band and the band below, long tiles in blocks. In a
-   tile, parity signatures of a bit an element bound the overlap from above:
-   every bit in which two signatures differ is an element of just one set. Pairs
-   of different components that pass the size and bit bounds are verified.
+   tile, parity signatures of two bits an element bound the overlap from above:
+   every bit in which two signatures differ is an element of just one set. What
+   follows the tile's element in both sets bounds it, too. Pairs of different
+   components that pass these bounds are verified.
 
-Before verification, signatures with two bits an element bound each pair once
-more. Verification intersects the sorted arrays of the two sets, read again from the
+Verification intersects the sorted arrays of the two sets, read again from the
 texts of the documents in question. A fixed-size bit table (2^22 bits) that is
 broadcast tells which documents need it; the join that follows is exact.
 
@@ -153,20 +153,18 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(k, key_type), pa.array(np.ones(k, np.int32)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)),
-                    pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
+                    pa.nulls(k, pa.binary()),
                 ], names=names,
             )
 
         for batch in batches:
             key_type = batch.column("key").type
-            ids, ns, bits, wide = [], [], [], []
+            ids, ns, wide = [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py())
                 ids.append(set_id(s))
                 ns.append(len(s))
-                words = signature(s)
-                bits.append(folded(words, max(LEAST_WORDS, len(words) // 2)).tobytes())
-                wide.append(words.tobytes())
+                wide.append(signature(s).tobytes())
                 if ids[-1] not in seen:
                     seen.add(ids[-1])
                     gathered.append(s)
@@ -177,18 +175,18 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()),
-                    pa.array(bits, pa.binary()), pa.array(wide, pa.binary()),
+                    pa.array(wide, pa.binary()),
                 ], names=names,
             )
         if gathered:
             yield counted()
 
-    names = ["key", "part", "sig", "n", "bits", "wide"]
-    return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, bits binary, wide binary")
+    names = ["key", "part", "sig", "n", "wide"]
+    return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, wide binary")
 
 
 def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
-    """(h, chain, sig, n) for the prefix elements of each class in each task.
+    """(h, chain, place, sig, n) for the prefix elements of each class in each task.
 
     ``frequent`` has the elements that go last, with their counts; a longer
     list than ``CHAIN`` is dealt to several chains, once by each of two hashes.
@@ -205,14 +203,18 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
         seen: set[int] = set()
         hs: list[np.ndarray] = []
         cs: list[np.ndarray] = []
+        ps: list[np.ndarray] = []
         ids: list[int] = []
         ns: list[int] = []
         counts: list[int] = []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(ns, np.int64), counts))],
-                names=["h", "chain", "sig", "n"],
+                [
+                    pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ps)),
+                    pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(ns, np.int64), counts)),
+                ],
+                names=["h", "chain", "place", "sig", "n"],
             )
 
         for batch in batches:
@@ -229,28 +231,31 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
                     light = s[~often][:p]
                 else:
                     light = s[:p]
-                parts, codes = [light], [np.zeros(len(light), np.int32)]
+                parts, codes, places = [light], [np.zeros(len(light), np.int32)], [np.arange(len(light), dtype=np.int32)]
                 if len(light) < p:
                     at = at[often]
                     at = at[np.argsort(rank[at])][: p - len(light)]
                     k = chains[at]
+                    places.append(np.arange(len(light), len(light) + len(at), dtype=np.int32))
                     parts.append(values[at])
                     codes.append((2 * ((sig & 0xFFFFFF) % k)).astype(np.int32))
                     long = at[k > 1]
+                    places.append(places[-1][k > 1])
                     parts.append(values[long])
                     codes.append((2 * ((sig >> 24 & 0xFFFFFF) % chains[long]) + 1).astype(np.int32))
                 hs += parts
                 cs += codes
+                ps += places
                 ids.append(sig)
                 ns.append(len(s))
                 counts.append(sum(map(len, parts)))
                 if len(ids) == 2000:
                     yield out()
-                    hs, cs, ids, ns, counts = [], [], [], [], []
+                    hs, cs, ps, ids, ns, counts = [], [], [], [], [], []
         if ids:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "h long, chain int, sig long, n long")
+    return docs.select("text").mapInArrow(run, "h long, chain int, place int, sig long, n long")
 
 
 def _sizes_agree(a: str, b: str) -> Column:
@@ -311,46 +316,59 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.mapInArrow(verify, "a long, b long").distinct()
 
 
-def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool) -> list[np.ndarray]:
-    """Pairs of one tile that the size and bit bounds leave, of different components.
+def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool) -> list[np.ndarray]:
+    """Pairs of one tile that the size, place and bit bounds leave, of different components.
+
+    ``place``: where the tile's element stands in each set's order. If it is the
+    first that two sets share, no more than what follows it can be shared; if
+    it is not, the pair meets in the tile of the one that is.
 
-    ``bits``: signatures, folded here to the smallest one's size. ``lower``: the
+    ``bits``: signatures, folded here to the smaller one's size. ``lower``: the
     member is of the band below (two such meet in their own tile). ``across``:
     only members of different blocks meet.
     """
     out = []
     if (comp == comp[0]).all():
         return out
-    size = min(map(len, bits)) // 8
-    same = all(len(x) == 8 * size for x in bits)
-    bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, size) if same else np.stack([folded(np.frombuffer(x, np.uint64), size) for x in bits])
+    sizes = np.array([len(x) // 8 for x in bits])
+    # by size: the signatures of that size, and those twice as long folded to it; sizes of linked sets are no further apart
+    at_size = {}
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+        row_of = np.full(len(bits), -1)
+        row_of[rows] = np.arange(len(rows))
+        at_size[size] = row_of, np.stack([folded(np.frombuffer(bits[k], np.uint64), size) for k in rows])
     for i in range(len(sig) - 1):
         r = slice(i + 1, None)
         keep = (comp[r] != comp[i]) & (4 * np.minimum(n[r], n[i]) >= 3 * np.maximum(n[r], n[i]))
+        keep &= 7 * np.minimum(n[r] - place[r], n[i] - place[i]) >= 3 * (n[r] + n[i])
         if lower[i]:
             keep &= ~lower[r]
         if across:
             keep &= block[r] != block[i]
         at = np.flatnonzero(keep) + i + 1
-        if len(at):
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            at = at[7 * differ <= n[at] + n[i]]
-            if len(at):
-                out.append(np.stack([np.minimum(sig[at], sig[i]), np.maximum(sig[at], sig[i])], axis=1))
+        smaller = np.minimum(sizes[at], sizes[i])
+        for size in np.unique(smaller).tolist():
+            row_of, words = at_size[size]
+            j = at[smaller == size]
+            differ = np.bitwise_count(words[row_of[j]] ^ words[row_of[i]]).sum(axis=1, dtype=np.int64)
+            j = j[7 * differ <= n[j] + n[i]]
+            if len(j):
+                out.append(np.stack([np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])], axis=1))
     return out
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles arrive whole and in order of their key; a block bounds each."""
     rest = None
-    names = ["h", "band", "bi", "bj", "sig", "comp", "n", "lower", "block"]
+    names = ["h", "band", "bi", "bj", "sig", "comp", "n", "place", "lower", "block"]
 
     def pairs(cols: dict[str, np.ndarray], upto: int, starts: np.ndarray) -> pa.RecordBatch:
         found = []
         for a, b in zip(starts, [*starts[1:], upto], strict=True):
             if b - a > 1:
                 c = {k: v[a:b] for k, v in cols.items()}
-                found += tile_pairs(c["sig"], c["comp"], c["n"], c["bits"], c["lower"], c["block"], c["bi"][0] != c["bj"][0])
+                found += tile_pairs(c["sig"], c["comp"], c["n"], c["place"], c["bits"], c["lower"], c["block"], c["bi"][0] != c["bj"][0])
         made = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
 
@@ -382,7 +400,7 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
     spark = lists.sparkSession
     member = (
         lists.filter(F.col("chain") % 2 == 0)
-        .select("h", "sig", "n")
+        .select("h", "sig", "n", "place")
         .join(component.withColumnRenamed("node", "sig"), "sig", "left")
         .withColumn("comp", F.coalesce("component", "sig"))
         .drop("component")
@@ -390,16 +408,21 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
     )
     member = reliable(member)
     mixed = member.groupBy("h").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("members > 2 and lo <> hi").select("h", "members")
-    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(BAND))))
+    # a short list is one tile, whose size bound parts its bands; a long one is dealt by band and block
+    long = F.col("members") > BLOCK
+    band = F.when(long, F.floor(F.log(F.col("n")) / F.lit(float(np.log(BAND))))).otherwise(F.lit(0).cast("long"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = (
         member.join(mixed, "h")
-        .join(classes.select("sig", "bits"), "sig")
+        .join(classes.select("sig", F.col("wide").alias("bits")), "sig")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-        .withColumn("tile", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("lower")), F.struct((band + 1).alias("band"), F.lit(True).alias("lower")))))
+        .withColumn("tile", F.explode(F.filter(
+            F.array(F.struct(band.alias("band"), F.lit(False).alias("lower")), F.struct((band + 1).alias("band"), F.lit(True).alias("lower"))),
+            lambda t: long | ~t["lower"],
+        )))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("h", F.col("tile.band").alias("band"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sig", "comp", "n", F.col("tile.lower").alias("lower"), "block", "bits")
+        .select("h", F.col("tile.band").alias("band"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sig", "comp", "n", "place", F.col("tile.lower").alias("lower"), "block", "bits")
     )
     key = ["h", "band", "bi", "bj"]
     return placed.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(_tiles, "a long, b long").distinct()
@@ -436,7 +459,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .limit(FREQUENT)
         .collect()
     )
-    classes = reliable(described.filter("part = 0 and n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    classes = reliable(described.filter("part = 0 and n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.first("wide").alias("wide")))
     chain = Window.partitionBy("h", "chain").orderBy("n", "sig")
     with Scratch(docs.sparkSession) as scratch:
         lists = scratch.written(
