@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.llm.common import reliable
 
+#: Links that one task handles: a round over few links is a few tasks, whatever the session's partitions.
+LINKS_A_TASK = 100_000
 #: Rounds after which a run gives up; each halves the depth of the trees at least.
 MAX_ROUNDS = 60
 
@@ -18,29 +20,26 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbour. Small star: every smaller neighbour does. Both are one aggregate
     (with map-side combine) and one join, which splits a hot hub. Rounds end
     when the links stay as they are, which is compared by count and hash sum.
-    Each round is checkpointed in the shared folder; no links come to the driver.
+    Each round is checkpointed in the shared folder, in as many parts as the links
+    need; no links come to the driver.
     """
     edges = reliable(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = None
     for _ in range(MAX_ROUNDS):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
-        large = reliable(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = reliable(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
+        tasks = 1 + state[0] // LINKS_A_TASK
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = reliable(large.coalesce(tasks).distinct().coalesce(tasks))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = reliable(small.unionAll(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
