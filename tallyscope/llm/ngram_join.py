@@ -70,7 +70,7 @@ class WordHashes(dict):
     """64-bit hash of each word met; started anew when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -180,6 +180,7 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
             )
         if gathered:
             yield counted()
+        _WORDS.clear()  # the worker may go on with another operator
 
     names = ["key", "part", "sig", "n", "wide"]
     return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, wide binary")
@@ -254,6 +255,7 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
                     hs, cs, ps, ids, ns, counts = [], [], [], [], [], []
         if ids:
             yield out()
+        _WORDS.clear()
 
     return docs.select("text").mapInArrow(run, "h long, chain int, place int, sig long, n long")
 
@@ -299,6 +301,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                         ids.append(sig)
                         data.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sig", "elements"])
+        _WORDS.clear()
 
     found = docs.select(spot("key").alias("spot"), "text").mapInArrow(sets, "sig long, elements binary")
     both = (

@@ -102,12 +102,20 @@ class ChunkIds:
             found = self.groups[group] = array(self.code, [t.id for t in self.model.tokenize(group)]).tobytes()
         return found
 
+    def forget(self) -> None:
+        """Give the chunks' memory back; the worker may go on with another operator.
+
+        The groups, which cost the model's time, stay up to their own limit.
+        """
+        self.ids.clear()
+        self.first.clear()
+        if len(self.groups) > self.max_chunks:
+            self.groups.clear()
+
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """The packed ids of each text."""
         if len(self.ids) > self.max_chunks or len(self.groups) > self.max_chunks or len(self.first) > self.max_chunks:
-            self.ids.clear()
-            self.first.clear()
-            self.groups.clear()
+            self.forget()
         ids, first = self.ids, self.first
         together = "".join(texts)
         plain = not any(c in together for c in _OTHER_SPACE)
@@ -140,7 +148,7 @@ _TABLES: dict[str, ChunkIds] = {}
 
 
 def chunk_ids(tokenizer_path: str) -> ChunkIds:
-    """The worker's table of a tokenizer, kept from task to task."""
+    """The worker's tokenizer, kept from task to task; chunks are dropped with each."""
     if tokenizer_path not in _TABLES:
         _TABLES[tokenizer_path] = ChunkIds(tokenizer_path)
     return _TABLES[tokenizer_path]
@@ -221,6 +229,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                     ],
                     names=[id_col, "n_tokens", "ids", "ord"],
                 )
+        chunks.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << TIE_BITS) - 1)

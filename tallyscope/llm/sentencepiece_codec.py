@@ -61,8 +61,7 @@ class ChunkTable:
         """Segment the chunks (each without its first marker) that are new."""
         new = [c for c in chunks if c not in self.ids]
         if len(self.ids) + len(new) > self.max_chunks:
-            self.ids.clear()
-            self.odd.clear()
+            self.forget()
             new = list(chunks)
         for c, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
             self.ids[c] = ",".join(map(str, ids))
@@ -73,6 +72,11 @@ class ChunkTable:
             self.ids[""] = self.lone
             self.odd.pop("", None)
 
+    def forget(self) -> None:
+        """Give the table's memory back; the worker may go on with another operator."""
+        self.ids.clear()
+        self.odd.clear()
+
     def encode_block(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """The ids, as decimals with commas, and the decoded text of each text."""
         rows = []
@@ -97,7 +101,7 @@ _TABLES: dict[str, ChunkTable] = {}
 
 
 def chunk_table(model_path: str) -> ChunkTable:
-    """The worker's table of a model, kept from task to task."""
+    """The worker's model, kept from task to task; what it has learned is dropped with each."""
     if model_path not in _TABLES:
         _TABLES[model_path] = ChunkTable(model_path)
     return _TABLES[model_path]
@@ -120,6 +124,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     ],
                     names=[id_col, "ids", "decoded"],
                 )
+        chunks.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(
@@ -145,6 +150,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                     [batch.column("key").slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        chunks.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(
