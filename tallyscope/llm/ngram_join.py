@@ -18,9 +18,9 @@ all its pairs made:
 1. Every element's list is sorted by set size, and each member meets the next
    one. (Long lists are dealt into several chains, twice, by two hashes.)
    Verified links give first components.
-2. Lists that still hold several components are laid out in size-banded tiles:
-   a member meets its own band and the band below, long tiles in blocks. In a
-   tile, parity signatures of two bits an element bound the overlap from above:
+2. Lists that still hold several components, whole whatever their chains, are
+   laid out in size-banded tiles: a member meets its own band and the band
+   below, long tiles in blocks. In a tile, parity signatures of two bits an element bound the overlap from above:
    every bit in which two signatures differ is an element of just one set. What
    follows the tile's element in both sets bounds it, too. Pairs of different
    components that pass these bounds are verified.
@@ -190,7 +190,8 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
     """(h, chain, place, sig, n) for the prefix elements of each class in each task.
 
     ``frequent`` has the elements that go last, with their counts; a longer
-    list than ``CHAIN`` is dealt to several chains, once by each of two hashes.
+    list than ``CHAIN`` is dealt to several chains, once by each of two hashes
+    (even numbers from 2 and odd ones; a list that is one chain has number 0).
     """
     order = np.array([h for h, _ in frequent], np.int64).view(np.uint64)
     by_value = np.argsort(order)
@@ -239,7 +240,7 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
                     k = chains[at]
                     places.append(np.arange(len(light), len(light) + len(at), dtype=np.int32))
                     parts.append(values[at])
-                    codes.append((2 * ((sig & 0xFFFFFF) % k)).astype(np.int32))
+                    codes.append(np.where(k > 1, 2 * ((sig & 0xFFFFFF) % k) + 2, 0).astype(np.int32))
                     long = at[k > 1]
                     places.append(places[-1][k > 1])
                     parts.append(values[long])
@@ -403,14 +404,20 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
     spark = lists.sparkSession
     member = (
         lists.filter(F.col("chain") % 2 == 0)
-        .select("h", "sig", "n", "place")
+        .select("h", "chain", "sig", "n", "place")
         .join(component.withColumnRenamed("node", "sig"), "sig", "left")
         .withColumn("comp", F.coalesce("component", "sig"))
         .drop("component")
         .distinct()
     )
     member = reliable(member)
-    mixed = member.groupBy("h").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("members > 2 and lo <> hi").select("h", "members")
+    # the two members of a list that is one chain have met; those of a dealt list may be in chains of their own
+    mixed = (
+        member.groupBy("h")
+        .agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("chain").alias("chain"))
+        .filter("(members > 2 or chain > 0) and lo <> hi")
+        .select("h", "members")
+    )
     # a short list is one tile, whose size bound parts its bands; a long one is dealt by band and block
     long = F.col("members") > BLOCK
     band = F.when(long, F.floor(F.log(F.col("n")) / F.lit(float(np.log(BAND))))).otherwise(F.lit(0).cast("long"))
@@ -468,7 +475,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lists = scratch.written(
             _prefixes(base, [(r.sig, r.n) for r in often])
             .select("*", F.lag("sig").over(chain).alias("prev"), F.lag("n").over(chain).alias("prev_n"), F.lead("sig").over(chain).alias("next"))
-            .filter("prev is not null or next is not null")
+            # alone in one of a dealt list's chains is not alone in the list, which round 2 takes whole
+            .filter("prev is not null or next is not null or (chain > 0 and chain % 2 = 0)")
             .drop("next"),
             "jaccard-lists",
         )

@@ -73,6 +73,18 @@ def test_long_lists_in_chains_and_blocks(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_members_alone_in_chains_of_a_dealt_list(spark, monkeypatch):
+    for name, value in (("CHAIN", 5), ("REPORTED", 2)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    # the passage is often, but in no long text's prefix: each list is the near-bare copies, two or three of them
+    long = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(160)] + passage)) for i in range(200)]
+    for ends in (["a b", "c d"], ["e f", "g h"], ["i j", "k l", "m n"]):
+        rows = long + [(1000 + i, " ".join([*passage, end])) for i, end in enumerate(ends)]
+        assert run(spark, rows) == plain(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE two"), (6, "one two three four five"), (7, "one two three four five"), (8, "É a b c d"), (9, "é a b c d")]
     rows += [(10, "x " * 30000), (11, "y z " * 10000), (11, "y z " * 10000)]
