@@ -1,9 +1,12 @@
 """Licence scans by recognised sentences and ordered rules over their sequence.
 
-A text is cut into sentences (at line ends, and after ``.``, ``!`` or ``?``
-before white space). A sentence is normalised (a-z and 0-9 in lower case, all
-else one space) and looked up in a table of known licence sentences, which
-gives its identifier. The identifiers of a document, in the order of the text,
+A text is cut into passages (at blank lines, and after ``.``, ``!`` or ``?``
+before white space); a line without a letter or digit is blank, and comment
+marks are no part of a line. A sentence is a run of whole lines of a passage, so
+wrapped text counts like text in one line, and so does a notice in a line of
+its own. It is normalised (a-z and 0-9 in lower case, all else one space) and
+looked up in a table of known licence sentences, the longest first, which gives
+its identifier. The identifiers of a document, in the order of the text,
 are then read by rules in their order: a rule names a licence and a sequence of
 identifiers that follow one another; what a rule has matched is taken out
 before the next rule is tried, so notices of several sentences win over the
@@ -54,10 +57,54 @@ SENTENCES: dict[str, str] = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2-notice",
     "this is free and unencumbered software released into the public domain": "unlicense-notice",
     "all rights reserved": "all-rights",
+    # the sentences as the licences have them
+    "licensed under the apache license version 2 0 the license": "apache-grant",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-grant",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-grant",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-url",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-url",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-warranty",
+    "apache license version 2 0 january 2004": "apache-text",
+    "this project is licensed under the apache license version 2 0": "apache-grant",
+    "released under the apache license version 2 0": "apache-grant",
+    "licensed under the apache license 2 0": "apache-grant",
+    "licensed under the apache 2 0 license": "apache-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement": "bsl-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "this project is released under the mit license": "mit-notice",
+    "this software is licensed under the mit license": "mit-notice",
+    "this software is released under the mit license": "mit-notice",
+    "distributed under the mit license": "mit-notice",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
+    "gnu general public license version 3 29 june 2007": "gpl-3-text",
+    "gnu general public license version 2 june 1991": "gpl-2-text",
+    "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 59 temple place suite 330 boston ma 02111 1307 usa": "gpl-copy",
 }
 
 #: Licence and sequence of identifiers, in the order in which rules are tried.
 RULES: list[tuple[str, list[str]]] = [
+    # a full text holds the header that it recommends
+    ("GPL-3.0-only", ["gpl-3-text", "gpl-3-grant", "gpl-warranty", "gpl-copy"]),
+    ("GPL-2.0-only", ["gpl-2-text", "gpl-2-grant", "gpl-warranty", "gpl-copy"]),
+    ("Apache-2.0", ["apache-text", "apache-grant", "apache-url", "apache-warranty"]),
+    ("Apache-2.0", ["apache-text", "apache-grant", "apache-copy", "apache-warranty"]),
+    ("MIT", ["mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorsement", "bsd-warranty", "bsd-liability"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorsement", "bsd-warranty"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("Apache-2.0", ["apache-grant", "apache-url", "apache-warranty"]),
+    ("Apache-2.0", ["apache-grant", "apache-copy", "apache-warranty"]),
+    ("Apache-2.0", ["apache-grant", "apache-url"]),
+    ("Apache-2.0", ["apache-grant", "apache-copy"]),
     ("GPL-3.0-or-later", ["gpl-3-grant", "gpl-warranty", "gpl-copy"]),
     ("GPL-2.0-or-later", ["gpl-2-grant", "gpl-warranty", "gpl-copy"]),
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
@@ -79,6 +126,15 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-grant"]),
     ("MPL-2.0", ["mpl-2-notice"]),
     ("Unlicense", ["unlicense-notice"]),
+    # sentences that only one licence has, on their own
+    ("GPL-3.0-only", ["gpl-3-text"]),
+    ("GPL-2.0-only", ["gpl-2-text"]),
+    ("Apache-2.0", ["apache-text"]),
+    ("Apache-2.0", ["apache-url"]),
+    ("MIT", ["mit-condition", "mit-warranty"]),
+    ("MIT", ["mit-condition"]),
+    ("MIT", ["mit-warranty"]),
+    ("BSL-1.0", ["bsl-warranty"]),
     ("proprietary", ["all-rights"]),
 ]
 
@@ -90,21 +146,27 @@ def _needed(c: Column) -> Column:
     return c.rlike("(?i)" + "|".join(NEEDED))
 
 
-def normalised(sentence: Column) -> Column:
-    """Letters a-z and digits, all else one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: Any known sentence, in whole lines of a passage (``|`` is a line end); the longest is tried first.
+KNOWN = r"(?:^|\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?=\||$)"
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text that could be known ones, normalised."""
-    broken = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n+")
-    return F.transform(F.filter(broken, _needed), normalised)
+def lines(passage: Column) -> Column:
+    """Letters a-z and digits, line ends as ``|``, all else one space."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(passage), "[^a-z0-9\n]+", " ")), " ?\n ?", "|")
+
+
+def passages(text: Column) -> Column:
+    """The passages of a text that could hold known sentences, normalised."""
+    bare = F.regexp_replace(text, r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t\r\n])", "")
+    cut = F.split(F.regexp_replace(bare, r"([.!?])\s+", "$1\n\n"), r"\n[^A-Za-z0-9]*\n")
+    return F.transform(F.filter(cut, _needed), lines)
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    found = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    runs = F.flatten(F.transform(passages(text), lambda p: F.regexp_extract_all(p, F.lit(KNOWN), F.lit(0))))
+    found = F.transform(runs, lambda s: F.try_element_at(known, F.trim(F.replace(s, F.lit("|"), F.lit(" ")))))
     return F.when(text.isNotNull() & _needed(text), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -138,7 +200,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB SQL, written as a chain of lists."""
+    """The scan in DuckDB SQL, written as a chain of lists; a sentence here is a line or a part of one."""
     known = ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items())
     needed = "|".join(NEEDED)
     steps, hits = [], []
