@@ -20,11 +20,13 @@ suffix_dedup on. Rows with a null doc_id are of no group and stay.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyscope.llm import ngram_join, packing, pii, suffix_dedup, toxicity
 from tallyscope.llm.common import Scratch, prepare, table
@@ -42,15 +44,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``__class``, the n-gram join's class of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [ngram_join.set_id(ngram_join.shingle_set(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*batch.schema.names, "__class"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__class", LongType())]))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    groups = ngram_join.jaccard_groups(docs).groupBy("doc_id").agg(
-        F.max((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).alias("__gone"), (F.count("*") > 1).alias("__again")
-    )
-    marked = docs.join(groups.filter("__gone or __again"), "doc_id", "left").filter("not coalesce(__gone, false)")
-    once = marked.filter("not coalesce(__again, false)").select(*docs.columns)
+    rows = ngram_join.jaccard_groups(docs)
+    linked = (F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))
+    groups = rows.groupBy("doc_id").agg(F.max(linked).alias("__gone"), (F.count("*") > 1).alias("__again"))
+    marked = docs.join(groups.filter("__gone or __again"), "doc_id", "left")
+    once = marked.filter("not coalesce(__again, false) and not coalesce(__gone, false)").select(*docs.columns)
+    # an id that occurs again may have several texts: only those that are linked go
+    gone = rows.join(groups.filter("__gone and __again").select("doc_id"), "doc_id", "left_semi").filter(linked).select("doc_id", F.col("class_id").alias("__class")).distinct()
+    again = _with_class(marked.filter("__again").select(*docs.columns)).join(gone, ["doc_id", "__class"], "left_anti")
     # a row that repeats id and text is one document
-    return once.unionAll(marked.filter("__again").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return once.unionAll(again.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

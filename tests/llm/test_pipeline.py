@@ -80,3 +80,13 @@ def test_empty_and_odd_documents(spark):
             docs = stage(spark, docs, DATA)
         assert sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is not None, x)) == kept
         assert {r.doc_id for r in packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()} == set(kept)
+
+
+def test_an_id_with_a_linked_and_another_text(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (3, words + " more"), (3, "a text of its own that nothing is linked with"), (3, "a text of its own that nothing is linked with"), (4, words), (5, ""), (5, words)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = C.one_of_each_group(spark, docs, DATA)
+    assert got.dtypes == docs.dtypes
+    assert sorted(pairs(got)) == [(1, words), (3, "a text of its own that nothing is linked with"), (5, "")]
