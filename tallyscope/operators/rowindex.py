@@ -1,85 +1,145 @@
-"""Global row index in a total key order, without a single-partition sort.
+"""Global row index and prefix sums in a total key order, without a single-partition sort.
 
 ``row_number() over (order by k)`` with no partition moves every row into one
 task. Instead:
 
-1. sample the key (a bounded sample, sorted by Spark) and take B-1 cut keys;
-2. bucket = position of the row's key among the cuts (a balanced tree of
-   struct comparisons on the *full* key, so even a key prefix holding a third
-   of all rows is spread over many buckets);
-3. count rows per bucket (B numbers to the driver) -> cumulative offsets;
-4. index = row_number() within the bucket + the bucket's offset (literal array).
-
-Buckets depend only on the data and a fixed seed, so re-execution after an
-executor loss yields the same index.
+1. the order columns and a hash of the whole row make a total key: rows that
+   differ are ordered the same way on every run, and a value that a third of
+   all rows share is spread over many ranges;
+2. a sample of the key, sorted by Spark, gives cut keys; a range that turns out
+   to hold more than twice its share is cut again by a sample of its own;
+3. a row's range is the number of cuts up to its key, by binary search in one
+   array literal (log2 of the cuts in steps, whatever their number);
+4. rows a range are counted (one number a range to the driver), and a position
+   is the row's number within its range plus the counts before it. Sums up to a
+   row are built alike.
+
+Cuts depend only on the data and a fixed seed and are literals from then on, so
+re-execution after an executor loss yields the same ranges and index.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rowkey import row_key
 from .kinds import q
 
 TARGET_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 20
+#: Ranges that one sample cuts; more come from cutting these again.
+FIRST_CUTS = 1024
+#: Times that ranges over twice their share are cut again.
+RECUTS = 4
+BUCKET, TIE = "__b", "__tie"
+
+
+def _search(key: Column, cuts: Column, n: int) -> Column:
+    """Number of cuts <= key, by binary search over a sorted array of ``n``."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+
+    def probe(k: Column) -> Callable:
+        return lambda lo, step: F.when((lo + step <= n) & (F.get(cuts, lo + step - 1) <= k), lo + step).otherwise(lo)
+
+    # the one-element transform builds the key once a row
+    return F.get(F.transform(F.array(key), lambda k: F.aggregate(steps, F.lit(0), probe(k))), F.lit(0))
+
 
+def _cut_array(df: DataFrame, keys: list[str], rows: list[tuple]) -> Column:
+    """Cut keys as one literal array of structs (folded by the optimizer)."""
+    def values(i: int, k: str) -> Column:
+        return F.array(*[F.lit(r[i]) for r in rows]).cast(f"array<{df.schema[k].dataType.simpleString()}>")
 
-def _key_struct(df: DataFrame, order_by: list[str]) -> Column:
-    return F.struct(*[F.col(q(k)).alias(f"k{i}") for i, k in enumerate(order_by)])
+    return F.arrays_zip(*[values(i, k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def _cut_struct(df: DataFrame, order_by: list[str], values) -> Column:
-    return F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(f"k{i}") for i, (k, v) in enumerate(zip(order_by, values))])
+def _tagged(df: DataFrame, keys: list[str], cuts: list[tuple]) -> DataFrame:
+    if not cuts:
+        return df.withColumn(BUCKET, F.lit(0))
+    key = F.struct(*[F.col(q(k)).alias(f"k{i}") for i, k in enumerate(keys)])
+    return df.withColumn(BUCKET, _search(key, _cut_array(df, keys, cuts), len(cuts)))
 
 
-def _bucket_expr(key: Column, cuts: list[Column], lo: int = 0, hi: int | None = None) -> Column:
-    """Number of cuts <= key, by binary search over the sorted cuts."""
-    hi = len(cuts) if hi is None else hi
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < cuts[mid], _bucket_expr(key, cuts, lo, mid)).otherwise(_bucket_expr(key, cuts, mid + 1, hi))
+def _sampled_cuts(df: DataFrame, keys: list[str], buckets: int, n: int, seed: int) -> list[tuple]:
+    """Different keys that cut ``n`` rows into about ``buckets`` even ranges."""
+    frac = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, n))
+    place = Window.orderBy(*[F.col(q(k)) for k in keys])  # the sample: 20 rows a range, 1,024 ranges at most
+    sample = df.select(*[F.col(q(k)) for k in keys]).sample(False, frac, seed).withColumn("__place", F.row_number().over(place) - 1)
+    step = max(1, round(n * frac / buckets))
+    rows = sample.where((F.col("__place") % step == 0) & (F.col("__place") > 0)).drop("__place").collect()
+    return list(dict.fromkeys(tuple(r) for r in rows))
+
+
+def _sizes(tagged: DataFrame, n: int) -> list[int]:
+    got = {r[BUCKET]: r["n"] for r in tagged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [int(got.get(b, 0)) for b in range(n)]
+
+
+def with_tie(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with the hash that orders rows whose ``order_by`` is the same, and the total key."""
+    return df.withColumn(TIE, row_key(df)[0]), [*order_by, TIE]
 
 
 def bucketed(df: DataFrame, order_by: list[str], n_rows: int | None = None,
              rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> tuple[DataFrame, list[int]]:
-    """``df`` tagged with ``__b`` (its key's bucket among sampled cut keys) and the
-    row count of every bucket (one small aggregate; B numbers to the driver)."""
+    """``df`` tagged with ``__b`` (the range of its key; a smaller key never has a larger one) and the
+    row count of every range. ``order_by`` should be a total key (``with_tie``): only rows that are
+    equal in it stay together whatever their number."""
     n = df.count() if n_rows is None else n_rows
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
+    buckets = max(1, math.ceil(n / max(1, rows_per_bucket)))
     if buckets == 1:
-        return df.withColumn("__b", F.lit(0)), [n]
-    key = _key_struct(df, order_by)
-    frac = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, n))
-    sample = df.select(*[F.col(q(k)) for k in order_by]).sample(False, frac, seed).orderBy(*order_by).collect()
-    step = len(sample) / buckets
-    cut_rows = [tuple(sample[int(i * step)]) for i in range(1, buckets)] if sample else []
-    # drop repeated cuts (many equal keys): equal cuts would only create empty buckets
-    uniq = []
-    for c in cut_rows:
-        if not uniq or c != uniq[-1]:
-            uniq.append(c)
-    cuts = [_cut_struct(df, order_by, c) for c in uniq]
-    tagged = df.withColumn("__b", _bucket_expr(key, cuts))
-    got = {r["__b"]: r["n"] for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return tagged, [int(got.get(b, 0)) for b in range(len(cuts) + 1)]
+        return _tagged(df, order_by, []), [n]
+    cuts = _sampled_cuts(df, order_by, min(FIRST_CUTS, buckets), n, seed)
+    tagged = _tagged(df, order_by, cuts)
+    sizes = _sizes(tagged, len(cuts) + 1)
+    for again in range(RECUTS):
+        large = [b for b, size in enumerate(sizes) if size > 2 * rows_per_bucket]
+        more = []
+        for i in range(0, len(large), 16):  # so many at once that a sample stays small
+            part = large[i:i + 16]
+            rows = sum(sizes[b] for b in part)
+            more += _sampled_cuts(tagged.where(F.col(BUCKET).isin(part)), order_by, min(16 * FIRST_CUTS, 2 * math.ceil(rows / rows_per_bucket)), rows, seed + again + 1)
+        new = set(more) - set(cuts)
+        if not new:  # what is left over the target can't be told apart
+            break
+        cuts = _sorted_cuts(df, order_by, [*cuts, *new])
+        tagged = _tagged(df, order_by, cuts)
+        sizes = _sizes(tagged, len(cuts) + 1)
+    return tagged, sizes
+
+
+def _sorted_cuts(df: DataFrame, keys: list[str], cuts: list[tuple]) -> list[tuple]:
+    """Cut keys in Spark's order (nulls first, text by bytes)."""
+    frame = df.sparkSession.createDataFrame(cuts, df.select(*[F.col(q(k)) for k in keys]).schema)
+    return [tuple(r) for r in frame.orderBy(*[F.col(q(k)) for k in keys]).collect()]
+
+
+def before_each(values: list, zero=0) -> list:
+    """What lies before each range: running totals, the first is ``zero``."""
+    out, acc = [], zero
+    for v in values:
+        out.append(acc)
+        acc += v
+    return out
+
+
+def at_bucket(values: list, kind: str) -> Column:
+    """The value of a row's range, from a literal array."""
+    if len(values) == 1:
+        return F.lit(values[0]).cast(kind)
+    return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col(BUCKET))
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "idx", n_rows: int | None = None,
                    rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> DataFrame:
-    """``df`` plus a 0-based BIGINT ``name`` giving each row's position in ``order_by`` order."""
-    tagged, counts = bucketed(df, order_by, n_rows, rows_per_bucket, seed)
-    offsets, acc = [], 0
-    for c in counts:
-        offsets.append(acc)
-        acc += c
-    w = Window.partitionBy("__b").orderBy(*[F.col(q(k)) for k in order_by])
-    if len(offsets) == 1:
-        off = F.lit(0).cast("bigint")
-    else:
-        off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("__b") + 1)
-    return tagged.withColumn(name, (F.row_number().over(w) - 1 + off).cast("bigint")).drop("__b")
+    """``df`` plus a 0-based BIGINT ``name`` giving each row's position in ``order_by`` order
+    (rows that are the same there: by a hash of the row)."""
+    total, keys = with_tie(df, order_by)
+    tagged, counts = bucketed(total, keys, n_rows, rows_per_bucket, seed)
+    w = Window.partitionBy(BUCKET).orderBy(*[F.col(q(k)) for k in keys])
+    place = (F.row_number().over(w) - 1 + at_bucket(before_each(counts), "bigint")).cast("bigint")
+    return tagged.withColumn(name, place).drop(BUCKET, TIE)

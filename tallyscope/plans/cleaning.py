@@ -36,6 +36,7 @@ from ..config import (
 )
 from ..functions.scalar import canonicalize, coerce_number, date_slot, parse_dates, strip_ws, text_to_number
 from ..operators import freq as freqmod
+from ..operators.duplicates import drop_duplicates
 from ..operators.kinds import q
 from ..operators.quantiles import exact_quantiles
 from ..session import materialize
@@ -91,7 +92,7 @@ class FittedPlan:
             if op.kind == "drop":
                 env.pop(op.col, None)
             elif op.kind == "dedup":
-                base = _deduplicated(base.select(*[e.alias(c) for c, e in env.items()]))
+                base = drop_duplicates(base.select(*[e.alias(c) for c, e in env.items()]))
                 env = {c: F.col(q(c)) for c in base.columns}
             else:
                 env[op.col] = op.apply(env[op.col])
@@ -127,12 +128,6 @@ def _date_formats(convention: str | None) -> list[str]:
     return primary + list(UNAMBIGUOUS_FORMATS)
 
 
-def _deduplicated(df: DataFrame) -> DataFrame:
-    """Rows that differ, by all columns that can be compared (a map can't, as in the duplicate count)."""
-    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return df.dropDuplicates(keys) if keys else df
-
-
 def _filled(e: Column, dt: T.DataType, value: float) -> Column:
     """Nulls replaced by a median: whole columns stay whole only if the median is."""
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and float(value) % 1:
@@ -282,7 +277,7 @@ class CleaningPlan:
             deferred_cats.clear()
             base = pre.select(*[F.col(q(c)) for c in env])
             if dedup:
-                base = _deduplicated(base)
+                base = drop_duplicates(base)
                 if self.materialize:
                     base = _materialize(base)
             env = {c: F.col(q(c)) for c in base.columns}
