@@ -14,6 +14,7 @@ from tallyscope.llm.ngram_join import op2_ngram_join
 from tallyscope.llm.packing import op10_packing
 from tallyscope.llm.pii import op4_pii
 from tallyscope.llm.sentencepiece_codec import op3_sentencepiece
+from tallyscope.llm.simhash_bktree import op13_simhash_bktree
 from tallyscope.llm.suffix_dedup import op9_suffix_dedup
 from tallyscope.llm.toxicity import op5_toxicity
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
+        "op13_simhash_bktree": op13_simhash_bktree,
     }
 
 
