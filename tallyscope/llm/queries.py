@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import licenses
+from tallyscope.llm import hard_negatives, licenses, prefix_trie
 from tallyscope.llm.collision_search import op1_collision_search
 from tallyscope.llm.fingerprints import op6_fingerprints
 from tallyscope.llm.langid import op8_langid
@@ -31,6 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_simhash_bktree": op13_simhash_bktree,
     }
 
@@ -38,4 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_licenses": licenses.oracle(),
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
     }
