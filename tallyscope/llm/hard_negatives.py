@@ -35,6 +35,8 @@ returned; extra columns are passed over; an empty table gives no row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,7 +60,8 @@ def spanning_tree(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, edge[0] = 0, 0.0
     for _ in range(n - 1):
         outside[at] = False
-        away = np.sqrt(((v - v[at]) ** 2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            away = np.sqrt(((v - v[at]) ** 2).sum(axis=1))
         closer = outside & (away < edge)
         parent[closer], edge[closer] = at, away[closer]
         at = int(np.argmin(np.where(outside, edge, np.inf)))
@@ -98,7 +101,8 @@ class Block:
         self.starts = self.ids.offsets.to_numpy()
         self.ids = self.ids.values.to_numpy()
         self.floats = self.vectors.astype(np.float64)
-        self.norms = np.sqrt((self.floats**2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            self.norms = np.sqrt((self.floats**2).sum(axis=1))
         self.largest = float(np.abs(self.floats).max(initial=0.0))
 
     def scores(self, anchor: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -136,13 +140,14 @@ def bounded(block: Block, anchors: pa.Table, wanted) -> list[tuple]:
     everything = np.arange(len(block.labels))
     for i in order.tolist():
         if i == 0:
-            low = high = block.scores(vectors[0], everything).astype(np.float64)
+            low = high = _doubles(block.scores(vectors[0], everything))
             low, high = _looser(low, -1), _looser(high, 1)
             some = wanted(i, low, high)
         else:
             above = kept[int(parent[i])]
-            reach = edge[i] * block.norms
-            low, high = _looser(above[0] - reach, -1), _looser(above[1] + reach, 1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                reach = edge[i] * block.norms
+                low, high = _looser(above[0] - reach, -1), _looser(above[1] + reach, 1)
             above[2] -= 1
             if not above[2]:
                 del kept[int(parent[i])]
@@ -150,15 +155,24 @@ def bounded(block: Block, anchors: pa.Table, wanted) -> list[tuple]:
         scores = block.scores(vectors[i], some)
         out += wanted.take(i, some, scores)
         if children[i]:
-            close = scores.astype(np.float64)
+            close = _doubles(scores)
             low[some], high[some] = _looser(close, -1), _looser(close, 1)
             kept[i] = [low, high, int(children[i])]
     return out
 
 
 def _looser(x: np.ndarray, way: int) -> np.ndarray:
-    """Bounds that rounding can't have passed."""
-    return x + way * (np.abs(x) * 1e-9 + 1e-6)
+    """Bounds that rounding can't have passed; none where a magnitude is beyond doubles."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = x + way * (np.abs(x) * 1e-9 + 1e-6)
+    return np.where(np.isnan(y), way * np.inf, y)
+
+
+def _doubles(scores: np.ndarray) -> np.ndarray:
+    """Scores as doubles, infinite beyond them."""
+    if scores.dtype != object:
+        return scores
+    return np.array([float(s) if abs(s) < 1 << 1023 else math.inf if s > 0 else -math.inf for s in scores])
 
 
 class Positives:
