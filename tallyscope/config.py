@@ -104,7 +104,7 @@ class AuditConfig:
     strict_parity: bool = False
     # exact quantiles: columns with at most this many non-null values use one
     # exact percentile aggregate; larger ones are narrowed first (see operators.quantiles)
-    exact_quantile_max_band: int = 1_000_000
+    exact_quantile_max_band: int = 16_384
     quantile_accuracy: int = 10_000
 
     def name_has(self, name: str, hint: str) -> bool:

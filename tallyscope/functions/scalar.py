@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -95,75 +96,115 @@ def date_slot(c: Column, i: int) -> Column:
     return F.when(s != "", s.cast("int"))
 
 
-def format_shape(fmt: str) -> str:
-    """A permissive regex for text a Spark datetime pattern could parse.
+#: English month names; a format's MMM reads the first three letters, MMMM the name.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: What stands for a T between digits in a shape (no other character becomes it).
+_T_MARK = "\x01"
 
-    Numeric fields become digit runs (fixed widths where the pattern fixes them:
-    yyyy four or more, yy/MM/dd two), month names [A-Za-z]+, quoted and other
-    characters stay literal. It only has to be a superset of what the parser
-    accepts: it lets values of the wrong shape skip the parser, whose failures
-    cost an exception each.
-    """
-    import re
-
-    out, i = [], 0
-    while i < len(fmt):
-        ch = fmt[i]
-        if ch == "'":
-            j = fmt.index("'", i + 1)
-            out.append(re.escape(fmt[i + 1:j]))
-            i = j + 1
-            continue
-        j = i
-        while j < len(fmt) and fmt[j] == ch:
-            j += 1
-        run = fmt[i:j]
-        if ch == "M" and len(run) >= 3:
-            out.append("[A-Za-z]+")
-        elif ch == "y":
-            out.append(r"\d{4,}" if len(run) >= 4 else r"\d{2}" if len(run) == 2 else r"\d+")
-        elif ch in "MdHhms":
-            out.append(r"\d{2}" if len(run) == 2 else r"\d+")
-        else:
-            out.append(re.escape(run))
-        i = j
-    return "^" + "".join(out) + "$"
+
+def _fields(fmt: str) -> list[str]:
+    """A Spark datetime pattern as fields (``yyyy``, ``d``, ``MMM`` ...) and the characters between them."""
+    quoted = fmt.replace("'T'", _T_MARK)
+    return re.findall(r"yyyyMMdd|y+|M+|d+|H+|m+|s+|.", quoted)
 
 
-#: A date, and the numbers of a time of day behind it.
-_DATE_AND_TIME = r"^(.*)[ T](\d+):(\d+)(?::(\d+))?$"
+def format_shapes(fmt: str) -> set[str]:
+    """The shapes (``value_shape``) of all text that a format reads: 9 for a digit, A for a name."""
+    widths = {"yyyy": ["9999"], "yy": ["99"], "MMM": ["A"], "MMMM": ["A"], "yyyyMMdd": ["99999999"]}
+    out = {""}
+    for f in _fields(fmt):
+        ways = widths.get(f) or (["9", "99"] if f in ("d", "M", "H", "m", "s") else ["99"] if f in ("dd", "MM", "HH", "mm", "ss") else [f])
+        out = {a + w for a in out for w in ways}
+    return out
 
 
-def _day(c: Column, shape: Column, fmt: str, pivot: int) -> Column:
-    """DATE of text whose ``shape`` matches; two-digit years follow strptime (%y)."""
-    day = F.when(shape, F.try_to_date(c, fmt))
-    if "yy" in fmt and "yyyy" not in fmt:
-        # Spark maps yy to 2000-2099; strptime maps 69-99 to 1969-1999
-        day = F.when(F.year(day) >= 2000 + pivot, F.add_months(day, -1200)).otherwise(day)
-    return day
+def format_shape(fmt: str) -> str:
+    """A regular expression for the text that a format reads."""
+    to = {"9": r"\d", "A": "[A-Za-z]+", _T_MARK: "T"}
+    return "^(?:" + "|".join("".join(to.get(ch) or re.escape(ch) for ch in shape) for shape in sorted(format_shapes(fmt))) + ")$"
+
+
+def value_shape(c: Column) -> Column:
+    """Text with every digit as 9 and every run of letters as A; a T between digits keeps a mark of its own."""
+    marked = F.regexp_replace(c, "(?<=[0-9])T(?=[0-9])", _T_MARK)
+    return F.regexp_replace(F.translate(marked, "012345678", "999999999"), "[A-Za-z]+", "A")
+
+
+def _reading(fmt: str) -> tuple[str, ...]:
+    """Which field of a date or time each of the text's numbers and names is."""
+    names = {"yyyy": "y", "yy": "y2", "d": "d", "dd": "d", "M": "m", "MM": "m", "MMM": "b", "MMMM": "B", "H": "H", "HH": "H", "m": "min", "mm": "min", "s": "s", "ss": "s", "yyyyMMdd": "ymd"}
+    return tuple(names[f] for f in _fields(fmt) if f in names)
+
+
+def _timestamp(s: Column, reading: tuple[str, ...], pivot: int) -> Column:
+    """The naive timestamp that text of a known shape has under a reading, or null."""
+    token = F.split(s, "[^0-9A-Za-z]+|(?<=[0-9])T(?=[0-9])")
+    part = {f: F.get(token, F.lit(i)) for i, f in enumerate(reading)}
+    if "ymd" in part:
+        year, month, day = (F.substring(s, *at) for at in ((1, 4), (5, 2), (7, 2)))
+    else:
+        day = part["d"]
+        if "y2" in part:
+            short = part["y2"].cast("int")
+            year = (F.when(short >= pivot, short + 1900).otherwise(short + 2000)).cast("string")
+        else:
+            year = part["y"]
+        if "m" in part:
+            month = part["m"]
+        else:
+            known = [m[:3] for m in MONTHS] if "b" in part else list(MONTHS)
+            month = F.array_position(F.array(*map(F.lit, known)), F.lower(part.get("b", part.get("B")))).cast("string")
+    date = F.concat_ws("-", year, month, day).try_cast("date").cast("timestamp_ntz")
+    if "H" not in part:
+        return date
+    hour, minute = part["H"].cast("int"), part["min"].cast("int")
+    second = part["s"].cast("int") if "s" in part else F.lit(0)
+    time = F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))
+    return F.when((hour < 24) & (minute < 60) & (second < 60), date + time)
+
+
+def shape_readings(formats) -> dict[str, list[tuple[str, ...]]]:
+    """For every shape that some format reads, the different readings in the order of the formats."""
+    out: dict[str, list[tuple[str, ...]]] = {}
+    for fmt in formats:
+        for shape in format_shapes(fmt):
+            seen = out.setdefault(shape, [])
+            if _reading(fmt) not in seen:
+                seen.append(_reading(fmt))
+    return out
 
 
 def parse_dates(c: Column, formats, pivot: int = 69) -> Column:
     """First format that parses wins, per value; a naive timestamp whatever the session's time zone.
 
-    Dates are parsed as DATE, a time of day by its numbers: no instant is ever
-    formed. Values whose shape cannot match a format skip its parser. Formats
-    with and without a time of day never match the same text.
+    A value's shape says which formats can read it at all, and formats that would read it alike are one
+    reading: a value is parsed as often as its shape has readings, that is once or (where day and month
+    can change places, or a name be short or long) twice, however many formats there are. Two-digit
+    years follow strptime (%y). No instant is formed: dates are DATEs, times of day are added by their numbers.
     """
     s = strip_ws(c.cast("string"))
-    dates = [f for f in formats if "H" not in f]
-    timed = [f for f in formats if "H" in f]
-    out = []
-    if dates:
-        out.append(F.coalesce(*[_day(s, s.rlike(format_shape(f)), f, pivot) for f in dates]).cast("timestamp_ntz"))
-    if timed:
-        text, hour, minute, second = (F.regexp_extract(s, _DATE_AND_TIME, i) for i in (1, 2, 3, 4))
-        hour, minute, second = hour.try_cast("int"), minute.try_cast("int"), F.coalesce(second.try_cast("int"), F.lit(0))
-        days = [_day(text, s.rlike(format_shape(f)), f.split("'T'")[0] if "'T'" in f else f.rpartition(" ")[0], pivot) for f in timed]
-        time = F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))
-        right = s.contains(":") & (hour < 24) & (minute < 60) & (second < 60)
-        out.append(F.when(right, F.coalesce(*days).cast("timestamp_ntz") + time))
-    return F.coalesce(*out) if len(out) > 1 else out[0]
+    readings = shape_readings(formats)
+
+    def turn(i: int) -> Column | None:
+        """The ``i``-th reading of the value's shape."""
+        by_reading: dict[tuple, list[str]] = {}
+        for shape, ways in readings.items():
+            if len(ways) > i:
+                by_reading.setdefault(ways[i], []).append(shape)
+        out = None
+        for reading, shapes in by_reading.items():
+            cond, value = shape_col.isin(sorted(shapes)), _timestamp(text, reading, pivot)
+            out = F.when(cond, value) if out is None else out.when(cond, value)
+        return out
+
+    # text and shape are built once a value and named by a one-element transform
+    def parsed(x: Column) -> Column:
+        nonlocal text, shape_col
+        text, shape_col = x.getField("s"), x.getField("shape")
+        return F.coalesce(*[turn(i) for i in range(max(map(len, readings.values())))])
+
+    text = shape_col = None
+    return F.get(F.transform(F.array(F.struct(s.alias("s"), value_shape(s).alias("shape"))), parsed), F.lit(0))
 
 
 def pct(k: Column, n: Column, decimals: int = 1) -> Column:

@@ -5,23 +5,25 @@ Statistics always use the full table; only plotted points are sampled.
 
 from __future__ import annotations
 
+import decimal
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
 from ..functions.scalar import exact_mean_sql, nan_as_null, pct, rnd
+from ..session import materialize
 from ..sources.preview import seeded_sample
 from . import freq as freqmod
 from .kinds import categorical_cols, datetime_cols, numeric_cols, q
 from .profile import agg_row, column_stats
 from .quantiles import exact_quantiles
-from .rowindex import with_row_index
+from .rowindex import BUCKET, at_bucket, before_each, bucketed, with_row_index, with_tie
 
 PLOT_SAMPLE_ROWS = 50_000
-# pair sums that still fit one wide aggregate; beyond, correlations use the exploded form
-_PAIR_FIELDS_ONE_SCAN = 90
 
 
 def _c(name):
@@ -174,86 +176,72 @@ def outlier_points(df: DataFrame, key: list[str], cols: list[str] | None = None,
 # V6-V9, E3 correlations and the line fit
 # ---------------------------------------------------------------------------
 
+#: Columns of one block of the product matrices.
+_PRODUCT_BLOCK = 256
+_PAIR_SUMS = "i int, j int, n bigint, sx double, sy double, xx double, yy double, xy double"
+
+
+def _pair_sums(df: DataFrame, cols: list[str], centres: list[float]) -> DataFrame:
+    """(i, j, n, sx, sy, xx, yy, xy) of every pair i < j over the rows that have both, centred.
+
+    One scan for any number of columns: a task multiplies its rows' matrix and null mask with themselves
+    in blocks of columns, adds the products up over its batches and puts out one row a pair; tasks add up
+    by a sum. Every pair has the same formula, with nulls or without."""
+    k, block, centre = len(cols), _PRODUCT_BLOCK, list(centres)
+
+    def run(batches):
+        starts = list(range(0, k, block))
+        sums = {}
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.empty((0, k))
+            there = ~np.isnan(x)
+            d = np.where(there, x - np.array(centre), 0.0)
+            there, squares = there.astype(np.float64), d * d
+            for a in starts:
+                for b in starts:
+                    if b < a:
+                        continue
+                    m, p = slice(a, a + block), slice(b, b + block)
+                    new = [there[:, m].T @ there[:, p], d[:, m].T @ there[:, p], there[:, m].T @ d[:, p],
+                           squares[:, m].T @ there[:, p], there[:, m].T @ squares[:, p], d[:, m].T @ d[:, p]]
+                    old = sums.get((a, b))
+                    sums[(a, b)] = new if old is None else [u + v for u, v in zip(old, new)]
+        for (a, b), found in sums.items():
+            i, j = np.nonzero(np.ones(found[0].shape, bool) if a != b else np.triu(np.ones(found[0].shape, bool), 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((i + a).astype(np.int32)), pa.array((j + b).astype(np.int32)), pa.array(found[0][i, j].astype(np.int64)),
+                 *[pa.array(f[i, j]) for f in found[1:]]], names=["i", "j", "n", "sx", "sy", "xx", "yy", "xy"])
+
+    numbers = df.select(*[_c(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = numbers.mapInArrow(run, _PAIR_SUMS)
+    return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "xx", "yy", "xy")])
+
+
 @nan_as_null
-def correlations(df: DataFrame, cols: list[str] | None = None) -> dict:
+def correlations(df: DataFrame, cols: list[str] | None = None, stats: dict | None = None) -> dict:
     """Pairwise-complete Pearson r for every pair i<j, plus each column's std.
 
-    Centred sums only (the first pass of column_stats gives the shifts), so every
-    aggregate is a plain sum inside whole-stage codegen. Pairs of columns without
-    nulls need one product sum each; pairs with nulls carry their own masked sums.
-    """
+    Sums are centred by the columns' means (``stats``: those of an audit of the same frame). A column that is
+    constant on the rows both have gives no r."""
     cols = numeric_cols(df) if cols is None else cols
-    st = column_stats(df, cols, higher=False)
-    n_rows = st["_rows"]
-    d = {c: _c(c).cast("double") - F.lit(st[c]["mean"] if st[c]["mean"] is not None else 0.0) for c in cols}
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    masked = {(i, j): True for i, j in pairs if st[cols[i]]["nulls"] or st[cols[j]]["nulls"]}
-    n_fields = sum(6 if p in masked else 1 for p in pairs)
-    if n_fields <= _PAIR_FIELDS_ONE_SCAN:
-        # few pairs: one wide aggregate of plain sums (inside whole-stage codegen)
-        exprs, fields = [], []
-        for i, j in pairs:
-            a, b = cols[i], cols[j]
-            if (i, j) not in masked:
-                exprs.append(F.sum(d[a] * d[b]).alias(f"xy{i}_{j}"))
-                fields.append(1)
-            else:
-                both = _c(a).isNotNull() & _c(b).isNotNull()
-                x, y = F.when(both, d[a]), F.when(both, d[b])
-                exprs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(x).alias(f"sx{i}_{j}"), F.sum(y).alias(f"sy{i}_{j}"),
-                          F.sum(x * x).alias(f"xx{i}_{j}"), F.sum(y * y).alias(f"yy{i}_{j}"),
-                          F.sum(x * y).alias(f"xy{i}_{j}")]
-                fields += [1] * 6
-        row = agg_row(df, exprs, fields) if exprs else {}
-    else:
-        # many columns: one scan emitting one row per pair, then groupBy(pair) with
-        # map-side combine - the k(k-1)/2 sums never need repeated scans
-        items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), d[cols[i]].alias("x"), d[cols[j]].alias("y"))
-                 for i, j in pairs]
-        long = df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        agg = long.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-                                         F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"),
-                                         F.sum(F.col("x") * F.col("y")).alias("xy"))
-        row = {}
-        for r in agg.collect():   # one row per pair
-            i, j = r["i"], r["j"]
-            masked[(i, j)] = True
-            row.update({f"n{i}_{j}": r["n"], f"sx{i}_{j}": r["sx"], f"sy{i}_{j}": r["sy"],
-                        f"xx{i}_{j}": r["xx"], f"yy{i}_{j}": r["yy"], f"xy{i}_{j}": r["xy"]})
-        for p in pairs:
-            masked[p] = True
-            for k in ("n", "sx", "sy", "xx", "yy", "xy"):
-                row.setdefault(f"{k}{p[0]}_{p[1]}", 0 if k == "n" else None)
-    var_n = {c: (st[c]["varp"] * st[c]["n"]) if st[c]["varp"] is not None else None for c in cols}
-    res = {}
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            a, b = cols[i], cols[j]
-            if (i, j) in masked:
-                n = row[f"n{i}_{j}"]
-                if not n:
-                    res[(i, j)] = None
-                    continue
-                sx, sy = row[f"sx{i}_{j}"], row[f"sy{i}_{j}"]
-                sxx = row[f"xx{i}_{j}"] - sx * sx / n
-                syy = row[f"yy{i}_{j}"] - sy * sy / n
-                sxy = row[f"xy{i}_{j}"] - sx * sy / n
-                # a column that is constant on the rows both have: what is left is rounding
-                if sxx <= 1e-12 * row[f"xx{i}_{j}"] or syy <= 1e-12 * row[f"yy{i}_{j}"]:
-                    res[(i, j)] = None
-                    continue
-            else:
-                sxx, syy = var_n[a], var_n[b]
-                c1a = st[a]["sum"] - st[a]["mean"] * st[a]["n"] if st[a]["n"] else 0.0
-                c1b = st[b]["sum"] - st[b]["mean"] * st[b]["n"] if st[b]["n"] else 0.0
-                sxy = row[f"xy{i}_{j}"] - c1a * c1b / n_rows if n_rows else None
-            const = st[a]["min"] == st[a]["max"] or st[b]["min"] == st[b]["max"]
-            if const or sxx is None or syy is None or sxx <= 0 or syy <= 0 or sxy is None:
-                res[(i, j)] = None
-            else:
-                res[(i, j)] = max(-1.0, min(1.0, sxy / (sxx * syy) ** 0.5))
-    return {"cols": cols, "std": {c: st[c]["std"] for c in cols}, "const": {c: st[c]["min"] == st[c]["max"] for c in cols},
-            "r": res}
+    st = stats if stats is not None and all(c in stats for c in cols) else column_stats(df, cols, higher=False)
+    res = {(i, j): None for i in range(len(cols)) for j in range(i + 1, len(cols))}
+    if res:
+        centres = [float(st[c]["mean"]) if st[c]["mean"] is not None else 0.0 for c in cols]
+        for r in _pair_sums(df, cols, centres).toLocalIterator():   # one row per pair
+            if not r["n"]:
+                continue
+            sxx = r["xx"] - r["sx"] * r["sx"] / r["n"]
+            syy = r["yy"] - r["sy"] * r["sy"] / r["n"]
+            sxy = r["xy"] - r["sx"] * r["sy"] / r["n"]
+            a, b = cols[r["i"]], cols[r["j"]]
+            if st[a]["min"] == st[a]["max"] or st[b]["min"] == st[b]["max"]:
+                continue
+            # constant on the rows both have: what is left is rounding
+            if sxx <= 1e-12 * r["xx"] or syy <= 1e-12 * r["yy"]:
+                continue
+            res[(r["i"], r["j"])] = max(-1.0, min(1.0, sxy / (sxx * syy) ** 0.5))
+    return {"cols": cols, "std": {c: st[c]["std"] for c in cols}, "const": {c: st[c]["min"] == st[c]["max"] for c in cols}, "r": res}
 
 
 @nan_as_null
@@ -289,9 +277,10 @@ def strongest_pair(df: DataFrame, cols: list[str] | None = None, decimals: int |
 
 
 @nan_as_null
-def top_correlations(df: DataFrame, cols: list[str] | None = None, k: int = 5, decimals: int | None = 3) -> DataFrame:
+def top_correlations(df: DataFrame, cols: list[str] | None = None, k: int = 5, decimals: int | None = 3,
+                     stats: dict | None = None) -> DataFrame:
     """The k strongest distinct pairs, signed r."""
-    pairs = [(i + 1, a, b, r) for i, (a, b, r) in enumerate(ranked_pairs(correlations(df, cols))[:k])]
+    pairs = [(i + 1, a, b, r) for i, (a, b, r) in enumerate(ranked_pairs(correlations(df, cols, stats))[:k])]
     t = df.sparkSession.createDataFrame(pairs, "rank bigint, col_a string, col_b string, r double")
     return t.select("rank", "col_a", "col_b", rnd(F.col("r"), decimals).alias("r"))
 
@@ -367,7 +356,7 @@ def category_frequency(df: DataFrame, cols: list[str] | None = None, first: int
     """Top-k values of the text columns (``first``: of so many only); % of all rows (nulls in the denominator)."""
     cols = categorical_cols(df, first) if cols is None else cols
     n = df.count()
-    top = freqmod.top_k(freqmod.frequency_table(df, cols), k)
+    top = freqmod.exact_top_k(df, cols, k)
     return top.select("column", "rank", "value", F.col("n").alias("count"),
                       pct(F.col("n"), F.lit(n), decimals).alias("pct"))
 
@@ -384,7 +373,7 @@ def dominant_share(df: DataFrame, cols: list[str] | None = None, first: int | No
 def top_categories(df: DataFrame, cols: list[str] | None = None, first: int | None = None, k: int = 5) -> DataFrame:
     """The k most frequent values of the text columns (``first``: of so many only)."""
     cols = categorical_cols(df, first) if cols is None else cols
-    return freqmod.top_k(freqmod.frequency_table(df, cols), k).select("column", "rank", "value", F.col("n").alias("count"))
+    return freqmod.exact_top_k(df, cols, k).select("column", "rank", "value", F.col("n").alias("count"))
 
 
 # ---------------------------------------------------------------------------
@@ -406,40 +395,79 @@ def ts_downsample(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None
     return idx.where(F.col("idx") % k == 0).select("idx", _c(ts).alias("ts"), _c(value).cast("double").alias("value"))
 
 
+def _decimal_scale(largest: float, n: int) -> tuple[int, int]:
+    """(power of ten to divide values by, decimals to keep) so that no sum of ``n`` values of at most
+    ``largest`` passes 31 digits; 21 of them at most stand before the point."""
+    digits = math.ceil(math.log10(largest) + math.log10(n)) + 1 if largest > 0 else 1
+    shift = max(0, digits - 21)
+    return shift, min(30, 31 - (digits - shift))
+
+
+def _rolling(df: DataFrame, order: list[str], ts: str, value: str, every: int, size: int, n: int, decimals: int | None,
+             rows_per_bucket: int | None = None) -> DataFrame:
+    """(idx, ts, value, rolling_mean) of every ``every``-th row: the mean of the ``size`` rows up to it.
+
+    Prefix sums: rows are dealt to ranges of the key, sums up to a row are taken within its range and
+    those of the ranges before it are added. A trailing sum is the difference of two prefix sums, so
+    only plotted rows and those ``size`` before them leave the ranges, whatever the window's size.
+    Sums are exact decimals, with as many places as the column's magnitude leaves."""
+    rows = df.select(*[_c(c) for c in order], _c(ts).alias("__ts"), _c(value).cast("double").alias("__v"))
+    shift, scale = _decimal_scale(df.agg(F.max(F.abs(_c(value).cast("double")))).first()[0] or 0.0, n)
+    total, keys = with_tie(rows, order)
+    tagged, counts = bucketed(total, keys, n, rows_per_bucket)
+    kind = f"decimal(38,{scale})"
+    exact = tagged.withColumn("__d", (F.col("__v") / F.lit(10.0 ** shift) if shift else F.col("__v")).cast(kind))
+    sums = {r[BUCKET]: r["s"] for r in exact.groupBy(BUCKET).agg(F.sum("__d").alias("s")).collect()}
+    sums = before_each([sums.get(b) or decimal.Decimal(0) for b in range(len(counts))], decimal.Decimal(0))
+    w = Window.partitionBy(BUCKET).orderBy(*[_c(k) for k in keys])
+    idx = F.row_number().over(w) - 1 + at_bucket(before_each(counts), "bigint")
+    upto = F.sum("__d").over(w.rowsBetween(Window.unboundedPreceding, 0)) + at_bucket(sums, kind)
+    marked = exact.select(idx.cast("bigint").alias("idx"), "__ts", "__v", upto.cast(kind).alias("__c"))
+    # at most two rows a plotted point
+    marked = materialize(marked.where((F.col("idx") % every == 0) | ((F.col("idx") + size) % every == 0)), "prefix-sums")
+    points = marked.where(F.col("idx") % every == 0)
+    before = marked.where((F.col("idx") + size) % every == 0).select((F.col("idx") + size).alias("idx"), F.col("__c").alias("__before"))
+    both = points.join(before, "idx", "left").select(
+        "idx", "__ts", "__v", (F.col("__c") - F.coalesce("__before", F.lit(0).cast(kind))).cast(kind).alias("__s"),
+        F.least(F.col("idx") + 1, F.lit(size)).alias("__n"))
+    if decimals is not None and not shift:
+        mean = F.expr(exact_mean_sql("__s", "__n", decimals, scale))
+    else:
+        mean = rnd(F.col("__s").cast("double") / F.col("__n") * F.lit(10.0 ** shift), decimals)
+    return both.select("idx", F.col("__ts").alias("ts"), rnd(F.col("__v"), decimals).alias("value"), mean.alias("rolling_mean"))
+
+
+@nan_as_null
+def rolling_mean(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None = None, window: int | None = None,
+                 max_points: int = PLOT_SAMPLE_ROWS, decimals: int | None = 6,
+                 rows_per_bucket: int | None = None) -> DataFrame:
+    """V14 over every row: (idx, ts, value, rolling_mean) in time order.
+
+    The mean is that of the ``window`` rows up to each (default max(5, n // 20), from 20 rows on), none
+    left out; only the plotted points are thinned (every k-th, k = n // max_points + 1 above max_points).
+    Rows of one time are ordered by ``tiebreak``, then by a hash of the row."""
+    order = [ts] + [c for c in (tiebreak or []) if c != ts]
+    sub = df.where(_c(ts).isNotNull() & _c(value).isNotNull())
+    n = sub.count()
+    if n < 5:
+        return df.sparkSession.createDataFrame([], df.select(F.lit(0).cast("bigint").alias("idx"), _c(ts).alias("ts"), F.lit(0.0).alias("value"), F.lit(0.0).alias("rolling_mean")).schema)
+    every = n // max_points + 1 if n > max_points else 1
+    out = _rolling(sub, order, ts, value, every, window or max(5, n // 20), n, decimals, rows_per_bucket)
+    return out if n >= 20 or window else out.withColumn("rolling_mean", F.lit(None).cast("double"))
+
+
 @nan_as_null
 def ts_rolling_mean(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None = None,
                     max_points: int = PLOT_SAMPLE_ROWS, decimals: int | None = 6) -> DataFrame:
-    """Trailing mean over max(5, m // 20) rows of the downsampled series (m >= 20),
-    plus the raw series (m >= 5). The series holds at most 50,000 rows by
-    construction, so its one window partition is bounded."""
+    """V14, thinned first (the surveyed tool's form): trailing mean over max(5, m // 20) of the m points
+    that ``ts_downsample`` keeps (m >= 20), plus these points (m >= 5). ``rolling_mean`` averages every row."""
     down = ts_downsample(df, ts, value, tiebreak, max_points)
-    m = down.count()
     spark = df.sparkSession
+    m = down.count()
     if m < 5:
         return spark.createDataFrame([], "pos bigint, ts timestamp_ntz, value double, rolling_mean double")
-    w_order = Window.orderBy("idx")
-    pos = down.withColumn("pos", (F.row_number().over(w_order) - 1).cast("bigint"))
-    if m < 20:
-        return pos.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"),
-                          F.lit(None).cast("double").alias("rolling_mean"))
-    wsize = max(5, m // 20)
-    order = Window.orderBy("pos")
-    total = pos.agg(F.sum(F.abs("value")).alias("t")).first()["t"] or 0.0
-    if total >= 1e26:
-        # beyond DECIMAL(38,10): plain double means over the (bounded) frame
-        roll = F.avg("value").over(order.rowsBetween(-(wsize - 1), 0))
-        return pos.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"), rnd(roll, decimals).alias("rolling_mean"))
-    # trailing sums as differences of exact DECIMAL prefix sums: O(n) instead of
-    # re-aggregating every w-row frame, and exact, because means of a few
-    # decimal values often sit exactly on a rounding tie
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    cum = pos.select("pos", "ts", "value", F.sum(F.col("value").cast("decimal(38,10)")).over(running).alias("__c"))
-    prev = F.coalesce(F.lag("__c", wsize).over(order), F.lit(0).cast("decimal(38,10)"))
-    rolled = cum.select("pos", "ts", "value", (F.col("__c") - prev).cast("decimal(38,10)").alias("__s"),
-                        F.least(F.col("pos") + 1, F.lit(wsize)).alias("__n"))
-    mean = (F.expr(exact_mean_sql("__s", "__n", decimals)) if decimals is not None
-            else F.col("__s").cast("double") / F.col("__n"))
-    return rolled.select("pos", "ts", rnd(F.col("value"), decimals).alias("value"), mean.alias("rolling_mean"))
+    out = _rolling(down, ["idx"], "ts", "value", 1, max(5, m // 20), m, decimals)
+    return out.select(F.col("idx").alias("pos"), "ts", "value", F.when(F.lit(m >= 20), F.col("rolling_mean")).alias("rolling_mean"))
 
 
 # ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AUDIT_PROBS, DEFAULT, AuditConfig
@@ -13,7 +13,7 @@ from . import eda
 from .kinds import numeric_cols, q
 from .profile import column_stats, describe_numeric
 from .quantiles import exact_quantiles
-from .rowindex import with_row_index
+from .rowindex import BUCKET, at_bucket, bucketed, with_tie
 
 
 @nan_as_null
@@ -38,26 +38,55 @@ def dialogue_context(conv: DataFrame, key: str = "conv_id", turn: str = "turn",
                      rows_per_bucket: int | None = None) -> DataFrame:
     """For every ``current_role`` turn, the ``window`` turns before it in its conversation.
 
-    Positions come from the bucketed global index over (conv, turn); each row is
-    sent to the next ``window`` positions and joined on that position - a join
-    on a unique key, so one huge conversation is spread like any other rows and
-    never lands in a single task.
+    Rows are dealt once to ranges of (conversation, turn), and each range gets the last ``window`` rows
+    before it as well, so a range answers its own rows by lags: every text moves about once, and one
+    huge conversation is spread over ranges like any other rows. Rows with an equal (conversation,
+    turn) are ordered by a hash of the row; null turns come first.
     """
-    idx = (with_row_index(conv, [key, turn], "__g") if rows_per_bucket is None
-           else with_row_index(conv, [key, turn], "__g", rows_per_bucket=rows_per_bucket))
-    src = idx.select(F.col(key).alias("__k"), F.col(turn).alias("ctx_turn"), F.col(role).alias("ctx_role"),
-                     F.col(text).alias("ctx_text"), "__g",
-                     F.explode(F.sequence(F.lit(1), F.lit(window))).alias("ctx_offset"))
-    src = src.withColumn("__target", F.col("__g") + F.col("ctx_offset"))
-    cur = idx.where(F.col(role) == current_role).select(F.col(key), F.col(turn), F.col("__g").alias("__target"))
-    return (cur.join(src, "__target")
-            .where(F.col(key) == F.col("__k"))
-            .select(F.col(key), F.col(turn), F.col("ctx_offset").cast("bigint").alias("ctx_offset"),
-                    "ctx_turn", "ctx_role", "ctx_text"))
+    rows, keys = with_tie(conv.select(F.col(key), F.col(turn), F.col(role), F.col(text)), [key, turn])
+    tagged, sizes = bucketed(rows, keys, rows_per_bucket=rows_per_bucket)
+    marked = tagged.withColumn("__halo", F.lit(False))
+    if len(sizes) > 1:
+        marked = marked.unionByName(_halo(tagged, keys, sizes, window))
+    w = Window.partitionBy(BUCKET).orderBy(*[F.col(q(k)) for k in keys])
+    said = F.struct(F.col(key).alias("k"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    lags = [F.struct(F.lit(i).cast("bigint").alias("offset"), F.lag(said, i).over(w).alias("said")) for i in range(1, window + 1)]
+    asked = marked.select(F.col(key), F.col(turn), F.col(role), "__halo", F.array(*lags).alias("__ctx")).where(~F.col("__halo") & (F.col(role) == current_role))
+    own = F.filter("__ctx", lambda c: c.getField("said").getField("k") == F.col(key))
+    return (asked.select(F.col(key), F.col(turn), F.explode(own).alias("__c"))
+            .select(F.col(key), F.col(turn), F.col("__c.offset").alias("ctx_offset"), F.col("__c.said.turn").alias("ctx_turn"),
+                    F.col("__c.said.role").alias("ctx_role"), F.col("__c.said.text").alias("ctx_text")))
+
+
+def _halo(tagged: DataFrame, keys: list[str], sizes: list[int], window: int) -> DataFrame:
+    """The last ``window`` rows before each range, tagged with it: of the range before, or of more where those are short.
+
+    A task ships ``window`` rows a range at most."""
+    targets = []
+    for b in range(len(sizes)):
+        left, r, reach = window, b + 1, []
+        while left > 0 and r < len(sizes):
+            reach.append((r, left))
+            left -= sizes[r]
+            r += 1
+        targets.append(reach)
+    most = max(len(t) for t in targets)
+    back = Window.partitionBy(BUCKET).orderBy(*[F.col(q(k)).desc() for k in keys])
+    last = tagged.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= window)
+    parts = []
+    for i in range(most):  # 1, unless ranges hold less than a window
+        to = at_bucket([t[i][0] if i < len(t) else -1 for t in targets], "int")
+        room = at_bucket([t[i][1] if i < len(t) else 0 for t in targets], "int")
+        parts.append(last.where(F.col("__back") <= room).withColumn(BUCKET, to))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("__back").withColumn("__halo", F.lit(True))
 
 
 def report_facts(raw: DataFrame, assessment, plan=None) -> DataFrame:
-    """Shape, duplicates, columns with nulls, IQR outlier columns (or 'none'), steps applied."""
+    """Shape, duplicates, columns with nulls, IQR outlier columns (or 'none'), steps applied
+    (without a fitted ``plan``: steps suggested)."""
     a = assessment
     rows = [
         ("n_rows", str(a.rows)),
@@ -65,7 +94,7 @@ def report_facts(raw: DataFrame, assessment, plan=None) -> DataFrame:
         ("duplicates", str(a.duplicate_count)),
         ("cols_with_nulls", str(len(a.missing))),
         ("outlier_cols", ", ".join(c for c in a.columns if c in a.outliers) or "none"),
-        ("cleaning_steps", str(len(plan.log) if plan is not None else 0)),
+        ("cleaning_steps", str(len(plan.log if plan is not None else a.suggestions))),
     ]
     return raw.sparkSession.createDataFrame(rows, "fact string, value string")
 
@@ -107,6 +136,6 @@ def evidence_pack(df: DataFrame, assessment, plan=None, cfg: AuditConfig = DEFAU
         "skewness": {k: round(float(v), 3) for k, v in a.skewness.items()},
         "numeric": _rows(numeric_evidence(df, cfg=cfg, stats=a.stats, probs=AUDIT_PROBS)),
         "top_categories": _rows(eda.top_categories(df)),
-        "correlations": _rows(eda.top_correlations(df)),
+        "correlations": _rows(eda.top_correlations(df, stats=a.stats)),
     }
     return df.sparkSession.createDataFrame([(json.dumps(doc, default=str),)], "evidence string")

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.rowkey import row_key
 from .kinds import q
 
-TARGET_ROWS_PER_BUCKET = 2_000_000
+#: Rows of a range: about a thousandth of all, within these bounds.
+LEAST_ROWS_PER_BUCKET, TARGET_ROWS_PER_BUCKET = 16_384, 2_000_000
 SAMPLES_PER_BUCKET = 20
 #: Ranges that one sample cuts; more come from cutting these again.
 FIRST_CUTS = 1024
@@ -85,11 +86,13 @@ def with_tie(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def bucketed(df: DataFrame, order_by: list[str], n_rows: int | None = None,
-             rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> tuple[DataFrame, list[int]]:
+             rows_per_bucket: int | None = None, seed: int = 42) -> tuple[DataFrame, list[int]]:
     """``df`` tagged with ``__b`` (the range of its key; a smaller key never has a larger one) and the
     row count of every range. ``order_by`` should be a total key (``with_tie``): only rows that are
     equal in it stay together whatever their number."""
     n = df.count() if n_rows is None else n_rows
+    if rows_per_bucket is None:
+        rows_per_bucket = min(TARGET_ROWS_PER_BUCKET, max(LEAST_ROWS_PER_BUCKET, n // FIRST_CUTS))
     buckets = max(1, math.ceil(n / max(1, rows_per_bucket)))
     if buckets == 1:
         return _tagged(df, order_by, []), [n]
@@ -135,7 +138,7 @@ def at_bucket(values: list, kind: str) -> Column:
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "idx", n_rows: int | None = None,
-                   rows_per_bucket: int = TARGET_ROWS_PER_BUCKET, seed: int = 42) -> DataFrame:
+                   rows_per_bucket: int | None = None, seed: int = 42) -> DataFrame:
     """``df`` plus a 0-based BIGINT ``name`` giving each row's position in ``order_by`` order
     (rows that are the same there: by a hash of the row)."""
     total, keys = with_tie(df, order_by)

@@ -172,7 +172,7 @@ def _in_range(e: Column, dt: T.DataType, lo: float | None, hi: float | None, sen
 
 #: What a fitted operation does to its column.
 _OPERATIONS = {
-    "to_datetime": lambda e, formats, pivot: F.coalesce(parse_dates(e, formats, pivot), parse_dates(e, FALLBACK_FORMATS, pivot)),
+    "to_datetime": lambda e, formats, pivot: parse_dates(e, [*formats, *FALLBACK_FORMATS], pivot),
     "to_numeric": lambda e: text_to_number(e),
     "to_integer": lambda e, dt: F.bround(_as_double(e, dt), 0).cast("bigint"),
     "fill_median": lambda e, dt, value: _filled(e, dt, value),
@@ -231,14 +231,15 @@ class CleaningPlan:
             values than rule R3 allows is no category: the step is logged as skipped."""
             if not items:
                 return
-            top = freqmod.top_k(freqmod.frequency_table(frame, [c for _, _, c in items]),
+            few = freqmod.few_values(frame, [c for _, _, c in items], cfg.category_max_distinct)
+            top = freqmod.top_k(freqmod.frequency_table(frame, [c for c, n in few.items() if n is not None]),
                                 cfg.category_max_distinct + 1, by="value").collect()
             found: dict = {}
             for r in top:
                 found.setdefault(r["column"], []).append((r["rank"], r["value"]))
             for n2, s2, c in items:
                 cats = [v for _, v in sorted(found.get(c, []))]
-                if len(cats) > cfg.category_max_distinct:
+                if few[c] is None:
                     log.append(LogRow(n2, "to_category", s2.col, s2.dim, note=f"skipped: more than {cfg.category_max_distinct} values"))
                     continue
                 categories[s2.col] = cats
@@ -321,8 +322,7 @@ class CleaningPlan:
                     formats[s2.col] = {"convention": conv, "formats": fmts, "fallback": list(FALLBACK_FORMATS)}
                     raw = env[s2.col]
                     pivot = cfg.two_digit_year_pivot
-                    primary = parse_dates(raw, fmts, pivot)
-                    parsed = F.coalesce(primary, parse_dates(raw, FALLBACK_FORMATS, pivot))
+                    parsed = parse_dates(raw, [*fmts, *FALLBACK_FORMATS], pivot)
                     pending[f"new_nulls{n2}"] = (lambda r, p: _flag(r.isNotNull() & p.isNull()), [raw, parsed])
                     dirty = True
                     note = ("day-first order detected" if conv == "dmy" else "month-first order detected"
@@ -437,8 +437,8 @@ class CleaningPlan:
         modes = {}
         if mode_cols:
             proj = base.select(*[env[s.col].alias(f"c{n}") for n, s in mode_cols])
-            for r in freqmod.modes(freqmod.frequency_table(proj, [f"c{n}" for n, _ in mode_cols])).collect():
-                modes[r["column"]] = r["mode"]
+            for r in freqmod.exact_top_k(proj, [f"c{n}" for n, _ in mode_cols], 1).collect():
+                modes[r["column"]] = r["value"]
         for n, s in batch:
             col = s.col
             if s.type == "fill_median":

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from .config import AuditConfig
 from .operators import eda as V
 from .operators import evidence as EV
 from .operators import profile as P
@@ -57,7 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_stats": lambda s, d: P.audit_stats(_t("lineitem")(s, d), decimals=D6),
     "iqr_outliers": lambda s, d: P.iqr_outliers(_t("events")(s, d)),
     # ---- quantiles by narrowing, as for columns of any size ----
-    "describe_small_band": lambda s, d: P.describe_numeric(_t("lineitem")(s, d), decimals=D6, cfg=AuditConfig(exact_quantile_max_band=500)),
+    "describe_small_band": lambda s, d: P.describe_numeric(_t("lineitem")(s, d), decimals=D6),
     # ---- NaN is missing ----
     "nan_describe": lambda s, d: P.describe_numeric(_nan_events(s, d), decimals=D6),
     "nan_null_profile": lambda s, d: P.null_profile(_nan_events(s, d)),
@@ -71,10 +70,10 @@ def _nan_events(spark, sf):
     return _t("events")(spark, sf).withColumn("value", F.when(gone, float("nan")).otherwise(F.col("value").cast("double")))
 
 
-def _audited(spark, sf):
+def _audited(spark, sf, rules=None):
     # the audit and the fit scan this derived table ~15 times: materialise it once
     do = materialize(_do(spark, sf), "dirty-orders")
-    return do, assess(do, ["row_id"])
+    return do, assess(do, ["row_id"], rules=rules)
 
 
 def _suggestions(s, d):
@@ -88,8 +87,8 @@ def _suggestions(s, d):
 def _clean_only(types, cols=None, codes=False):
     """Fit and apply only the suggested steps of the given types (on the raw table)."""
     def run(s, d):
-        do, a = _audited(s, d)
-        out, plan = CleaningPlan([x for x in a.suggestions if types is None or x.type in types]).fit_transform(do)
+        do, a = _audited(s, d, types)
+        out, plan = CleaningPlan(a.suggestions).fit_transform(do)
         if codes:
             out = category_codes(out, plan.categories)
         return out if cols is None else out.select(*cols)
@@ -133,8 +132,7 @@ QUERIES.update({
 
 def _report_facts(s, d):
     do, a = _audited(s, d)
-    plan = CleaningPlan(a.suggestions).fit(do)
-    return EV.report_facts(do, a, plan)
+    return EV.report_facts(do, a)
 
 
 def _evidence_pack(s, d):
