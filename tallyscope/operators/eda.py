@@ -414,7 +414,7 @@ def _rolling(df: DataFrame, order: list[str], ts: str, value: str, every: int, s
     rows = df.select(*[_c(c) for c in order], _c(ts).alias("__ts"), _c(value).cast("double").alias("__v"))
     shift, scale = _decimal_scale(df.agg(F.max(F.abs(_c(value).cast("double")))).first()[0] or 0.0, n)
     total, keys = with_tie(rows, order)
-    tagged, counts = bucketed(total, keys, n, rows_per_bucket)
+    tagged, counts = bucketed(total, keys, n, rows_per_bucket, write=True)
     kind = f"decimal(38,{scale})"
     exact = tagged.withColumn("__d", (F.col("__v") / F.lit(10.0 ** shift) if shift else F.col("__v")).cast(kind))
     sums = {r[BUCKET]: r["s"] for r in exact.groupBy(BUCKET).agg(F.sum("__d").alias("s")).collect()}

@@ -139,3 +139,18 @@ def evidence_pack(df: DataFrame, assessment, plan=None, cfg: AuditConfig = DEFAU
         "correlations": _rows(eda.top_correlations(df, stats=a.stats)),
     }
     return df.sparkSession.createDataFrame([(json.dumps(doc, default=str),)], "evidence string")
+
+
+@nan_as_null
+def evidence_rows(df: DataFrame, assessment, plan=None, cfg: AuditConfig = DEFAULT, decimals: int | None = 3) -> DataFrame:
+    """E5 as rows: (section, key, field, text, value) of what ``evidence_pack`` holds."""
+    a = assessment
+    rows = [("shape", "rows", None, None, float(a.rows)), ("shape", "columns", None, None, float(len(a.columns)))]
+    rows += [("cleaning_steps", f"{r.step:02d}", r.type, r.col, None if r.n_affected is None else float(r.n_affected)) for r in (plan.log if plan is not None else [])]
+    rows += [("outliers", c, None, None, float(n)) for c, n in a.outliers.items()]
+    rows += [("skewness", c, None, None, round(float(g), 3)) for c, g in a.skewness.items()]
+    for d in _rows(numeric_evidence(df, decimals=decimals, cfg=cfg, stats=a.stats, probs=AUDIT_PROBS)):
+        rows += [("numeric", d["column"], k, None, None if v is None else float(v) + 0.0) for k, v in d.items() if k != "column"]
+    rows += [("top_categories", d["column"], str(d["rank"]), d["value"], float(d["count"])) for d in _rows(eda.top_categories(df))]
+    rows += [("correlations", d["col_a"], d["col_b"], str(d["rank"]), d["r"]) for d in _rows(eda.top_correlations(df, stats=a.stats))]
+    return df.sparkSession.createDataFrame(rows, "section string, key string, field string, text string, value double")

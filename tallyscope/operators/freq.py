@@ -101,10 +101,10 @@ def top_k(freq: DataFrame, k: int, by: str = "count") -> DataFrame:
 COUNTERS, LOOKED_INTO = 1 << 15, 8
 
 
-def _pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+def _pairs(df: DataFrame, cols: list[str], places: set[int] | None = None) -> DataFrame:
     """(c, value, sort_num, h) of every non-null value; ``c`` is the column's place in ``cols``, ``h`` a hash of the value."""
     items = [F.struct(F.lit(i).alias("c"), s.getField("value").alias("value"), s.getField("sort_num").alias("sort_num"))
-             for i, s in enumerate(_value_struct(df, c) for c in cols)]
+             for i, s in ((i, _value_struct(df, c)) for i, c in enumerate(cols) if places is None or i in places)]
     long = df.select(F.inline(F.array(*items))).where(F.col("value").isNotNull())
     return long.withColumn("h", F.xxhash64("value"))
 
@@ -121,7 +121,7 @@ def _by_counters(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
     A counter counts all values of one hash class, so it bounds each of them from above; counters add
     up over tasks like any sum. The values of the largest counters are counted exactly by a second
     scan. If the k-th of them beats every counter that was not looked into, no other value can."""
-    counters = materialize(pairs.groupBy("c", F.pmod("h", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")), "counters")
+    counters = pairs.groupBy("c", F.pmod("h", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     look = max(64, LOOKED_INTO * k)
     w = Window.partitionBy("c").orderBy(F.col("n").desc(), "slot")
     top = counters.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= look + 1).collect()  # a few hundred a column
@@ -132,8 +132,9 @@ def _by_counters(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
             slots.setdefault(r["c"], []).append(r["slot"])
         else:
             rest[r["c"]] = r["n"]
+    empty = set(cols) - set(slots)  # columns without a value
     if not slots:
-        return [], set()
+        return [], empty
     chosen = F.lit(False)
     for c, found in slots.items():
         chosen = chosen | ((F.col("c") == c) & F.pmod("h", F.lit(COUNTERS)).cast("int").isin(found))
@@ -143,7 +144,7 @@ def _by_counters(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
         best.setdefault(r["c"], []).append(r)
     # fewer counters than were to be looked into: all values are counted
     settled = {c for c, rows in best.items() if c not in rest or (len(rows) >= k and min(r["n"] for r in rows) > rest[c])}
-    return [(r["c"], r["rank"], r["value"], r["n"]) for c in settled for r in best[c]], settled
+    return [(r["c"], r["rank"], r["value"], r["n"]) for c in settled for r in best[c]], settled | empty
 
 
 def _by_hashes(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
@@ -152,7 +153,7 @@ def _by_hashes(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
     With c the k-th largest count of a hash, values of a larger count are fewer than k. If c is 1 the others are
     unique, and the smallest of them follow; else the values of every hash counted c or more are counted exactly. A
     hash shared by two values can only raise a count, so a result whose k-th count is c or more is proven."""
-    few = pairs.where(F.col("c").isin(cols))
+    few = pairs
     hashes = materialize(few.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n")), "hash-counts")
     w = Window.partitionBy("c").orderBy(F.col("n").desc(), "h")
     top = hashes.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).groupBy("c").agg(F.min("n").alias("least")).collect()
@@ -202,16 +203,13 @@ def exact_top_k(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     cols = list(cols)
     schema = "column string, rank bigint, value string, n bigint"
     spark = df.sparkSession
-    pairs = _pairs(df, cols) if cols else None
     rows: list = []
     left = set(range(len(cols)))
     for settle in (_by_counters, _by_hashes):
         if left:
-            found, settled = settle(pairs.where(F.col("c").isin(sorted(left))), sorted(left), k)
+            found, settled = settle(_pairs(df, cols, left), sorted(left), k)
             rows += found
             left -= settled
-            if settle is _by_counters:  # columns without a value have no counter
-                left &= {r["c"] for r in pairs.where(F.col("c").isin(sorted(left))).select("c").distinct().collect()} if left else set()
     out = spark.createDataFrame([(cols[c], int(r), v, int(n)) for c, r, v, n in rows], schema)
     if left:
         out = out.unionAll(top_k(frequency_table(df, [cols[c] for c in sorted(left)]), k).select("column", "rank", "value", "n"))

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,7 +192,8 @@ def _finish(df: DataFrame, exprs: dict[str, Column], targets, out, cfg: AuditCon
             e = exprs[t.name]
             q = 0.0 if t.m <= 1 else min(1.0, max(0.0, (t.h - t.below) / (t.m - 1)))
             aggs.append(F.percentile(F.when(t.band(e), e), F.lit(q)).alias(f"f{i}"))
-        row = df.agg(*aggs).first()
+        inside = reduce(or_, [t.band(exprs[t.name]) for _, _, t in small])
+        row = df.where(inside).agg(*aggs).first()  # few rows are in any band
         for i, (k, j, _) in enumerate(small):
             out[k][j] = float(row[f"f{i}"])
     large = [x for x in todo if x[2].m > int(cfg.exact_quantile_max_band)]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rowkey import row_key
+from ..session import materialize
 from .kinds import q
 
 #: Rows of a range: about a thousandth of all, within these bounds.
@@ -51,11 +52,9 @@ def _search(key: Column, cuts: Column, n: int) -> Column:
 
 
 def _cut_array(df: DataFrame, keys: list[str], rows: list[tuple]) -> Column:
-    """Cut keys as one literal array of structs (folded by the optimizer)."""
-    def values(i: int, k: str) -> Column:
-        return F.array(*[F.lit(r[i]) for r in rows]).cast(f"array<{df.schema[k].dataType.simpleString()}>")
-
-    return F.arrays_zip(*[values(i, k).alias(f"k{i}") for i, k in enumerate(keys)])
+    """Cut keys as one literal array of structs, which the optimizer folds."""
+    kinds = [df.schema[k].dataType for k in keys]
+    return F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(r, kinds))]) for r in rows])
 
 
 def _tagged(df: DataFrame, keys: list[str], cuts: list[tuple]) -> DataFrame:
@@ -86,10 +85,11 @@ def with_tie(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def bucketed(df: DataFrame, order_by: list[str], n_rows: int | None = None,
-             rows_per_bucket: int | None = None, seed: int = 42) -> tuple[DataFrame, list[int]]:
+             rows_per_bucket: int | None = None, seed: int = 42, write: bool = False) -> tuple[DataFrame, list[int]]:
     """``df`` tagged with ``__b`` (the range of its key; a smaller key never has a larger one) and the
     row count of every range. ``order_by`` should be a total key (``with_tie``): only rows that are
-    equal in it stay together whatever their number."""
+    equal in it stay together whatever their number. ``write``: keep the tagged rows in the shared
+    folder, so that ranges are looked up once (for narrow rows that are scanned again)."""
     n = df.count() if n_rows is None else n_rows
     if rows_per_bucket is None:
         rows_per_bucket = min(TARGET_ROWS_PER_BUCKET, max(LEAST_ROWS_PER_BUCKET, n // FIRST_CUTS))
@@ -97,8 +97,12 @@ def bucketed(df: DataFrame, order_by: list[str], n_rows: int | None = None,
     if buckets == 1:
         return _tagged(df, order_by, []), [n]
     cuts = _sampled_cuts(df, order_by, min(FIRST_CUTS, buckets), n, seed)
-    tagged = _tagged(df, order_by, cuts)
-    sizes = _sizes(tagged, len(cuts) + 1)
+    def tag() -> tuple[DataFrame, list[int]]:
+        tagged = _tagged(df, order_by, cuts)
+        tagged = materialize(tagged, "ranges") if write else tagged
+        return tagged, _sizes(tagged, len(cuts) + 1)
+
+    tagged, sizes = tag()
     for again in range(RECUTS):
         large = [b for b, size in enumerate(sizes) if size > 2 * rows_per_bucket]
         more = []
@@ -110,8 +114,7 @@ def bucketed(df: DataFrame, order_by: list[str], n_rows: int | None = None,
         if not new:  # what is left over the target can't be told apart
             break
         cuts = _sorted_cuts(df, order_by, [*cuts, *new])
-        tagged = _tagged(df, order_by, cuts)
-        sizes = _sizes(tagged, len(cuts) + 1)
+        tagged, sizes = tag()
     return tagged, sizes
 
 
@@ -142,7 +145,7 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "idx", n_rows
     """``df`` plus a 0-based BIGINT ``name`` giving each row's position in ``order_by`` order
     (rows that are the same there: by a hash of the row)."""
     total, keys = with_tie(df, order_by)
-    tagged, counts = bucketed(total, keys, n_rows, rows_per_bucket, seed)
+    tagged, counts = bucketed(total, keys, n_rows, rows_per_bucket, seed, write=True)
     w = Window.partitionBy(BUCKET).orderBy(*[F.col(q(k)) for k in keys])
     place = (F.row_number().over(w) - 1 + at_bucket(before_each(counts), "bigint")).cast("bigint")
     return tagged.withColumn(name, place).drop(BUCKET, TIE)

@@ -6,7 +6,7 @@ per-column blocks so the text stays readable.
 
 from __future__ import annotations
 
-from .sources.tables import dirty_orders_sql
+from .sources.tables import dated_orders_sql, dirty_orders_sql
 
 DO_COLS = [
     "row_id", "order_date_txt", "us_date_txt", "ambiguous_date_txt", "amount_txt", "rate_txt",
@@ -661,5 +661,76 @@ SQL["data_context_rows"] = union([
 SQL["csv_latin1"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 
+# ---------------------------------------------------------------------------
+# rows of any type, every row, every format
+# ---------------------------------------------------------------------------
+
+# equal maps hold the same entries in any order: the entries themselves stand for the map
+_TAGGED = "(SELECT o_orderstatus AS status, o_orderpriority AS pri, CAST(o_orderkey % 5 AS VARCHAR) AS mod FROM orders)"
+SQL["duplicate_count_map"] = ("SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(n - 1) AS BIGINT) AS n_duplicates "
+                              f"FROM (SELECT status, pri, mod, count(*) AS n FROM {_TAGGED} t GROUP BY ALL) g")
+SQL["clean_dedup_map"] = f"SELECT DISTINCT status, pri, mod, CAST(0 AS DOUBLE) AS zero FROM {_TAGGED} t"
+
+SQL["rolling_mean_all"] = f"""WITH d AS (SELECT CAST(row_number() OVER (ORDER BY {LI_ORDER}) - 1 AS BIGINT) AS idx, l_shipdate AS ts, CAST(l_extendedprice AS DOUBLE) AS value
+  FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL),
+p AS (SELECT count(*) AS m, greatest(5, count(*) // 20) AS w, CASE WHEN count(*) > 50000 THEN count(*) // 50000 + 1 ELSE 1 END AS k FROM d)
+SELECT idx, ts, round(value, 6) AS value, CASE WHEN (SELECT m FROM p) >= 20 THEN {exact_mean_duck('s', 'n')} END AS rolling_mean
+FROM (SELECT *, sum(CAST(value AS DECIMAL(38,10))) OVER (ORDER BY idx ROWS BETWEEN (SELECT w FROM p) - 1 PRECEDING AND CURRENT ROW) AS s,
+      count(value) OVER (ORDER BY idx ROWS BETWEEN (SELECT w FROM p) - 1 PRECEDING AND CURRENT ROW) AS n FROM d) x
+WHERE (SELECT m FROM p) >= 5 AND idx % (SELECT k FROM p) = 0"""
+
+
+def _first_parsed(v, formats):
+    """The first format that reads a text; four digits of a year are four digits."""
+    return "coalesce(" + ", ".join(
+        f"(CASE WHEN year(try_strptime({v}, '{f}')) >= 1000 THEN try_strptime({v}, '{f}') END)" for f in formats) + ")"
+
+
+SQL["date_formats"] = (f"SELECT order_key, txt, {_first_parsed('txt', DMY + UNAMB + FALLBACK)} AS day_first, "
+                       f"{_first_parsed('txt', MDY + UNAMB + FALLBACK)} AS month_first, {_first_parsed('txt', UNAMB + FALLBACK)} AS undecided "
+                       f"FROM {dated_orders_sql()} t")
+SQL["constant_flags"] = with_do(union([
+    f"SELECT '{c}' AS \"column\", count({c}) = 0 OR (count({c}) = count(*) AND min({c}) = max({c})) AS is_constant FROM dirty_orders" for c in DO_COLS]))
+SQL["melt_events"] = union([f"SELECT event_id, '{c}' AS {Q}, CAST({c} AS DOUBLE) AS value FROM events WHERE {c} IS NOT NULL" for c in ("user_id", "value")])
+
+_NOTES = {
+    "to_datetime": "CASE fitted_text WHEN 'dmy' THEN 'day-first order detected' WHEN 'mdy' THEN 'month-first order detected' "
+                   "ELSE 'order could not be determined; leftovers parsed day-first' END",
+    "to_numeric": "'''%'' values divided by 100; symbols stripped'", "to_category": "'stored as text; category list recorded'",
+    "drop_duplicates": "'exact duplicate rows removed'", "fill_median": "'nulls filled with the median'", "fill_mode": "'nulls filled with the mode'",
+    "drop_col": "CASE dim WHEN 'Tidiness' THEN 'constant column' ELSE 'mostly null column' END",
+    "fix_range": "'impossible values replaced by the median of valid ones' || CASE col WHEN 'customer_age' THEN '; rounded to whole numbers' ELSE '' END",
+    "to_integer": "'rounded to whole numbers, nulls kept'",
+}
+SQL["log_sink"] = (
+    "SELECT '#' || lpad(CAST(step AS VARCHAR), 2, '0') || ' ' || type || ' ''' || col || '''' || "
+    "coalesce(' -> ' || coalesce(fitted_text, CAST(round(fitted_num, 4) AS VARCHAR)), '') || ' (' || CAST(n_affected AS VARCHAR) || ' affected) ' || "
+    "CASE type " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in _NOTES.items()) + f" END || ' [' || dim || ']' AS line FROM ({SQL['cleaning_log']}) c")
+
+SQL["step_isolation"] = """SELECT * FROM (VALUES
+  (CAST(1 AS BIGINT), 'fill_median', 'o_orderdate', CAST(NULL AS BIGINT), 'skipped: not possible on timestamp_ntz'),
+  (2, 'shout', 'o_orderstatus', NULL, 'skipped: unknown step type ''shout'''),
+  (3, 'range_flag', 'o_totalprice', 0, 'flagged for manual review')) v(step, type, col, n_affected, note),
+  (SELECT CAST(sum(CAST(round_even(o_totalprice, 0) AS BIGINT)) AS BIGINT) AS total_after FROM orders) t
+UNION ALL SELECT 4, 'to_integer', 'o_totalprice', count(o_totalprice), 'rounded to whole numbers, nulls kept',
+  CAST(sum(CAST(round_even(o_totalprice, 0) AS BIGINT)) AS BIGINT) FROM orders"""
+
+_EVIDENCE_FIELDS = {"mean": "avg({c})", "median": "quantile_cont({c}, 0.5)", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}
+_NONE = "CAST(NULL AS VARCHAR)"
+SQL["evidence_rows"] = union([
+    f"SELECT 'shape' AS section, 'rows' AS key, {_NONE} AS field, {_NONE} AS text, CAST(count(*) AS DOUBLE) AS value FROM lineitem",
+    f"SELECT 'shape', 'columns', NULL, NULL, CAST({len(_ALL_LINEITEM)} AS DOUBLE)",
+    "SELECT 'cleaning_steps', '01', 'to_category', 'l_returnflag', CAST(count(DISTINCT l_returnflag) AS DOUBLE) FROM lineitem",
+    "SELECT 'cleaning_steps', '02', 'to_category', 'l_linestatus', CAST(count(DISTINCT l_linestatus) AS DOUBLE) FROM lineitem",
+    "SELECT 'cleaning_steps', '03', 'to_integer', 'l_quantity', CAST(count(l_quantity) AS DOUBLE) FROM lineitem",
+    f"SELECT 'outliers', \"column\", NULL, NULL, CAST(n_out AS DOUBLE) FROM {_iqr_block(LINEITEM_NUMERIC, 'lineitem')} i WHERE n_out > 0",
+    "SELECT 'skewness', c, NULL, NULL, round(g, 3) FROM (" + union([f"SELECT '{c}' AS c, count({c}) AS n, {g1(c)} AS g FROM lineitem" for c in LINEITEM_NUMERIC])
+    + ") s WHERE n >= 10 AND abs(g) > 1",
+    *[f"SELECT 'numeric', '{c}', '{k}', NULL, {r(x.format(c=c))} + 0.0 FROM lineitem" for c in LINEITEM_NUMERIC for k, x in _EVIDENCE_FIELDS.items()],
+    f"SELECT 'top_categories', col, CAST(rank AS VARCHAR), value, CAST(n AS DOUBLE) FROM {_freq(LINEITEM_TEXT, 'lineitem', 5)} f",
+    "SELECT 'correlations', col_a, col_b, CAST(rank AS VARCHAR), r FROM (" + SQL["top_correlations"] + ") t",
+])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -16,12 +16,16 @@ from .operators import eda as V
 from .operators import evidence as EV
 from .operators import profile as P
 from .operators import textsniff as TS
+from .operators.duplicates import drop_duplicates
+from .operators.reshape import melt
+from .config import DAY_FIRST_FORMATS, FALLBACK_FORMATS, MONTH_FIRST_FORMATS, UNAMBIGUOUS_FORMATS
+from .functions.scalar import parse_dates
 from .plans.cleaning import CleaningPlan, before_after, category_codes
-from .plans.rules import assess, suggestions_frame
+from .plans.rules import Suggestion, assess, suggestions_frame
 from .session import materialize, new_scratch_path
 from .sources import csv as CSV
 from .sources.preview import head, seeded_sample
-from .sources.tables import LINEITEM_ORDER, dirty_orders, read_table
+from .sources.tables import LINEITEM_ORDER, dated_orders, dirty_orders, read_table, tagged_orders
 
 D6 = 6
 
@@ -158,6 +162,43 @@ def _csv_latin1(s, d):
 
 EV_KEY = ["event_id"]
 
+
+def _date_formats(s, d):
+    """All texts of ``dated_orders`` under each of the three conventions that a column can have."""
+    def parsed(primary):
+        return parse_dates(F.col("txt"), [*primary, *UNAMBIGUOUS_FORMATS, *FALLBACK_FORMATS])
+    return dated_orders(s, d).select("order_key", "txt", parsed(DAY_FIRST_FORMATS).alias("day_first"),
+                                     parsed(MONTH_FIRST_FORMATS).alias("month_first"), parsed(()).alias("undecided"))
+
+
+def _dedup_map(s, d):
+    rows = drop_duplicates(tagged_orders(s, d))
+    return rows.select("status", F.col("tags")["pri"].alias("pri"), F.col("tags")["mod"].alias("mod"), F.abs(F.col("zeros")[0]).alias("zero"))
+
+
+def _log_sink(s, d):
+    """The cleaning log written as text and read back."""
+    do, a = _audited(s, d)
+    path = new_scratch_path(s, "cleaning-log")
+    CSV.write_log_text(CleaningPlan(a.suggestions).fit(do).log_df(s), path)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+def _step_isolation(s, d):
+    """A step that its column's type rules out, one that no one knows and a flag for review do not keep the others from running."""
+    steps = [Suggestion("fill_median", "o_orderdate", "Completeness"), Suggestion("shout", "o_orderstatus", "Validity"),
+             Suggestion("range_flag", "o_totalprice", "Accuracy"), Suggestion("to_integer", "o_totalprice", "Validity")]
+    out, plan = CleaningPlan(steps).fit_transform(read_table(s, d, "orders"))
+    total = out.agg(F.sum("o_totalprice").alias("total_after")).withColumn("__one", F.lit(1))
+    return plan.log_df(s).withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select(
+        F.col("step").cast("bigint").alias("step"), "type", "col", "n_affected", "note", "total_after")
+
+
+def _evidence_rows(s, d):
+    li = read_table(s, d, "lineitem")
+    a = assess(li)
+    return EV.evidence_rows(li, a, CleaningPlan(a.suggestions).fit(li), decimals=D6)
+
 QUERIES.update({
     # ---- EDA ----
     "histogram": lambda s, d: V.histogram(_t("events")(s, d)),
@@ -189,6 +230,16 @@ QUERIES.update({
     # ---- CSV source and sinks ----
     "csv_roundtrip": _csv_roundtrip,
     "csv_latin1": _csv_latin1,
+    # ---- rows of any type, every row, every format ----
+    "duplicate_count_map": lambda s, d: P.duplicate_count(tagged_orders(s, d)),
+    "clean_dedup_map": _dedup_map,
+    "rolling_mean_all": lambda s, d: V.rolling_mean(_t("lineitem")(s, d), "l_shipdate", "l_extendedprice", LINEITEM_ORDER),
+    "date_formats": _date_formats,
+    "constant_flags": lambda s, d: P.constant_flags(_do(s, d)),
+    "melt_events": lambda s, d: melt(_t("events")(s, d), ["event_id"], ["user_id", "value"]),
+    "log_sink": _log_sink,
+    "step_isolation": _step_isolation,
+    "evidence_rows": _evidence_rows,
 })
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DAY_FIRST_FORMATS, FALLBACK_FORMATS, MONTH_FIRST_FORMATS, UNAMBIGUOUS_FORMATS
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -81,3 +85,63 @@ def dirty_orders_sql(orders: str = "orders") -> str:
   'web' AS const_src
 FROM {orders}"""
     return f"(SELECT * FROM ({base}) b UNION ALL SELECT * FROM ({base}) b2 WHERE row_id % 50 = 0)"
+
+
+# ---------------------------------------------------------------------------
+# orders with a MAP column, and orders with their date in every text format
+# ---------------------------------------------------------------------------
+
+def tagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few different rows of status, a MAP whose entries come in either order, and zeros of either sign."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pri, mod = (F.lit("pri"), F.col("o_orderpriority")), (F.lit("mod"), (k % 5).cast("string"))
+    tags = F.when(k % 2 == 0, F.create_map(*pri, *mod)).otherwise(F.create_map(*mod, *pri))
+    zero = F.when(k % 3 == 0, F.lit(-0.0)).otherwise(F.lit(0.0))
+    return o.select(F.col("o_orderstatus").alias("status"), tags.alias("tags"), F.array(zero).alias("zeros"))
+
+
+#: Every date format of the cleaner, those of the fallback last.
+ALL_FORMATS = (*DAY_FIRST_FORMATS, *MONTH_FIRST_FORMATS, *UNAMBIGUOUS_FORMATS, *FALLBACK_FORMATS)
+
+
+def _padded(fmt: str) -> str:
+    """A format with two digits for each day, month, hour, minute and second."""
+    return re.sub(r"(?<![dMHms])([dMHms])(?![dMHms])", r"\1\1", fmt)
+
+
+def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_key`` and ``txt``: a time of the order's day in the format that its key picks, every
+    other time round with two digits in each field."""
+    o = read_table(spark, sf_dir, "orders")
+    k, n = F.col("o_orderkey"), len(ALL_FORMATS)
+    when = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k * 37 % 86400).cast("decimal(18,6)"))
+    txt = None
+    for i, fmt in enumerate(ALL_FORMATS):
+        cond = k % n == i
+        text = F.when(F.expr(f"o_orderkey div {n} % 2 = 0"), F.date_format(when, fmt)).otherwise(F.date_format(when, _padded(fmt)))
+        txt = F.when(cond, text) if txt is None else txt.when(cond, text)
+    return o.select(k.alias("order_key"), txt.alias("txt"))
+
+
+def duck_format(fmt: str, padded: bool) -> str:
+    """A format as DuckDB's strftime writes it."""
+    names = {"yyyy": "%Y", "yy": "%y", "MMM": "%b", "MMMM": "%B", "d": "d", "M": "m", "H": "H", "m": "M", "s": "S"}
+    out = []
+    for f in re.findall(r"y+|M+|d+|H+|m+|s+|.", fmt.replace("'T'", "T")):
+        if f == "dd" or f == "MM":
+            out.append({"dd": "%d", "MM": "%m"}[f])
+        elif f in names:
+            out.append(names[f] if names[f][0] == "%" else ("%" if padded else "%-") + names[f])
+        else:
+            out.append(f)
+    return "".join(out)
+
+
+def dated_orders_sql(orders: str = "orders") -> str:
+    """The same derivation for the DuckDB oracle."""
+    n = len(ALL_FORMATS)
+    when = "CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 37 % 86400)"
+    arms = "\n".join(f"WHEN {i} THEN CASE WHEN o_orderkey // {n} % 2 = 0 THEN strftime({when}, '{duck_format(f, False)}') ELSE strftime({when}, '{duck_format(f, True)}') END"
+                     for i, f in enumerate(ALL_FORMATS))
+    return f"(SELECT o_orderkey AS order_key, CASE o_orderkey % {n} {arms} END AS txt FROM {orders})"
