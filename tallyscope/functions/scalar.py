@@ -108,26 +108,28 @@ def _fields(fmt: str) -> list[str]:
     return re.findall(r"yyyyMMdd|y+|M+|d+|H+|m+|s+|.", quoted)
 
 
-def format_shapes(fmt: str) -> set[str]:
-    """The shapes (``value_shape``) of all text that a format reads: 9 for a digit, A for a name."""
-    widths = {"yyyy": ["9999"], "yy": ["99"], "MMM": ["A"], "MMMM": ["A"], "yyyyMMdd": ["99999999"]}
-    out = {""}
-    for f in _fields(fmt):
-        ways = widths.get(f) or (["9", "99"] if f in ("d", "M", "H", "m", "s") else ["99"] if f in ("dd", "MM", "HH", "mm", "ss") else [f])
-        out = {a + w for a in out for w in ways}
-    return out
+#: What stands for a number in a shape: of four digits, of eight, and of one or two.
+_FOUR, _EIGHT, _SHORT = "@", "%", "#"
+
+
+def shape_of(fmt: str) -> str:
+    """The shape (``value_shape``) of the text that a format reads."""
+    marks = {"yyyy": _FOUR, "yyyyMMdd": _EIGHT, "MMM": "A", "MMMM": "A"}
+    return "".join(marks.get(f) or (_SHORT if f[0] in "yMdHms" else f) for f in _fields(fmt))
 
 
 def format_shape(fmt: str) -> str:
     """A regular expression for the text that a format reads."""
-    to = {"9": r"\d", "A": "[A-Za-z]+", _T_MARK: "T"}
-    return "^(?:" + "|".join("".join(to.get(ch) or re.escape(ch) for ch in shape) for shape in sorted(format_shapes(fmt))) + ")$"
+    to = {"yyyy": r"\d{4}", "yy": r"\d{2}", "yyyyMMdd": r"\d{8}", "MMM": "[A-Za-z]+", "MMMM": "[A-Za-z]+", _T_MARK: "T"}
+    return "^" + "".join(to.get(f) or (r"\d{1,2}" if f[0] in "MdHms" else re.escape(f)) for f in _fields(fmt)) + "$"
 
 
 def value_shape(c: Column) -> Column:
-    """Text with every digit as 9 and every run of letters as A; a T between digits keeps a mark of its own."""
-    marked = F.regexp_replace(c, "(?<=[0-9])T(?=[0-9])", _T_MARK)
-    return F.regexp_replace(F.translate(marked, "012345678", "999999999"), "[A-Za-z]+", "A")
+    """Text with each run of letters as A and each number as a mark of its length; a T between digits keeps a mark of its own."""
+    out = F.regexp_replace(F.regexp_replace(c, "(?<=[0-9])T(?=[0-9])", _T_MARK), "[A-Za-z]+", "A")
+    for digits, mark in (("{1,2}", _SHORT), ("{4}", _FOUR), ("{8}", _EIGHT)):
+        out = F.regexp_replace(out, f"(?<![0-9])[0-9]{digits}(?![0-9])", mark)
+    return out
 
 
 def _reading(fmt: str) -> tuple[str, ...]:
@@ -146,7 +148,7 @@ def _timestamp(s: Column, reading: tuple[str, ...], pivot: int) -> Column:
         day = part["d"]
         if "y2" in part:
             short = part["y2"].cast("int")
-            year = (F.when(short >= pivot, short + 1900).otherwise(short + 2000)).cast("string")
+            year = F.when(F.length(part["y2"]) == 2, F.when(short >= pivot, short + 1900).otherwise(short + 2000)).cast("string")
         else:
             year = part["y"]
         if "m" in part:
@@ -154,7 +156,7 @@ def _timestamp(s: Column, reading: tuple[str, ...], pivot: int) -> Column:
         else:
             known = [m[:3] for m in MONTHS] if "b" in part else list(MONTHS)
             month = F.array_position(F.array(*map(F.lit, known)), F.lower(part.get("b", part.get("B")))).cast("string")
-    date = F.concat_ws("-", year, month, day).try_cast("date").cast("timestamp_ntz")
+    date = F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date").cast("timestamp_ntz")
     if "H" not in part:
         return date
     hour, minute = part["H"].cast("int"), part["min"].cast("int")
@@ -167,10 +169,9 @@ def shape_readings(formats) -> dict[str, list[tuple[str, ...]]]:
     """For every shape that some format reads, the different readings in the order of the formats."""
     out: dict[str, list[tuple[str, ...]]] = {}
     for fmt in formats:
-        for shape in format_shapes(fmt):
-            seen = out.setdefault(shape, [])
-            if _reading(fmt) not in seen:
-                seen.append(_reading(fmt))
+        seen = out.setdefault(shape_of(fmt), [])
+        if _reading(fmt) not in seen:
+            seen.append(_reading(fmt))
     return out
 
 
