@@ -23,7 +23,10 @@ all its pairs made:
    below, long tiles in blocks. In a tile, parity signatures of two bits an element bound the overlap from above:
    every bit in which two signatures differ is an element of just one set. What
    follows the tile's element in both sets bounds it, too. Pairs of different
-   components that pass these bounds are verified.
+   components that pass these bounds are verified. A pair is put out in the tile
+   of the first element that both sets share: rows carry the first ``AHEAD``
+   elements of their set that have tiles, and a tile leaves out a pair that
+   shares one before its own. (Beyond ``AHEAD`` a pair may come out again.)
 
 Verification intersects the sorted arrays of the two sets, read again from the
 texts of the documents in question. A fixed-size bit table (2^22 bits) that is
@@ -58,6 +61,8 @@ FREQUENT = 1 << 16
 CHAIN, BLOCK = 4096, 2048
 #: Fewest 64-bit words of a signature.
 LEAST_WORDS = 4
+#: Elements of a set that its rows carry to tell in which tile a pair is put out.
+AHEAD = 24
 #: Over 4/3, so that linked sizes are at most one band apart.
 BAND = 1.34
 #: Elements counted together inside a task, and the count from which one is reported.
@@ -186,18 +191,18 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, wide binary")
 
 
-def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
+def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(h, chain, place, sig, n) for the prefix elements of each class in each task.
 
-    ``frequent`` has the elements that go last, with their counts; a longer
+    ``frequent`` has the elements that go last, ``counts`` theirs; a longer
     list than ``CHAIN`` is dealt to several chains, once by each of two hashes
     (even numbers from 2 and odd ones; a list that is one chain has number 0).
     """
-    order = np.array([h for h, _ in frequent], np.int64).view(np.uint64)
+    order = frequent.astype(np.int64).view(np.uint64)
     by_value = np.argsort(order)
     # the rarest of the frequent ones come first
-    rank = np.array([-n for _, n in frequent], np.int64).argsort(kind="stable")[::-1].argsort()[by_value]
-    chains = np.array([-(-n // CHAIN) for _, n in frequent], np.int64)[by_value]
+    rank = (-counts).argsort(kind="stable")[::-1].argsort()[by_value]
+    chains = -(-counts // CHAIN)[by_value]
     shared = docs.sparkSession.sparkContext.broadcast((order[by_value], rank, chains))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +325,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.mapInArrow(verify, "a long, b long").distinct()
 
 
-def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool) -> list[np.ndarray]:
+def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool, before: list[set[int]] | None = None) -> list[np.ndarray]:
     """Pairs of one tile that the size, place and bit bounds leave, of different components.
 
     ``place``: where the tile's element stands in each set's order. If it is the
@@ -329,7 +334,8 @@ def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarr
 
     ``bits``: signatures, folded here to the smaller one's size. ``lower``: the
     member is of the band below (two such meet in their own tile). ``across``:
-    only members of different blocks meet.
+    only members of different blocks meet. ``before``: elements of each set's order
+    before the tile's that have tiles too; a pair that shares one meets there.
     """
     out = []
     if (comp == comp[0]).all():
@@ -357,6 +363,8 @@ def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarr
             j = at[smaller == size]
             differ = np.bitwise_count(words[row_of[j]] ^ words[row_of[i]]).sum(axis=1, dtype=np.int64)
             j = j[7 * differ <= n[j] + n[i]]
+            if before is not None and before[i]:
+                j = j[[before[i].isdisjoint(before[k]) for k in j.tolist()]] if len(j) else j
             if len(j):
                 out.append(np.stack([np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])], axis=1))
     return out
@@ -372,7 +380,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(starts, [*starts[1:], upto], strict=True):
             if b - a > 1:
                 c = {k: v[a:b] for k, v in cols.items()}
-                found += tile_pairs(c["sig"], c["comp"], c["n"], c["place"], c["bits"], c["lower"], c["block"], c["bi"][0] != c["bj"][0])
+                before = [{h for p, h in zip(*first, strict=True) if p < at} for first, at in zip(c["first"], c["place"].tolist(), strict=True)]
+                found += tile_pairs(c["sig"], c["comp"], c["n"], c["place"], c["bits"], c["lower"], c["block"], c["bi"][0] != c["bj"][0], before)
         made = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
 
@@ -388,6 +397,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
         cols["bits"] = np.array(batch.column("bits").to_pylist(), object)
+        cols["first"] = np.empty(batch.num_rows, object)
+        cols["first"][:] = list(zip(batch.column("places").to_pylist(), batch.column("elements").to_pylist(), strict=True))
         if rest is not None:
             cols = {k: np.concatenate([rest[k], v]) for k, v in cols.items()}
         starts = ends(cols)
@@ -418,6 +429,11 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
         .filter("(members > 2 or chain > 0) and lo <> hi")
         .select("h", "members")
     )
+    # the first elements of each set's order that have tiles: a pair is put out in the tile of the first that both have
+    met = member.join(mixed, "h").select("sig", "place", "h").distinct()
+    ahead = met.withColumn("__r", F.row_number().over(Window.partitionBy("sig").orderBy("place", "h"))).filter(F.col("__r") <= AHEAD)
+    ahead = ahead.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("f"))
+    ahead = ahead.select("sig", F.transform("f", lambda x: x["place"]).alias("places"), F.transform("f", lambda x: x["h"]).alias("elements"))
     # a short list is one tile, whose size bound parts its bands; a long one is dealt by band and block
     long = F.col("members") > BLOCK
     band = F.when(long, F.floor(F.log(F.col("n")) / F.lit(float(np.log(BAND))))).otherwise(F.lit(0).cast("long"))
@@ -425,6 +441,7 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
     placed = (
         member.join(mixed, "h")
         .join(classes.select("sig", F.col("wide").alias("bits")), "sig")
+        .join(ahead, "sig")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
         .withColumn("tile", F.explode(F.filter(
@@ -432,7 +449,7 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
             lambda t: long | ~t["lower"],
         )))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("h", F.col("tile.band").alias("band"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sig", "comp", "n", "place", F.col("tile.lower").alias("lower"), "block", "bits")
+        .select("h", F.col("tile.band").alias("band"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sig", "comp", "n", "place", F.col("tile.lower").alias("lower"), "block", "bits", "places", "elements")
     )
     key = ["h", "band", "bi", "bj"]
     return placed.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(_tiles, "a long, b long").distinct()
@@ -467,13 +484,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "sig")
         .limit(FREQUENT)
-        .collect()
+        .toArrow()
     )
     classes = reliable(described.filter("part = 0 and n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.first("wide").alias("wide")))
     chain = Window.partitionBy("h", "chain").orderBy("n", "sig")
     with Scratch(docs.sparkSession) as scratch:
         lists = scratch.written(
-            _prefixes(base, [(r.sig, r.n) for r in often])
+            _prefixes(base, often.column("sig").to_numpy(), often.column("n").to_numpy())
             .select("*", F.lag("sig").over(chain).alias("prev"), F.lag("n").over(chain).alias("prev_n"), F.lead("sig").over(chain).alias("next"))
             # alone in one of a dealt list's chains is not alone in the list, which round 2 takes whole
             .filter("prev is not null or next is not null or (chain > 0 and chain % 2 = 0)")
