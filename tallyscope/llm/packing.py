@@ -46,6 +46,8 @@ HASH_DIMS, CURVE_DIMS, CURVE_BITS = 1024, 4, 7
 TIE_BITS = 24
 #: Chunks that one worker's table holds before it is started anew.
 MAX_CHUNKS = 400_000
+#: Chunks that a worker's table keeps from task to task.
+KEPT_CHUNKS = 60_000
 
 _REGULAR_GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD_GAP = re.compile(r"\s | \s|^ | $")
@@ -65,7 +67,7 @@ class ChunkIds:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
         self.model = self.tokenizer.model
-        self.max_chunks = max_chunks
+        self.max_chunks, self.kept = max_chunks, min(KEPT_CHUNKS, max_chunks)
         if self.tokenizer.normalizer is not None:
             raise ValueError("this tokenizer rewrites texts before it splits them; chunks can't be encoded apart")
         #: ids of a chunk behind a space, of a chunk at a text's start, of one group of the pre-tokenizer
@@ -103,11 +105,12 @@ class ChunkIds:
         return found
 
     def forget(self) -> None:
-        """Give the chunks' memory back; the worker may go on with another operator.
+        """Give memory back at a task's end; the worker may go on with another operator.
 
-        The groups, which cost the model's time, stay up to their own limit.
+        A table of few chunks stays, as do the groups, which cost the model's time, up to their own limit.
         """
-        self.ids.clear()
+        if len(self.ids) > self.kept:
+            self.ids.clear()
         self.first.clear()
         if len(self.groups) > self.max_chunks:
             self.groups.clear()
@@ -115,6 +118,7 @@ class ChunkIds:
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """The packed ids of each text."""
         if len(self.ids) > self.max_chunks or len(self.groups) > self.max_chunks or len(self.first) > self.max_chunks:
+            self.ids.clear()
             self.forget()
         ids, first = self.ids, self.first
         together = "".join(texts)
@@ -197,11 +201,11 @@ def hilbert_index(cells: np.ndarray, bits: int = CURVE_BITS) -> np.ndarray:
 
 def curve_keys(rows: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     """Hilbert index of each row of ids, by its hashed and projected counts."""
-    counts = np.zeros((len(rows), HASH_DIMS))
-    for i, ids in enumerate(rows):
-        hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
-        counts[i] = np.bincount(hashed, minlength=HASH_DIMS)
-    counts = np.sqrt(counts)
+    lengths = np.array([len(ids) for ids in rows])
+    hashed = (np.concatenate(rows).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
+    place = np.repeat(np.arange(len(rows), dtype=np.int32) * HASH_DIMS, lengths)
+    place += hashed.view(np.int32)
+    counts = np.sqrt(np.bincount(place, minlength=len(rows) * HASH_DIMS).reshape(len(rows), HASH_DIMS))
     counts -= counts.mean(axis=1, keepdims=True)
     norm = np.linalg.norm(counts, axis=1, keepdims=True)
     return hilbert_index(curve_cells(counts / np.where(norm == 0, 1, norm) @ matrix))
