@@ -32,7 +32,12 @@ BITS, ORDERS, SMOOTHING = 14, (2, 3), 0.5
 MAX_MATRIX_BYTES = 256 << 20
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numbers that are no digits, as ½ or Ⅷ, are none."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def ngram_buckets(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +82,7 @@ class Model:
         posterior = 1 / np.exp(total - top[:, None]).sum(axis=1)
         names, scores = [], []
         for t, b, p in zip(texts, best.tolist(), posterior.tolist(), strict=True):
-            known = _LETTER.search(t) is not None
+            known = has_letter(t)
             names.append(self.languages[b] if known else UNDETERMINED)
             scores.append(p if known else 0.0)
         return names, scores
