@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.functions.rowkey import canonical
 from tallyscope.llm.common import TABLE_BITS, Scratch, bit_table, in_table, partitions, reliable, spot, table
 
 MATCH, GRAM = 200, 32
@@ -347,7 +348,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
             .join(marked, ["anchor", "seg"])
             .select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (MATCH - 1)).alias("b"))
         )
-        return reliable(plain.unionAll(edges).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+        return reliable(plain.unionAll(edges).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges")))
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -371,7 +372,8 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, carry: list[str], text_col: str, made: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
     """The columns ``carry`` of every row, and what ``made`` makes of its bytes and the spans to remove."""
-    keyed = docs.select(F.xxhash64(*[F.col(c) for c in carry], F.col(text_col)).alias("key"), F.struct(*carry).alias("id"), F.col(text_col).alias("text"))
+    same = [canonical(F.col(c), docs.schema[c].dataType) for c in carry]
+    keyed = docs.select(F.xxhash64(*same, F.col(text_col)).alias("key"), F.struct(*carry).alias("id"), F.col(text_col).alias("text"))
     marked = keyed.join(repeats(keyed), "key", "left").select("key", "id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
