@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from tallyscope.operators.rowindex import BUCKET, bucketed
 from tallyscope.session import new_scratch_path, scratch_dir
 
 #: Characters of text handled at once inside a task; a longer text is a block of its own.
@@ -96,7 +98,7 @@ def column_texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def order_buckets(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame, str]:
-    """Add ``bucket``: which of ``buckets`` even ranges of a numeric column a row is in.
+    """Add ``bucket``: which of about ``buckets`` even ranges of a column a row is in.
 
     Cut points are approximate quantiles of the whole column; any cut points are
     right, they only decide how even the buckets are. Order-preserving:
@@ -104,6 +106,9 @@ def order_buckets(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame,
     """
     from pyspark.ml.feature import Bucketizer
 
+    if not isinstance(df.schema[column].dataType, NumericType):
+        tagged, _ = bucketed(df, [column], rows_per_bucket=max(1, df.count() // buckets))
+        return tagged.withColumnRenamed(BUCKET, "bucket"), "bucket"
     low = F.coalesce(F.col(column).cast("double"), F.lit(float("-1e300")))
     cuts = []
     if buckets > 1:
