@@ -60,3 +60,17 @@ def test_digests(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None), (3, "abc")], "doc_id long, text string")
     got = {r.doc_id: r.fingerprint for r in P.digests(df).collect()}
     assert got[1] == got[3] == P.fingerprint("abc") and got[2] == P.fingerprint("")
+
+
+def test_ids_that_are_no_numbers(spark):
+    from tallyscope.llm.fingerprints import neighbour_digests
+
+    texts = {f"doc/{chr(97 + i % 26)}{i}": f"text number {i} " * (i % 5 + 1) for i in range(120)}
+    got = {r.doc_id: r for r in neighbour_digests(spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(3)).collect()}
+    order = sorted(texts)
+    assert sorted(got) == order
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        assert got[a].n_chars == len(texts[a])
+        cut = len(texts[a]) // 4
+        made = texts[a][: len(texts[a]) - cut] + texts[b][:cut]
+        assert got[a].edited_sha256 == __import__("hashlib").sha256(made.encode()).hexdigest()

@@ -67,3 +67,10 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in out)
     held = [r for r in out if r.held_out and r.lang_pred != "und"]
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_numbers_that_are_no_digits_are_no_letters():
+    from tallyscope.llm.langid import has_letter
+
+    assert not any(has_letter(t) for t in ("²", "½ ①", "Ⅷ", "12 _ 3", ""))
+    assert has_letter("½ é") and has_letter("Ⅷ字")

@@ -108,3 +108,19 @@ def test_text_keeps_whole_characters(spark):
     df = spark.createDataFrame([(1, "p" + text, "en"), (2, "qq" + text, "de"), (3, None, "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: r.text for r in S.remove_repeats(df).collect()}
     assert got[1] == "p" and got[2] == "qq" and got[3] == ""
+
+
+def test_equal_rows_share_distinct_ranges_and_maps_pass(spark):
+    from pyspark.sql import functions as F
+
+    from tallyscope.llm import suffix_dedup as S
+
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(450))
+    rows = [(1, text)] * 60 + [(2, "other text that is short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("doc_id").alias("id"), "text")
+    sizes = [len(r.ranges) for r in S.repeats(keyed).collect()]
+    assert len(sizes) == 1 and sizes[0] <= 60
+    assert {(r.doc_id, r.n_removed) for r in S.removal_digests(df).collect()} == {(1, 450), (2, 0)}
+    with_map = df.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    assert sorted((r.doc_id, r.m["a"], r.text) for r in S.remove_repeats(with_map).collect())[-1] == (2, 2, "other text that is short")
