@@ -30,6 +30,7 @@ another; extra columns are passed over; an empty table gives no row.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -100,7 +101,9 @@ LABELERS = ["valid", "gazetteer", "context", "shape", "edges"]
 #: Upper ends of the length classes.
 LENGTHS = [12, 16, 20, 32]
 
-_SPAN = "array<struct<a:int,b:int>>"
+_SPAN = "array<struct<a:int,b:int,value:string,before:string,after:string>>"
+#: Values of one chunk of a running sum, and characters of one block of a text that is rewritten.
+CHUNK, BLOCK = 64, 4096
 
 
 def searchable(text: Column) -> Column:
@@ -108,27 +111,65 @@ def searchable(text: Column) -> Column:
     return F.coalesce(F.when(text.contains(MARK), F.translate(text, MARK, OTHER)).otherwise(text), F.lit(""))
 
 
+def running(values: Column, kind: str, merge: Callable[[Column, Column], Column]) -> Column:
+    """What ``merge`` makes of all values before each place of an array, from 0 on.
+
+    In two levels of ``CHUNK``: an array that grows by one is copied at each step, so one
+    level would take time in the square of a text's matches.
+    """
+    n = F.size(values)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(merge(acc["now"], x).alias("now"), F.concat(acc["before"], F.array(acc["now"])).alias("before"))
+
+    def scan(part: Column, start: Column) -> Column:
+        first = F.struct(start.cast(kind).alias("now"), F.array().cast(f"array<{kind}>").alias("before"))
+        return F.aggregate(part, first, step, lambda acc: acc["before"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda j: F.slice(values, j * CHUNK + 1, CHUNK))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast(kind), merge))
+    both = F.zip_with(chunks, scan(totals, F.lit(0)), lambda c, start: scan(c, start))
+    return F.when(n > 0, F.flatten(both)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def marked_spans(text: Column, kind: str) -> Column:
-    """Spans (a, b) of a kind's pattern: code points, end exclusive."""
+    """Spans (a, b) of a kind's pattern: code points, end exclusive; with their text and what is around it.
+
+    The replacement puts marks around each span, so every other piece between marks is one. All
+    parts come from these pieces; the text is not walked again for each.
+    """
     pattern, replacement = PATTERNS[kind]
     pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK, -1)
-    empty = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        more = F.concat(acc["found"], F.array(F.struct(acc["at"].alias("a"), end.alias("b"))))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], more).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    def spans(p: Column) -> Column:
+        sizes = p["sizes"]
+
+        def span(i: Column) -> Column:
+            # an even number of pieces holds as many characters as half of it, since no span is empty
+            first = F.greatest(i - 2 * CONTEXT_CHARS, F.lit(0))
+            before = F.right(F.array_join(F.slice(p["tails"], first + 1, i - first), ""), F.lit(CONTEXT_CHARS))
+            after = F.left(F.array_join(F.slice(p["heads"], i + 2, F.lit(2)), ""), F.lit(1))
+            at = F.get(p["starts"], i)
+            return F.struct(at.alias("a"), (at + F.get(sizes, i)).alias("b"), F.get(p["pieces"], i).alias("value"), before.alias("before"), after.alias("after"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(sizes) - 2, F.lit(2)), span)
+
+    parts = F.struct(pieces.alias("pieces"))
+    named = _let(parts, lambda p: F.struct(
+        p["pieces"].alias("pieces"), F.transform(p["pieces"], F.length).alias("sizes"),
+        F.transform(p["pieces"], lambda x: F.right(x, F.lit(CONTEXT_CHARS))).alias("tails"), F.transform(p["pieces"], lambda x: F.left(x, F.lit(1))).alias("heads")))
+    placed = _let(named, lambda p: F.struct(p["pieces"].alias("pieces"), p["sizes"].alias("sizes"), p["tails"].alias("tails"), p["heads"].alias("heads"),
+                                            running(p["sizes"], "int", lambda x, y: x + y).alias("starts")))
+    found = _let(placed, lambda p: F.when(F.size(p["sizes"]) > 2, spans(p)).otherwise(F.array().cast(_SPAN)))
     test = text.rlike(pattern)
     if kind in NEEDS:
         test = text.contains(NEEDS[kind]) & test
-    return F.when(test, found).otherwise(empty)
+    return F.when(test, found).otherwise(F.array().cast(_SPAN))
 
 
-def span_text(text: Column, span: Column) -> Column:
-    return F.substring(text, span["a"] + 1, span["b"] - span["a"])
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def luhn(digits: Column) -> Column:
@@ -161,11 +202,9 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (out.when(no, -1) if no is not None else out).otherwise(0)
 
 
-def candidate(text: Column, kind: str, span: Column) -> Column:
+def candidate(kind: str, span: Column) -> Column:
     """A span with the labelers' votes and its length class."""
-    value = span_text(text, span)
-    before = F.substring(text, F.greatest(span["a"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["a"], F.lit(CONTEXT_CHARS)))
-    after = F.substring(text, span["b"] + 1, F.lit(1))
+    value, before, after = span["value"], span["before"], span["after"]
     ok = valid(kind, value)
     size = span["b"] - span["a"]
     length = sum((size > x).cast("int") for x in LENGTHS)
@@ -186,14 +225,26 @@ def candidate(text: Column, kind: str, span: Column) -> Column:
 
 def with_candidates(docs: DataFrame, text_col: str, name: str = "candidates") -> DataFrame:
     """``docs`` with an array of all candidates, by kind and then position."""
-    text = F.col("__text")
-    out = docs.withColumn("__text", searchable(F.col(text_col)))
-    out = out.select("*", *[marked_spans(text, k).alias(f"__{k}") for k in KINDS])
-    found = [F.transform(F.col(f"__{k}"), partial(candidate, text, k)) for k in KINDS]
-    none = " and ".join(f"size(__{k}) = 0" for k in KINDS)
+    taken = set(docs.columns)
+
+    def free(base: str) -> str:
+        """A column name that ``docs`` doesn't have."""
+        while base in taken:
+            base = "_" + base
+        taken.add(base)
+        return base
+
+    whole = free("__text")
+    spans = {k: free(f"__{k}") for k in KINDS}
+    out = docs.withColumn(whole, searchable(F.col(text_col)))
+    out = out.select("*", *[marked_spans(F.col(whole), k).alias(c) for k, c in spans.items()])
+    found = [F.transform(F.col(c), partial(candidate, k)) for k, c in spans.items()]
+    none = F.lit(True)
+    for c in spans.values():
+        none = none & (F.size(c) == 0)
     kind = "array<struct<kind:string,a:int,b:int,base:boolean,valid:int,gazetteer:int,context:int,shape:int,edges:int,length:int>>"
-    out = out.withColumn(name, F.when(F.expr(none), F.array().cast(kind)).otherwise(F.concat(*found).cast(kind)))
-    return out.drop("__text", *[f"__{k}" for k in KINDS])
+    out = out.withColumn(name, F.when(none, F.array().cast(kind)).otherwise(F.concat(*found).cast(kind)))
+    return out.drop(whole, *spans.values())
 
 
 @dataclass
@@ -311,19 +362,40 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one counts the vote patterns, one rewrites.
     """
     model = fit(with_candidates(docs.select(text_col), text_col))
-    out = with_candidates(docs, text_col, "__candidates").withColumn(
-        "__spans", F.array_sort(F.transform(kept_spans(F.col("__candidates"), model), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["kind"].alias("kind"))))
-    )
+    name = "__candidates"
+    while name in docs.columns:
+        name = "_" + name
+    spans = F.array_sort(F.transform(kept_spans(F.col(name), model), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["kind"].alias("kind"))))
     text = F.col(text_col)
+    rewritten = _let(F.struct(spans.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks")), _rewritten)
+    out = with_candidates(docs, text_col, name)
+    return out.withColumn(text_col, F.when(F.size(kept_spans(F.col(name), model)) > 0, rewritten).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """Characters a to b (exclusive) of a text in blocks of ``BLOCK`` characters."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, first), a - first * BLOCK + 1, F.least(b - a, F.lit(BLOCK)))
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.when(last > first, F.left(F.get(blocks, last), b - last * BLOCK)).otherwise("")
+    return F.when(b > a, F.concat(head, middle, tail)).otherwise("")
+
+
+def _rewritten(x: Column) -> Column:
+    """The text with a name in the place of each run of overlapping spans."""
+    blocks = x["blocks"]
+
+    def joined(y: Column) -> Column:
+        # a run begins where a span starts at or behind the end of all before it
+        ends = running(F.transform(y["spans"], lambda s: s["b"]), "int", lambda p, q: F.greatest(p, q))
+        return F.filter(F.zip_with(y["spans"], ends, lambda s, end: F.struct(s["a"].alias("a"), end.alias("end"), s["kind"].alias("kind"))), lambda r: r["a"] >= r["end"])
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        fresh = s["a"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def written_out(y: Column) -> Column:
+        parts = F.transform(y["runs"], lambda r: F.concat(_between(blocks, r["end"], r["a"]), F.lit("<"), F.upper(r["kind"]), F.lit(">")))
+        total = F.aggregate(blocks, F.lit(0), lambda n, block: n + F.length(block))
+        return F.concat(F.array_join(parts, ""), _between(blocks, F.array_max(F.transform(x["spans"], lambda s: s["b"])), total))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rewritten = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, rewritten).otherwise(text)).select(*docs.columns)
+    return _let(F.struct(joined(x).alias("runs")), written_out)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
