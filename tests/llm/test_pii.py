@@ -94,3 +94,28 @@ def test_redaction_keeps_everything_else(spark):
     df = spark.createDataFrame([(1, "write a@b.com or 8.8.8.8!", "en"), (2, None, "de"), (3, "clean  text", "fr")], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.text, r.lang) for r in P.redact(df).collect()}
     assert got == {1: ("write <EMAIL> or <IP>!", "en"), 2: (None, "de"), 3: ("clean  text", "fr")}
+
+
+def test_many_matches_in_one_text(spark):
+    from tallyscope.llm import pii
+
+    n = 6000
+    text = " ".join(f"user{i}@mail{i % 97}.com" for i in range(n)) + "\n" + "x" * 9000 + " mail me: a@b.org"
+    df = spark.createDataFrame([(1, text, "kept", {"a": 1})], "doc_id bigint, text string, __text string, __candidates map<string,int>")
+    row = pii.find(df).first()
+    spans = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",") if s.startswith("email")]
+    assert row.n_email == n + 1 and [text[a:b] for a, b in spans][-1] == "a@b.org"
+    assert [text[a:b] for a, b in spans[:n]] == text.split("\n")[0].split(" ")
+    out = pii.redact(df).first()
+    assert out.text == " ".join(["<EMAIL>"] * n) + "\n" + "x" * 9000 + " mail me: <EMAIL>"
+    assert (out["__text"], out["__candidates"]) == ("kept", {"a": 1})
+
+
+def test_running_values_in_two_levels(spark):
+    from pyspark.sql import functions as F
+
+    from tallyscope.llm.pii import running
+
+    df = spark.createDataFrame([([(i * 7) % 31 for i in range(n)],) for n in (0, 1, 63, 64, 65, 1000)], "v array<int>")
+    for r in df.select("v", running(F.col("v"), "int", lambda x, y: x + y).alias("s"), running(F.col("v"), "int", lambda x, y: F.greatest(x, y)).alias("m")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))] and r.m == [max([0, *r.v[:i]]) for i in range(len(r.v))]
