@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rowkey import KEY, canonical, needs_form, with_row_key
-from ..session import materialize
+from ..session import materialize, written
 from .kinds import q
 
 #: Repeated keys that may be broadcast: 16 bytes each, 16 MB in all.
@@ -40,11 +40,11 @@ def duplicate_stats(df: DataFrame) -> dict:
     if not df.columns:
         n = df.count()
         return {"rows": n, "distinct": min(n, 1), "duplicates": max(0, n - 1)}
-    keys = materialize(key_counts(df), "row-keys")
-    row = keys.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("again")).first()
-    rows, distinct = int(row["rows"] or 0), int(row["once"])
-    if row["again"]:
-        distinct += _in_full(df, keys.where("n > 1").select(*KEY), int(row["again"])).count()
+    with written(key_counts(df), "row-keys") as keys:
+        row = keys.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("again")).first()
+        rows, distinct = int(row["rows"] or 0), int(row["once"])
+        if row["again"]:
+            distinct += _in_full(df, keys.where("n > 1").select(*KEY), int(row["again"])).count()
     return {"rows": rows, "distinct": distinct, "duplicates": rows - distinct}
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import written
 from .kinds import NUMERIC_TYPES, q
 
 
@@ -135,10 +135,10 @@ def _by_counters(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
     empty = set(cols) - set(slots)  # columns without a value
     if not slots:
         return [], empty
-    chosen = F.lit(False)
-    for c, found in slots.items():
-        chosen = chosen | ((F.col("c") == c) & F.pmod("h", F.lit(COUNTERS)).cast("int").isin(found))
-    exact = pairs.where(chosen).groupBy("c", "value", "sort_num").agg(F.count(F.lit(1)).alias("n"))
+    chosen = pairs.sparkSession.createDataFrame([(c, slot) for c, found in slots.items() for slot in found], "c int, slot int")
+    slotted = pairs.withColumn("slot", F.pmod("h", F.lit(COUNTERS)).cast("int"))
+    # a few hundred rows a column: broadcast
+    exact = slotted.join(F.broadcast(chosen), ["c", "slot"], "left_semi").groupBy("c", "value", "sort_num").agg(F.count(F.lit(1)).alias("n"))
     best: dict[int, list] = {}
     for r in _ranked(exact, k).collect():
         best.setdefault(r["c"], []).append(r)
@@ -153,38 +153,33 @@ def _by_hashes(pairs: DataFrame, cols: list[int], k: int) -> tuple[list, set]:
     With c the k-th largest count of a hash, values of a larger count are fewer than k. If c is 1 the others are
     unique, and the smallest of them follow; else the values of every hash counted c or more are counted exactly. A
     hash shared by two values can only raise a count, so a result whose k-th count is c or more is proven."""
-    few = pairs
-    hashes = materialize(few.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n")), "hash-counts")
-    w = Window.partitionBy("c").orderBy(F.col("n").desc(), "h")
-    top = hashes.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).groupBy("c").agg(F.min("n").alias("least")).collect()
-    least = {r["c"]: int(r["least"]) for r in top}
-    unique = [c for c, n in least.items() if n == 1]
-    common = [c for c, n in least.items() if n > 1]
-    pools = []
-    if unique:
-        # fewer than k hashes a column occur more than once there
-        again = {c: [] for c in unique}
-        for r in hashes.where(F.col("c").isin(unique) & (F.col("n") > 1)).select("c", "h").collect():
-            again[r["c"]].append(r["h"])
-        seen = F.lit(False)
-        for c, found in again.items():
-            if found:
-                seen = seen | ((F.col("c") == c) & F.col("h").isin(found))
-        mine = few.where(F.col("c").isin(unique))
-        pools.append(mine.where(seen).groupBy("c", "value", "sort_num").agg(F.count(F.lit(1)).alias("n")))
-        by_value = Window.partitionBy("c").orderBy(F.col("sort_num").asc_nulls_last(), "value")
-        once = mine.where(~seen).withColumn("__r", F.row_number().over(by_value)).where(F.col("__r") <= k)
-        pools.append(once.select("c", "value", "sort_num", F.lit(1).cast("bigint").alias("n")))
-    if common:
-        enough = F.lit(False)
-        for c in common:
-            enough = enough | ((F.col("c") == c) & (F.col("n") >= least[c]))
-        wanted = hashes.where(enough).select("c", "h")
-        pools.append(few.join(wanted, ["c", "h"], "left_semi").groupBy("c", "value", "sort_num").agg(F.count(F.lit(1)).alias("n")))
+    spark = pairs.sparkSession
+    counted = pairs.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n"))
+    with written(counted, "hash-counts") as hashes:
+        w = Window.partitionBy("c").orderBy(F.col("n").desc(), "h")
+        top = hashes.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).collect()
+        least: dict[int, int] = {}
+        for r in top:
+            least[r["c"]] = min(int(r["n"]), least.get(r["c"], int(r["n"])))
+        pools = []
+        unique = [c for c, n in least.items() if n == 1]
+        if unique:
+            # fewer than k hashes a column occur more than once there, so these few rows are broadcast
+            again = F.broadcast(spark.createDataFrame([(r["c"], r["h"]) for r in top if least[r["c"]] == 1 and r["n"] > 1], "c int, h bigint"))
+            mine = pairs.where(F.col("c").isin(unique))
+            pools.append(mine.join(again, ["c", "h"], "left_semi").groupBy("c", "value", "sort_num").agg(F.count(F.lit(1)).alias("n")))
+            by_value = Window.partitionBy("c").orderBy(F.col("sort_num").asc_nulls_last(), "value")
+            once = mine.join(again, ["c", "h"], "left_anti").withColumn("__r", F.row_number().over(by_value)).where(F.col("__r") <= k)
+            pools.append(once.select("c", "value", "sort_num", F.lit(1).cast("bigint").alias("n")))
+        common = [(c, n) for c, n in least.items() if n > 1]
+        if common:
+            bound = F.broadcast(spark.createDataFrame(common, "c int, least bigint"))  # a row a column
+            wanted = hashes.join(bound, "c").where("n >= least").select("c", "h")
+            pools.append(pairs.join(wanted, ["c", "h"], "left_semi").groupBy("c", "value", "sort_num").agg(F.count(F.lit(1)).alias("n")))
+        ranked = [r for pool in pools for r in _ranked(pool, k).collect()]
     out, best = [], {}
-    for pool in pools:
-        for r in _ranked(pool, k).collect():
-            best.setdefault(r["c"], []).append(r)
+    for r in ranked:
+        best.setdefault(r["c"], []).append(r)
     settled = set()
     for c, rows in best.items():
         rows.sort(key=lambda r: (-r["n"], r["sort_num"] is None, r["sort_num"] or 0.0, r["value"].encode()))

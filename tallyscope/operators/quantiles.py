@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
-from ..session import materialize
+from ..session import written
 from .rowindex import BUCKET, at_bucket, before_each, bucketed
 
 
@@ -161,21 +161,22 @@ def _by_counts(df: DataFrame, exprs: dict[str, Column], targets: list[_Target],
     items = [F.when(t.band(exprs[t.name]), F.struct(F.lit(i).alias("i"), exprs[t.name].alias("v"))) for i, t in enumerate(targets)]
     counts = (df.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
               .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
-    tagged, sizes = bucketed(materialize(counts, "value-counts"), ["i", "v"], rows_per_bucket=rows_per_bucket)
-    sums = {r[BUCKET]: r["n"] for r in tagged.groupBy(BUCKET).agg(F.sum("n").alias("n")).collect()}
-    offsets = before_each([sums.get(b) or 0 for b in range(len(sizes))])
-    upto = F.sum("n").over(Window.partitionBy(BUCKET).orderBy("i", "v").rowsBetween(Window.unboundedPreceding, 0))
-    run = tagged.select("i", "v", "n", (upto + at_bucket(offsets, "bigint")).alias("upto"))
-    # the bands lie one after the other in this order, so a rank is a position among all counts
-    wanted, start = {}, 0
-    for t in targets:
-        for rank in {t.r_lo, t.r_hi}:
-            wanted[start + rank - t.below] = (id(t), rank)
-        start += t.m
-    places = F.array(*[F.lit(p) for p in sorted(wanted)])
-    hit = F.filter(places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
-    got = run.select("v", F.explode(hit).alias("p")).collect()  # two rows a target
-    return {wanted[r["p"]]: float(r["v"]) for r in got}
+    with written(counts, "value-counts") as table:
+        tagged, sizes = bucketed(table, ["i", "v"], rows_per_bucket=rows_per_bucket)
+        sums = {r[BUCKET]: r["n"] for r in tagged.groupBy(BUCKET).agg(F.sum("n").alias("n")).collect()}
+        offsets = before_each([sums.get(b) or 0 for b in range(len(sizes))])
+        upto = F.sum("n").over(Window.partitionBy(BUCKET).orderBy("i", "v").rowsBetween(Window.unboundedPreceding, 0))
+        run = tagged.select("i", "v", "n", (upto + at_bucket(offsets, "bigint")).alias("upto"))
+        # the bands lie one after the other in this order, so a rank is a position among all counts
+        wanted, start = {}, 0
+        for t in targets:
+            for rank in {t.r_lo, t.r_hi}:
+                wanted[start + rank - t.below] = (id(t), rank)
+            start += t.m
+        places = F.array(*[F.lit(p) for p in sorted(wanted)])
+        hit = F.filter(places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
+        got = run.select("v", F.explode(hit).alias("p")).collect()  # two rows a target
+        return {wanted[r["p"]]: float(r["v"]) for r in got}
 
 
 def _finish(df: DataFrame, exprs: dict[str, Column], targets, out, cfg: AuditConfig) -> None:

@@ -6,6 +6,8 @@ import atexit
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyscope") -> SparkSession:
     """A local session configured the way the tests and the bench expect.
 
-    On a cluster, build the session yourself; the library only relies on
-    ``spark.sql.session.timeZone`` being UTC for naive date parsing and reads
-    ``spark.checkpoint.dir`` for the shared scratch folder.
+    On a cluster, build the session yourself, in any time zone; the library
+    reads ``spark.checkpoint.dir`` for the shared scratch folder.
     """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -91,3 +92,26 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+@contextmanager
+def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, gone when the block ends: for data that eager steps scan more than once."""
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    try:
+        path = new_scratch_path(spark, name)
+    except RuntimeError:  # a cluster that names no shared folder
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield kept
+        finally:
+            kept.unpersist()
+        return
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
