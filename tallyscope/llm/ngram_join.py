@@ -62,7 +62,7 @@ CHAIN, BLOCK = 4096, 2048
 #: Fewest 64-bit words of a signature.
 LEAST_WORDS = 4
 #: Elements of a set that its rows carry to tell in which tile a pair is put out.
-AHEAD = 8
+AHEAD = 6
 #: Over 4/3, so that linked sizes are at most one band apart.
 BAND = 1.34
 #: Elements counted together inside a task, and the count from which one is reported.
@@ -325,7 +325,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.mapInArrow(verify, "a long, b long").distinct()
 
 
-def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool, first: list[tuple] | None = None) -> list[np.ndarray]:
+def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, lower: np.ndarray, block: np.ndarray, across: bool, before: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Pairs of one tile that the size, place and bit bounds leave, of different components.
 
     ``place``: where the tile's element stands in each set's order. If it is the
@@ -334,16 +334,15 @@ def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarr
 
     ``bits``: signatures, folded here to the smaller one's size. ``lower``: the
     member is of the band below (two such meet in their own tile). ``across``:
-    only members of different blocks meet. ``first``: places and values of each set's first
-    elements that have tiles; a pair that shares one before the tile's meets there.
+    only members of different blocks meet. ``before``: of each set's first elements that
+    have tiles those before this tile's; a pair that shares one meets there.
     """
-    earlier: dict[int, set[int]] = {}
+    sets: dict[int, set[int]] = {}
 
-    def before(i: int) -> set[int]:
-        if i not in earlier:
-            places, elements = first[i]
-            earlier[i] = set(elements[places < place[i]].tolist())
-        return earlier[i]
+    def earlier(i: int) -> set[int]:
+        if i not in sets:
+            sets[i] = set(before[i].tolist())
+        return sets[i]
 
     out = []
     if (comp == comp[0]).all():
@@ -371,8 +370,8 @@ def tile_pairs(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarr
             j = at[smaller == size]
             differ = np.bitwise_count(words[row_of[j]] ^ words[row_of[i]]).sum(axis=1, dtype=np.int64)
             j = j[7 * differ <= n[j] + n[i]]
-            if first is not None and len(j) and before(i):
-                j = j[[before(i).isdisjoint(before(k)) for k in j.tolist()]]
+            if before is not None and len(j) and earlier(i):
+                j = j[[earlier(i).isdisjoint(earlier(k)) for k in j.tolist()]]
             if len(j):
                 out.append(np.stack([np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])], axis=1))
     return out
@@ -388,7 +387,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(starts, [*starts[1:], upto], strict=True):
             if b - a > 1:
                 c = {k: v[a:b] for k, v in cols.items()}
-                found += tile_pairs(c["sig"], c["comp"], c["n"], c["place"], c["bits"], c["lower"], c["block"], c["bi"][0] != c["bj"][0], c["first"])
+                found += tile_pairs(c["sig"], c["comp"], c["n"], c["place"], c["bits"], c["lower"], c["block"], c["bi"][0] != c["bj"][0], c["before"])
         made = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
 
@@ -405,10 +404,9 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
         cols["bits"] = np.array(batch.column("bits").to_pylist(), object)
         ahead = batch.column("ahead")
-        cut, parts = ahead.offsets.to_numpy(), ahead.values
-        places, elements = parts.field("place").to_numpy(), parts.field("h").to_numpy()
-        cols["first"] = np.empty(batch.num_rows, object)
-        cols["first"][:] = [(places[a:b], elements[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        cut, elements = ahead.offsets.to_numpy(), ahead.values.to_numpy()
+        cols["before"] = np.empty(batch.num_rows, object)
+        cols["before"][:] = [elements[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         if rest is not None:
             cols = {k: np.concatenate([rest[k], v]) for k, v in cols.items()}
         starts = ends(cols)
@@ -443,6 +441,7 @@ def _tile_candidates(lists: DataFrame, component: DataFrame, classes: DataFrame)
     of_set = Window.partitionBy("sig")
     ahead = F.collect_list(F.when(F.col("nth") <= AHEAD, F.struct("place", "h"))).over(of_set)
     met = member.join(mixed, "h").withColumn("nth", F.row_number().over(of_set.orderBy("place", "h"))).withColumn("ahead", ahead)
+    met = met.withColumn("ahead", F.transform(F.filter("ahead", lambda x: x["place"] < F.col("place")), lambda x: x["h"]))
     # a short list is one tile, whose size bound parts its bands; a long one is dealt by band and block
     long = F.col("members") > BLOCK
     band = F.when(long, F.floor(F.log(F.col("n")) / F.lit(float(np.log(BAND))))).otherwise(F.lit(0).cast("long"))
