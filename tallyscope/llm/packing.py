@@ -46,8 +46,6 @@ HASH_DIMS, CURVE_DIMS, CURVE_BITS = 1024, 4, 7
 TIE_BITS = 24
 #: Chunks that one worker's table holds before it is started anew.
 MAX_CHUNKS = 400_000
-#: Chunks that a worker's table keeps from task to task.
-KEPT_CHUNKS = 60_000
 
 _REGULAR_GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD_GAP = re.compile(r"\s | \s|^ | $")
@@ -67,7 +65,7 @@ class ChunkIds:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
         self.model = self.tokenizer.model
-        self.max_chunks, self.kept = max_chunks, min(KEPT_CHUNKS, max_chunks)
+        self.max_chunks = max_chunks
         if self.tokenizer.normalizer is not None:
             raise ValueError("this tokenizer rewrites texts before it splits them; chunks can't be encoded apart")
         #: ids of a chunk behind a space, of a chunk at a text's start, of one group of the pre-tokenizer
@@ -107,10 +105,9 @@ class ChunkIds:
     def forget(self) -> None:
         """Give memory back at a task's end; the worker may go on with another operator.
 
-        A table of few chunks stays, as do the groups, which cost the model's time, up to their own limit.
+        The groups, which cost the model's time, stay up to their own limit.
         """
-        if len(self.ids) > self.kept:
-            self.ids.clear()
+        self.ids.clear()
         self.first.clear()
         if len(self.groups) > self.max_chunks:
             self.groups.clear()
@@ -118,7 +115,6 @@ class ChunkIds:
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """The packed ids of each text."""
         if len(self.ids) > self.max_chunks or len(self.groups) > self.max_chunks or len(self.first) > self.max_chunks:
-            self.ids.clear()
             self.forget()
         ids, first = self.ids, self.first
         together = "".join(texts)
