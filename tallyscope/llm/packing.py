@@ -17,7 +17,8 @@
 Tokenising goes by a table of distinct chunks in each worker: a single space
 between two characters that are not white space always begins a new pre-token
 of this kind of tokenizer, so the chunks between such spaces are encoded apart,
-each distinct one once, and joined by position.
+each distinct one once, and joined by position. A new chunk's words and signs are
+looked up as they stand in the text; single line ends part it again.
 
 Defined cases: a null text is the empty text, which holds just the end id; a
 null id stays null; repeated rows are packed as often as they occur; extra
@@ -44,13 +45,13 @@ END_ID = 1
 HASH_DIMS, CURVE_DIMS, CURVE_BITS = 1024, 4, 7
 #: Bits of the row hash below the curve's index; both together fit a double.
 TIE_BITS = 24
-#: Chunks that one worker's table holds before it is started anew.
+#: Chunks or groups that one worker's table holds before it is started anew.
 MAX_CHUNKS = 400_000
 
 _REGULAR_GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD_GAP = re.compile(r"\s | \s|^ | $")
-#: A Latin word, with or without a space, and ASCII signs behind it: two groups of the pre-tokenizer.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A Latin word, which takes a space before it, and ASCII signs behind it: two groups of the pre-tokenizer.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: White space other than a space and a line end; a block of texts without any is split faster.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -68,54 +69,82 @@ class ChunkIds:
         self.max_chunks = max_chunks
         if self.tokenizer.normalizer is not None:
             raise ValueError("this tokenizer rewrites texts before it splits them; chunks can't be encoded apart")
-        #: ids of a chunk behind a space, of a chunk at a text's start, of one group of the pre-tokenizer
+        #: ids of a chunk behind a space, of a chunk at a text's start
         self.ids: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        #: ids of a word behind a space, of one without, of signs, of any other group of the pre-tokenizer as it writes it
+        self.words: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.groups: dict[str, bytes] = {}
+        self.tables = (self.ids, self.first, self.words, self.heads, self.signs, self.groups)
         groups = self.tokenizer.pre_tokenizer.pre_tokenize_str
         #: how the library writes the characters of such groups
         self.written = {c: groups(chr(c))[0][0] for c in range(0x21, 0x250) if _WORD.fullmatch("a" + chr(c)) or _WORD.fullmatch(chr(c))}
-        self.written[0x20] = groups(" a")[0][0][:-1]
+        self.space = self.written[0x20] = groups(" a")[0][0][:-1]
+        #: characters that the library writes as they are
+        self.same = all(c == ord(x) for c, x in self.written.items() if 0x20 < c < 0x80)
         if [g for g, _ in groups(" aé,.")] != [" aé".translate(self.written), ",.".translate(self.written)]:
             raise ValueError("this tokenizer does not part words from signs")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self._encode("a b,c  \n d") != self._encode("a") + self._encode(" b,c  \n d"):
             raise ValueError("this tokenizer does not begin a new token group at a space")
+        #: a line end between other characters is a group of its own
+        self.line_end = self._encode("\n")
+        if groups(" a.\nb") != [(g, at) for (g, _), at in zip([*groups(" a."), *groups("\n"), *groups("b")], [(0, 2), (2, 3), (3, 4), (4, 5)], strict=True)]:
+            raise ValueError("this tokenizer does not part lines")
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.width).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk: of its groups, for which the library's model is asked when they are new."""
+    def _chunk(self, chunk: str, space: str) -> bytes:
+        """Ids of a chunk behind ``space`` (one or none): of its groups, for which the library's model is asked when they are new."""
+        words = self.words if space else self.heads
+        found = words.get(chunk)
+        if found is not None:
+            return found
         word = _WORD.fullmatch(chunk)
         if word:
             head, signs = word.groups()
-            return self._group(head.translate(self.written)) + (self._group(signs.translate(self.written)) if signs else b"")
+            if signs:
+                found = words.get(head)
+            else:
+                head = chunk
+            if found is None:
+                found = words[head] = self._ids((self.space if space else "") + head if self.same and head.isascii() else (space + head).translate(self.written))
+            if not signs:
+                return found
+            after = self.signs.get(signs)
+            if after is None:
+                after = self.signs[signs] = self._ids(signs.translate(self.written))
+            return found + after
+        lines = chunk.split("\n")
+        if len(lines) > 1 and all(map(_WORD.fullmatch, lines)):
+            return self.line_end.join([self._chunk(lines[0], space), *[self._chunk(x, "") for x in lines[1:]]])
         if any(s in chunk for s in self.special):
-            return self._encode(chunk)
-        return b"".join([self._group(g) for g, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+            return self._encode(space + chunk)
+        return b"".join([self._group(g) for g, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(space + chunk)])
 
     def _group(self, group: str) -> bytes:
         found = self.groups.get(group)
         if found is None:
-            found = self.groups[group] = array(self.code, [t.id for t in self.model.tokenize(group)]).tobytes()
+            found = self.groups[group] = self._ids(group)
         return found
 
-    def forget(self) -> None:
-        """Give memory back at a task's end; the worker may go on with another operator.
+    def _ids(self, group: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(group)]).tobytes()
 
-        The groups, which cost the model's time, stay up to their own limit.
-        """
-        self.ids.clear()
-        self.first.clear()
-        if len(self.groups) > self.max_chunks:
-            self.groups.clear()
+    def forget(self) -> None:
+        """Give memory back at a task's end; the worker may go on with another operator."""
+        for known in self.tables:
+            known.clear()
 
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """The packed ids of each text."""
-        if len(self.ids) > self.max_chunks or len(self.groups) > self.max_chunks or len(self.first) > self.max_chunks:
-            self.forget()
+        for known in self.tables:
+            if len(known) > self.max_chunks:
+                known.clear()
         ids, first = self.ids, self.first
         together = "".join(texts)
         plain = not any(c in together for c in _OTHER_SPACE)
@@ -137,9 +166,9 @@ class ChunkIds:
                             # one chunk may stand here more than once
                             x = ids.get(parts[i])
                             if x is None:
-                                x = ids[parts[i]] = self._chunk(" " + parts[i])
+                                x = ids[parts[i]] = self._chunk(parts[i], " ")
                         else:
-                            x = first[head] = self._chunk(head)
+                            x = first[head] = self._chunk(head, "")
                         found[i] = x
             yield b"".join(found)
 

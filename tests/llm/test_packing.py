@@ -77,3 +77,29 @@ def test_copies_of_one_text_are_neighbours(spark):
     out = sorted(P.pack_documents(df, PATH, seq_len=64).collect(), key=lambda r: (r.sequence_id, r.offset))
     order = [r.doc_id % 2 for r in out if r.start == 0]
     assert sum(a != b for a, b in zip(order, order[1:])) == 1
+
+
+def test_words_signs_and_lines_need_no_splitting_and_tables_end_with_the_task():
+    ids, split = P.ChunkIds(PATH, max_chunks=50), []
+
+    class Counting:
+        pre_tokenizer = type("Split", (), {"pre_tokenize_str": staticmethod(lambda t: split.append(t) or TOK.pre_tokenizer.pre_tokenize_str(t))})
+
+        @staticmethod
+        def encode(*a, **k):
+            split.append(a[0])
+            return TOK.encode(*a, **k)
+
+    ids.tokenizer = Counting
+    rng = random.Random(9)
+    words = ["It", "été", "der.", "so,", "Ünder***", "x", "Ǆa", "end.\nNext", "a\nb!\nc", "no.\nÇa"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(40)] + ["one\ntwo three"]
+    assert [np.frombuffer(x, ids.width).tolist() for x in ids.encode_block(texts)] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    assert split == []
+    odd = ["a\n\nb c\n", "\nx y", "it's 12.\n13 c", "日本\n語 x\ny", "a <|endoftext|>\nb d"]
+    assert [np.frombuffer(x, ids.width).tolist() for x in ids.encode_block(odd)] == [TOK.encode(t, add_special_tokens=False).ids for t in odd]
+    many = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(k, k + 90)) for k in range(0, 300, 30)]
+    for t in many:
+        assert [np.frombuffer(x, ids.width).tolist() for x in ids.encode_block([t])] == [TOK.encode(t, add_special_tokens=False).ids]
+    ids.forget()
+    assert not any(len(v) for v in vars(ids).values() if isinstance(v, dict) and v is not ids.written)
