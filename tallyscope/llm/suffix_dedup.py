@@ -22,7 +22,7 @@ else in the corpus (the same document included); matches never cross documents.
    bytes elsewhere are marked, for every copy of their segment.
 4. Anchors whose distinct segments don't fit a tile are not indexed together:
    their strings are hashed (128 bits with the anchor), counted with a partial
-   aggregate and joined back. No case is dropped.
+   aggregate and joined back; those in a row are one range. No case is dropped.
 
 Equality of segments rests on two 64-bit hashes together.
 
@@ -39,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rowkey import canonical
@@ -164,7 +164,7 @@ class RunLengthIndex:
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(sizes) else np.empty(0, np.int64)
         self.size = int((sizes + 1).sum())
         k = len(strings)
-        symbols = np.empty(self.size, np.int64)
+        symbols = np.empty(self.size, np.int32)
         data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         symbols[:] = data
         symbols += k
@@ -187,26 +187,32 @@ class RunLengthIndex:
         rank = symbols
         width = 1
         while True:
-            after = np.zeros(n, np.int64)
+            key = rank.astype(np.int64)
+            key *= int(rank.max()) + 2
             if width < n:
-                after[:-width] = rank[width:] + 1
-            key = rank * (int(rank.max()) + 2) + after
+                key[:-width] += rank[width:]
+                key[:-width] += 1
             order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            step = np.empty(n, np.int64)
-            step[0] = 0
-            np.cumsum(ordered[1:] != ordered[:-1], out=step[1:])
-            rank = np.empty(n, np.int64)
-            rank[order] = step
+            key = key[order]
+            order = order.astype(np.int32)
+            new = np.empty(n, np.bool_)
+            new[0] = False
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            del key
+            step = np.cumsum(new, dtype=np.int32)
+            del new
             if step[-1] == n - 1:
                 return order
+            rank = np.empty(n, np.int32)
+            rank[order] = step
+            del step
             width *= 2
 
     @staticmethod
     def _common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes; the marks end it."""
-        length = np.zeros(len(a), np.int64)
-        active = np.arange(len(a))
+        length = np.zeros(len(a), np.int32)
+        active = np.arange(len(a), dtype=np.int32)
         while len(active):
             same = symbols[a[active] + length[active]] == symbols[b[active] + length[active]]
             active = active[same]
@@ -215,10 +221,16 @@ class RunLengthIndex:
 
     def _stream(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Match length at every place from those at run ends: one less at each step on."""
-        sample = np.full(self.size, -1, np.int64)
-        sample[places] = np.arange(len(places))
-        at = np.maximum.accumulate(np.where(sample >= 0, np.arange(self.size), 0))
-        return np.maximum(0, lengths[sample[at]] - (np.arange(self.size) - at))
+        # a sample's reach is its place and length together; places between fall short of it by one each
+        at = np.zeros(self.size, np.int32)
+        at[places] = places
+        np.maximum.accumulate(at, out=at)
+        reach = np.zeros(self.size, np.int32)
+        reach[places] = lengths + places
+        out = reach[at]
+        del at, reach
+        out -= np.arange(self.size, dtype=np.int32)
+        return np.maximum(out, 0, out=out)
 
     def statistics(self) -> np.ndarray:
         """At each place, the longest match that starts anywhere else."""
@@ -341,7 +353,10 @@ def repeats(keyed: DataFrame) -> DataFrame:
         tiled = small.repartition(partitions(keyed.sparkSession), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_tiles, "anchor long, seg long, a long, b long")
         strings = pieces.filter("large").select("anchor", "seg", "copies", "bytes").mapInArrow(_string_hashes, "anchor long, seg long, copies long, a long, string long").distinct()
         twice = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "string")
-        hashed = strings.join(twice, ["anchor", "string"]).select("anchor", "seg", "a", (F.col("a") + 1).alias("b"))
+        # strings in a row are one range, so that the join with the copies below gets a segment's few edges and not its strings
+        places = strings.join(twice, ["anchor", "string"]).select("anchor", "seg", "a")
+        run = F.col("a") - F.row_number().over(Window.partitionBy("anchor", "seg").orderBy("a"))
+        hashed = places.withColumn("run", run).groupBy("anchor", "seg", "run").agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b")).drop("run")
         marked = scratch.written(tiled.unionAll(hashed), "edge-marks")
         edges = (
             mixed.select("anchor", "seg", "key", "start")

@@ -124,3 +124,35 @@ def test_equal_rows_share_distinct_ranges_and_maps_pass(spark):
     assert {(r.doc_id, r.n_removed) for r in S.removal_digests(df).collect()} == {(1, 450), (2, 0)}
     with_map = df.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
     assert sorted((r.doc_id, r.m["a"], r.text) for r in S.remove_repeats(with_map).collect())[-1] == (2, 2, "other text that is short")
+
+
+def test_marks_of_large_anchors_are_ranges_that_do_not_touch(spark, monkeypatch):
+    monkeypatch.setattr(S, "LARGEST", 600)
+    written, marks = S.Scratch.written, []
+
+    def noted(self, df, name):
+        out = written(self, df, name)
+        if name == "edge-marks":
+            marks.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(S.Scratch, "written", noted)
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(330))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + passage[rng.randrange(60) :]) for i in range(60)]
+    assert run(spark, rows) == plain(rows)
+    marks.sort()
+    assert marks and all(x.b < y.a for x, y in zip(marks, marks[1:]) if (x.anchor, x.seg) == (y.anchor, y.seg))
+
+
+def test_index_needs_few_bytes_for_each_of_a_tile():
+    import tracemalloc
+
+    rng = random.Random(12)
+    passage = bytes(rng.randrange(97, 123) for _ in range(250))
+    strings = [bytes(rng.randrange(97, 123) for _ in range(30)) + passage[rng.randrange(40) :] for _ in range(1200)]
+    tracemalloc.start()
+    S.repeated_strings(strings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * sum(map(len, strings))
