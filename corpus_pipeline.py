@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyscope.llm import ngram_join, packing, pii, suffix_dedup, toxicity
-from tallyscope.llm.common import Scratch, prepare, table
+from tallyscope.llm.common import Scratch, prepare, reliable, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -57,10 +57,11 @@ def _with_class(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    rows = ngram_join.jaccard_groups(docs)
+    # both are read more than once below, where their plans would stand as often
+    rows = reliable(ngram_join.jaccard_groups(docs))
     linked = (F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))
-    groups = rows.groupBy("doc_id").agg(F.max(linked).alias("__gone"), (F.count("*") > 1).alias("__again"))
-    marked = docs.join(groups.filter("__gone or __again"), "doc_id", "left")
+    groups = reliable(rows.groupBy("doc_id").agg(F.max(linked).alias("__gone"), (F.count("*") > 1).alias("__again")).filter("__gone or __again"))
+    marked = docs.join(groups, "doc_id", "left")
     once = marked.filter("not coalesce(__again, false) and not coalesce(__gone, false)").select(*docs.columns)
     # an id that occurs again may have several texts: only those that are linked go
     gone = rows.join(groups.filter("__gone and __again").select("doc_id"), "doc_id", "left_semi").filter(linked).select("doc_id", F.col("class_id").alias("__class")).distinct()

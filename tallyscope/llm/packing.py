@@ -267,7 +267,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     )
 
 
-def pack(tokens: DataFrame, id_col: str = "doc_id", seq_len: int = SEQ_LEN, wide_ids: bool = False) -> DataFrame:
+def pack(tokens: DataFrame, id_col: str = "doc_id", seq_len: int = SEQ_LEN) -> DataFrame:
     """Pieces of tokenised rows in gapless sequences, in the order of ``ord``.
 
     ``tokens`` must be stable when read again (checkpointed): its order value
@@ -282,17 +282,17 @@ def pack(tokens: DataFrame, id_col: str = "doc_id", seq_len: int = SEQ_LEN, wide
     for r in sums:
         starts[r[bucket]] = total
         total += r.ids
-    width = "<u4" if wide_ids else "<u2"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
         for batch in batches:
             rows: list[tuple] = []
             index: list[int] = []
-            for i, (b, ids) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("ids"), strict=True)):
+            for i, (b, n_ids, ids) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True)):
                 if b != now:
                     now, at = b, starts[b]
-                view = np.frombuffer(ids.as_buffer(), width).astype("<u4")
+                packed = ids.as_buffer()
+                view = np.frombuffer(packed, f"<u{packed.size // n_ids}").astype("<u4")
                 done = 0
                 while done < len(view):
                     length = min(seq_len - at % seq_len, len(view) - done)
@@ -308,7 +308,7 @@ def pack(tokens: DataFrame, id_col: str = "doc_id", seq_len: int = SEQ_LEN, wide
 
     kind = tokens.schema[id_col].dataType.simpleString()
     return (
-        dealt.select(F.col(id_col).alias("key"), bucket, "ord", "ids")
+        dealt.select(F.col(id_col).alias("key"), bucket, "ord", "n_tokens", "ids")
         .repartition(n, bucket)
         .sortWithinPartitions(bucket, "ord", "key", "ids")
         .mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long")
@@ -316,9 +316,8 @@ def pack(tokens: DataFrame, id_col: str = "doc_id", seq_len: int = SEQ_LEN, wide
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
-    """Tokenise and pack; the tokenised rows are checkpointed between."""
-    wide = chunk_ids(tokenizer_path).width == "<u4"
-    return pack(reliable(tokenise(docs, tokenizer_path, id_col, text_col)), id_col, seq_len, wide)
+    """Tokenise and pack; the tokenised rows are checkpointed between. Only tasks load the tokenizer."""
+    return pack(reliable(tokenise(docs, tokenizer_path, id_col, text_col)), id_col, seq_len)
 
 
 def sequences(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:

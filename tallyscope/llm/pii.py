@@ -322,11 +322,17 @@ def train(rows: list[dict], rounds: int = 300, rate: float = 0.5, decay: float =
     return SpanModel(agree, weights)
 
 
+def patterns(found: DataFrame, name: str = "candidates") -> DataFrame:
+    """The candidates' kinds, votes and length classes, and how often each of these occurs."""
+    keys = ["kind", *LABELERS, "length"]
+    # explode would add filters on the array, which Spark moves below it with another copy of all patterns
+    each = found.select(F.explode_outer(name).alias("c")).filter("c is not null")
+    return each.select(*[F.col(f"c.{k}").alias(k) for k in keys]).groupBy(*keys).agg(F.count("*").alias("n")).orderBy(*keys)
+
+
 def fit(found: DataFrame, name: str = "candidates") -> SpanModel:
     """Learn from the candidates of all documents; only counted patterns come to the driver."""
-    keys = ["kind", *LABELERS, "length"]
-    counted = found.select(F.explode(name).alias("c")).select(*[F.col(f"c.{k}").alias(k) for k in keys]).groupBy(*keys).agg(F.count("*").alias("n"))
-    return train([r.asDict() for r in counted.orderBy(*keys).collect()])
+    return train([r.asDict() for r in patterns(found, name).collect()])
 
 
 def kept_spans(found: Column, model: SpanModel) -> Column:

@@ -102,7 +102,7 @@ def _logistic(hits: np.ndarray, extra: np.ndarray, target: np.ndarray, weight: n
     """Ridge logistic regression on 0/1 columns, further columns and a bias, by Newton steps that never lose ground."""
     size, k = hits.shape[1], extra.shape[1]
     used = weight > 0
-    x = np.column_stack([hits[used], extra[used], np.ones(used.sum())]).astype(np.float32)
+    x = np.column_stack([hits[used], extra[used].astype(np.float32), np.ones(used.sum(), np.float32)])
     y, share = target[used], weight[used]
     ridge = np.full(size + k + 1, RIDGE)
     ridge[-1] = 1e-6

@@ -103,3 +103,23 @@ def test_words_signs_and_lines_need_no_splitting_and_tables_end_with_the_task():
         assert [np.frombuffer(x, ids.width).tolist() for x in ids.encode_block([t])] == [TOK.encode(t, add_special_tokens=False).ids]
     ids.forget()
     assert not any(len(v) for v in vars(ids).values() if isinstance(v, dict) and v is not ids.written)
+
+
+def test_only_tasks_load_the_tokenizer(spark, monkeypatch):
+    def loaded(*_):
+        raise AssertionError("loaded on the driver")
+
+    monkeypatch.setattr(P, "_TABLES", {})
+    monkeypatch.setattr(P, "ChunkIds", loaded)
+    df = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    check(P.pack_documents(df, PATH, seq_len=64).collect(), {1: ["some words"], 2: [None]}, 64)
+
+
+def test_ids_of_either_width(spark):
+    ids = [[5, 6, 1], [1], [7] * 9 + [1]]
+    want = None
+    for width in ("<u2", "<u4"):
+        tokens = spark.createDataFrame([(i, len(x), bytearray(np.array(x, width).tobytes()), i) for i, x in enumerate(ids)], "doc_id long, n_tokens long, ids binary, ord long")
+        got = sorted(map(tuple, P.pack(tokens, seq_len=4).collect()))
+        assert sum(r[2] for r in got) == 14 and got == (want or got)
+        want = got

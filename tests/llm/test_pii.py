@@ -119,3 +119,18 @@ def test_running_values_in_two_levels(spark):
     df = spark.createDataFrame([([(i * 7) % 31 for i in range(n)],) for n in (0, 1, 63, 64, 65, 1000)], "v array<int>")
     for r in df.select("v", running(F.col("v"), "int", lambda x, y: x + y).alias("s"), running(F.col("v"), "int", lambda x, y: F.greatest(x, y)).alias("m")).collect():
         assert r.s == [sum(r.v[:i]) for i in range(len(r.v))] and r.m == [max([0, *r.v[:i]]) for i in range(len(r.v))]
+
+
+def test_counted_patterns_and_their_plan(spark):
+    texts = [None, "", "nothing here", "mail a.b@example.com or x@example.org", "call +49 30 123456 now", "mail a.b@example.com or x@example.org"]
+    found = P.with_candidates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "text")
+    counted = P.patterns(found)
+    votes = {}
+    for r in found.collect():
+        for c in r.candidates:
+            key = tuple(c[k] for k in ["kind", *P.LABELERS, "length"])
+            votes[key] = votes.get(key, 0) + 1
+    assert votes and {tuple(r)[:-1]: r.n for r in counted.collect()} == votes
+    # the driver holds, writes and compiles the patterns no more often than to find the candidates
+    sizes = [d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") for d in (found, counted)]
+    assert 0 < sizes[1] <= sizes[0]

@@ -90,3 +90,10 @@ def test_an_id_with_a_linked_and_another_text(spark):
     got = C.one_of_each_group(spark, docs, DATA)
     assert got.dtypes == docs.dtypes
     assert sorted(pairs(got)) == [(1, words), (3, "a text of its own that nothing is linked with"), (5, "")]
+
+
+def test_the_join_with_groups_is_planned_once(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = C.one_of_each_group(spark, docs, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # with the groups' own joins in each branch the driver's plan was four times as large
+    assert plan.count("Join ") <= 4
