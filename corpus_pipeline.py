@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyscope.llm import ngram_join, packing, pii, suffix_dedup, toxicity
-from tallyscope.llm.common import Scratch, prepare, reliable, table
+from tallyscope.llm.common import Scratch, prepare, reliable, small_batches, table
+
+
+def _prepare(spark: SparkSession) -> None:
+    prepare(spark)
+    small_batches(spark)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -56,7 +61,7 @@ def _with_class(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     # both are read more than once below, where their plans would stand as often
     rows = reliable(ngram_join.jaccard_groups(docs))
     linked = (F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))
@@ -71,17 +76,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     return _counted(suffix_dedup.remove_repeats(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     return _counted(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import Scratch, bit_table, in_table, partitions, reliable, spot, table
+from tallyscope.llm.common import Scratch, bit_table, give_back, in_table, partitions, reliable, spot, table
 from tallyscope.llm.components import connected_components
 
 WORDS = 5
@@ -84,6 +84,12 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def _forget() -> None:
+    """Give memory back at a task's end; the worker may go on with another operator."""
+    _WORDS.clear()
+    give_back()
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes (uint64) of a whole text."""
     words = (text or "").encode().lower().split()
@@ -143,17 +149,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 4 * common >= 3 * (len(a) + len(b) - common)
 
 
+def repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values that occur ``REPORTED`` times or more, ascending, and their counts; ``values`` is sorted in place."""
+    values.sort()
+    first = values[: max(0, len(values) - REPORTED + 1)]
+    begins = first == values[REPORTED - 1 :]
+    begins[1:] &= first[1:] != first[:-1]
+    found = first[begins]
+    return found, np.searchsorted(values, found, "right") - np.searchsorted(values, found)
+
+
 def _describe(docs: DataFrame, kind: str) -> DataFrame:
     """A row a document (part 0: key, class, n, signature) and counts of elements that repeat in a task (part 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        gathered: list[np.ndarray] = []
-        size = 0
+        # one buffer, sorted in place: the worker keeps little of what many small arrays and their copies took
+        held, size = np.empty(COUNTED, np.uint64), 0
 
         def counted() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(gathered), return_counts=True)
-            values, n = values[n >= REPORTED], n[n >= REPORTED]
+            values, n = repeated(held[:size])
             k = len(values)
             return pa.RecordBatch.from_arrays(
                 [
@@ -172,20 +187,20 @@ def _describe(docs: DataFrame, kind: str) -> DataFrame:
                 wide.append(signature(s).tobytes())
                 if ids[-1] not in seen:
                     seen.add(ids[-1])
-                    gathered.append(s)
+                    if size + len(s) > len(held):
+                        yield counted()
+                        held, size = held if len(s) <= len(held) else np.empty(len(s), np.uint64), 0
+                    held[size : size + len(s)] = s
                     size += len(s)
-                if size >= COUNTED:
-                    yield counted()
-                    gathered, size = [], 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()),
                     pa.array(wide, pa.binary()),
                 ], names=names,
             )
-        if gathered:
+        if size:
             yield counted()
-        _WORDS.clear()  # the worker may go on with another operator
+        _forget()
 
     names = ["key", "part", "sig", "n", "wide"]
     return docs.mapInArrow(run, f"key {kind}, part int, sig long, n long, wide binary")
@@ -261,7 +276,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
                     hs, cs, ps, ids, ns, counts = [], [], [], [], [], []
         if ids:
             yield out()
-        _WORDS.clear()
+        _forget()
 
     return docs.select("text").mapInArrow(run, "h long, chain int, place int, sig long, n long")
 
@@ -307,7 +322,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                         ids.append(sig)
                         data.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sig", "elements"])
-        _WORDS.clear()
+        _forget()
 
     found = docs.select(spot("key").alias("spot"), "text").mapInArrow(sets, "sig long, elements binary")
     both = (

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import column_texts, order_buckets, partitions, reliable, table, text_blocks
+from tallyscope.llm.common import column_texts, give_back, order_buckets, partitions, reliable, table, text_blocks
 
 SEQ_LEN = 2048
 END_ID = 1
@@ -259,6 +259,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                     names=[id_col, "n_tokens", "ids", "ord"],
                 )
         chunks.forget()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << TIE_BITS) - 1)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rowkey import canonical
-from tallyscope.llm.common import TABLE_BITS, Scratch, bit_table, in_table, partitions, reliable, spot, table
+from tallyscope.llm.common import TABLE_BITS, Scratch, bit_table, give_back, in_table, partitions, reliable, spot, table
 
 MATCH, GRAM = 200, 32
 #: Bytes of text hashed at once, and windows of a long text cut at once.
@@ -152,6 +152,7 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
                     ],
                     names=["anchor", "seg", "key", "start", "strings"],
                 )
+        give_back()
 
     return docs.select("key", "text").mapInArrow(run, "anchor long, seg long, key long, start long, strings int")
 
@@ -326,6 +327,7 @@ def _segment_bytes(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "seg", "bytes"]
                     )
+        give_back()
 
     cut_again = keyed.select(spot("key").alias("spot"), "text").mapInArrow(run, "anchor long, seg long, bytes binary")
     return cut_again.join(distinct.select("anchor", "seg", "copies"), ["anchor", "seg"])

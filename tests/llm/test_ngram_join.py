@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -85,6 +86,33 @@ def test_members_alone_in_chains_of_a_dealt_list(spark, monkeypatch):
         assert run(spark, rows) == plain(rows)
 
 
+def test_elements_are_counted_in_blocks(spark, monkeypatch):
+    # sets larger than a block are among the texts
+    rows = corpus(5, 150, passage_share=0.9)
+    want = plain(rows)
+    for name, value in (("COUNTED", 50), ("REPORTED", 2)):
+        monkeypatch.setattr(J, name, value)
+    assert run(spark, rows) == want
+
+
+def test_counting_takes_little_more_than_the_elements(monkeypatch):
+    rng = np.random.default_rng(2)
+    for least in (1, 2, 8):
+        monkeypatch.setattr(J, "REPORTED", least)
+        for n in (0, 1, 7, 8, 9, 3000):
+            given = rng.integers(0, n // 6 + 1, n).astype(np.uint64)
+            values, counts = np.unique(given, return_counts=True)
+            got = J.repeated(given.copy())
+            assert got[0].tolist() == values[counts >= least].tolist() and got[1].tolist() == counts[counts >= least].tolist()
+    given = rng.integers(0, 1 << 62, 1 << 20, dtype=np.uint64)
+    tracemalloc.start()
+    J.repeated(given)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # np.unique takes several times the elements
+    assert most < given.nbytes / 2
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE two"), (6, "one two three four five"), (7, "one two three four five"), (8, "É a b c d"), (9, "é a b c d")]
     rows += [(10, "x " * 30000), (11, "y z " * 10000), (11, "y z " * 10000)]

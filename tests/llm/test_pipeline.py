@@ -1,6 +1,7 @@
 """The stages against plain versions, each on what its predecessor left."""
 
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline as C
 from tallyscope.llm import packing, pii, toxicity
@@ -97,3 +98,23 @@ def test_the_join_with_groups_is_planned_once(spark):
     plan = C.one_of_each_group(spark, docs, DATA)._jdf.queryExecution().optimizedPlan().toString()
     # with the groups' own joins in each branch the driver's plan was four times as large
     assert plan.count("Join ") <= 4
+
+
+def batch_sizes(batches):
+    yield pa.RecordBatch.from_arrays([pa.array([b.num_rows for b in batches], pa.int64())], names=["n"])
+
+
+def test_texts_come_to_python_in_small_batches(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, "a text", "en", "s", 6) for i in range(2500)], schema).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(name)
+    try:
+        # a smaller number of the session's own stays
+        for given, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(name, given)
+            assert C.pack(spark, docs, DATA).count() >= 2500
+            sizes = [r.n for r in docs.mapInArrow(batch_sizes, "n long").collect()]
+            assert sum(sizes) == 2500 and max(sizes) == most
+    finally:
+        spark.conf.set(name, had)
